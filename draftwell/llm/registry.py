@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, piece_bpe, simhash
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op8_piece_bpe": piece_bpe.query,
+    "op10_simhash": simhash.query,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
