@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, piece_bpe, simhash
+from . import decontaminate, exact_dedup, language, piece_bpe, quality, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_language": language.query,
     "op3_exact_dedup": exact_dedup.query,
     "op8_piece_bpe": piece_bpe.query,
+    "op9_quality": quality.query,
     "op10_simhash": simhash.query,
 }
 ORACLES = {
