@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, piece_bpe, quality, simhash
+from . import chat, decontaminate, exact_dedup, html_text, language, piece_bpe, pseudonyms, quality, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_language": language.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op5_html_text": html_text.query,
+    "op6_pseudonyms": pseudonyms.query,
+    "op7_chat": chat.query,
     "op8_piece_bpe": piece_bpe.query,
     "op9_quality": quality.query,
     "op10_simhash": simhash.query,
