@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, html_text, language, piece_bpe, pseudonyms, quality, simhash
+from . import chat, decontaminate, exact_dedup, html_text, language, piece_bpe, pseudonyms, quality, simhash, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_language": language.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_html_text": html_text.query,
     "op6_pseudonyms": pseudonyms.query,
     "op7_chat": chat.query,
