@@ -25,7 +25,7 @@ def normalised(text: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", partitions: int | None = None) -> DataFrame:
-    """One row per input row: ``id, text_sha256, keep_id, group_size, kept``.
+    """One row per input row: ``id, text_sha256, keep_id, group_size, kept, again``.
 
     ``keep`` is ``min`` or ``max``: which identifier of a group of equal texts stays. Null text equals the
     empty text. A null identifier loses against any other. Rows repeated with the same identifier and text
@@ -46,6 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "salt",
             F.sha2("norm", 256).alias("sha"),
             F.row_number().over(run.orderBy(order("id"))).alias("rank"),
+            F.lag("id").over(run.orderBy(order("id"))).alias("last"),
             F.count(F.lit(1)).over(run.orderBy(order("id")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("run_size"),
         )
     )
@@ -60,7 +61,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.row_number().over(group.orderBy(order("head"), "salt")).alias("run_rank"),
     )
     return runs.join(ranked, ["sha", "salt"]).select(
-        "id", F.col("sha").alias("text_sha256"), "keep_id", "group_size", (F.expr("rank = 1 AND run_rank = 1")).alias("kept")
+        "id", F.col("sha").alias("text_sha256"), "keep_id", "group_size", F.expr("rank = 1 AND run_rank = 1").alias("kept"),
+        F.expr("rank > 1 AND last <=> id").alias("again"),
     )
 
 
@@ -69,10 +71,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Groups are those of :func:`exact_groups`. Repeated rows with one identifier and one text leave one row.
     """
-    chosen = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    kept = marked.join(chosen, (marked[id_col].eqNullSafe(chosen["__id"])) & (marked["__sha"] == chosen["__sha"]), "left_semi")
-    return kept.drop("__sha")
+    groups = cut(exact_groups(docs, id_col, text_col, keep).where("NOT kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"), "again"))
+    marked = docs.withColumn("__text_sha", F.sha2(normalised(F.col(text_col)), 256))
+    gone = groups.where("NOT again").drop("again").distinct()
+    rest = marked.join(gone, marked[id_col].eqNullSafe(gone["__id"]) & (marked["__text_sha"] == gone["__sha"]), "left_anti")
+    if groups.where("again").limit(1).count():
+        rest = rest.dropDuplicates([id_col, "__text_sha"])
+    return rest.drop("__text_sha")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -220,8 +220,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest identifier; columns as they came.
 
-    Rows repeated with the identifier that stays all stay (exact copies are another operator's work), and so do
-    rows without an identifier whose group has none.
+    Rows that share an identifier stand or fall together; a row without one goes if its group has a named row.
     """
     groups = near_groups(docs, id_col, text_col, shingle, radius)
     gone = groups.where("component_id IS NOT NULL AND NOT (id <=> component_id)").select(F.col("id").alias("__id")).distinct()
