@@ -1,8 +1,65 @@
-"""Corpus pipeline: the stages are filled in as their operators land."""
+"""Corpus pipeline: quality, exact copies, near copies, benchmark passages, token ids.
 
-STAGES = []
+Every stage reads what the one before it wrote. All but the last return the columns of ``documents``; the last
+returns the token ids and the text they decode to.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from draftwell.llm import decontaminate, exact_dedup, piece_bpe, quality, simhash
+from draftwell.session import ensure_checkpoint_dir, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field, fitted on labelled rows, scores 0.5 or more."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal normalised texts, the one of the largest identifier."""
+    return exact_dedup.exact_dedup(docs, keep="max")
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints."""
+    return simhash.near_dedup(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the text decoded from them."""
+    coded = piece_bpe.encode_decode(docs)
+    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("exact dedup", drop_exact),
+    ("near dedup", drop_near),
+    ("decontamination", drop_contaminated),
+    ("encoding", encode),
+]
+
+#: The quality stage learns its weights and the near stage hashes shingles: SQL expresses neither.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; intermediate tables go to the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{base}/{k}")
+            docs = spark.read.parquet(f"{base}/{k}")
+    return docs
