@@ -32,24 +32,19 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(frame: DataFrame, th: str, n: str, pos: str) -> DataFrame:
-    """``frame`` with one row per position and mask: ``pos``, ``seed``. Items of 5 to 7 tokens are whole seeds.
+def _seeds(frame: DataFrame, th: str, n: str, pos: str, masks: list[tuple[int, ...]]) -> DataFrame:
+    """``frame`` with one row per position and mask that fits there: ``pos``, ``__m`` (the mask's number), ``seed``.
 
-    Masks ``len(MASKS) + k`` stand for k + MIN_ITEM tokens in a row and match only items of that length.
+    All masks of a position are hashed side by side, so each token is fetched once and the generated code stays small
+    enough to be compiled. The outer explode keeps Spark from deriving a filter that would split the texts twice.
     """
-    full = list(range(MIN_ITEM, SPAN))
-    masks = [*MASKS, *[tuple(range(k)) for k in full]]
-    many = len(masks)
-    rows = frame.where(F.col(n) >= MIN_ITEM).select("*", F.explode(F.sequence(F.lit(0), F.col(n) * many - 1)).alias("__k"))
-    rows = rows.select("*", F.expr(f"__k div {many}").cast("int").alias(pos), (F.col("__k") % many).alias("__m")).drop("__k")
-    at = F.col(pos)
-    seed, fits = None, None
-    for i, mask in enumerate(masks):
-        h = F.xxhash64(F.lit(i), *[F.get(F.col(th), at + o) for o in mask])
-        ok = at + (mask[-1] + 1) <= F.col(n)
-        seed = F.when(F.col("__m") == i, h) if seed is None else seed.when(F.col("__m") == i, h)
-        fits = F.when(F.col("__m") == i, ok) if fits is None else fits.when(F.col("__m") == i, ok)
-    return rows.where(fits).select("*", seed.alias("seed"))
+    places = F.when(F.col(n) >= MIN_ITEM, F.sequence(F.lit(0), F.col(n) - 1))
+    rows = frame.select("*", F.explode_outer(places).alias(pos)).where(F.col(pos).isNotNull())
+    hashes = [F.xxhash64(F.lit(i), *[F.get(F.col(th), F.col(pos) + o) for o in mask]).alias(f"__h{i}") for i, mask in enumerate(masks)]
+    rows = rows.select("*", *hashes)
+    rows = rows.select(*frame.columns, pos, F.posexplode(F.array(*[f"__h{i}" for i in range(len(masks))])).alias("__m", "seed"))
+    span = F.get(F.array(*[F.lit(mask[-1] + 1) for mask in masks]), F.col("__m"))
+    return rows.where(F.col(pos) + span <= F.col(n))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -66,16 +61,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = items.agg(F.sum("il")).first()[0] or 0
     blocks = max(1, -(-total * (len(MASKS) + SPAN - MIN_ITEM) // BLOCK_SEEDS))
     items = items.withColumn("block", F.pmod(F.xxhash64("ith"), F.lit(blocks))).withColumn("key", F.xxhash64("item_id", "ith"))
-    # whole-item masks belong to items of just that length, spaced masks to all others
-    wide = len(MASKS)
-    own = F.when(F.col("il") < SPAN, F.col("__m") == F.col("il") - MIN_ITEM + wide).otherwise(F.col("__m") < wide)
+    # items of 5 to 7 tokens are whole seeds: a mask of its own for each such length that occurs
+    short = sorted(r.il for r in items.where(F.col("il") < SPAN).select("il").distinct().collect())
+    masks = [*MASKS, *[tuple(range(k)) for k in short]]
+    own = F.col("il").between(SPAN, 1 << 30) & (F.col("__m") < len(MASKS))
+    for i, k in enumerate(short):
+        own = own | ((F.col("il") == k) & (F.col("__m") == len(MASKS) + i))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     texts = texts.select("id", F.xxhash64("t").alias("text_key"), tokens(F.col("t")).alias("th")).withColumn("n", F.size("th"))
-    places = _seeds(texts, "th", "n", "pos")
+    places = _seeds(texts, "th", "n", "pos", masks)
     found = []
     for b in range(blocks):
         part = items.where(F.col("block") == b)
-        seeds = _seeds(part, "ith", "il", "off").where(own).select("seed", "key", "off")
+        seeds = _seeds(part, "ith", "il", "off", masks).where(own).select("seed", "key", "off")
         hits = places.join(F.broadcast(seeds), "seed").join(F.broadcast(part.select("key", "item_id", "ith", "il")), "key")
         found.append(_verified(hits))
     return reduce(DataFrame.unionByName, found)
