@@ -1,5 +1,476 @@
-"""Named queries and their SQL twins."""
+"""Named queries over the driver's tables, each with its SQL twin where SQL can express it."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..config import AnalysisConfig, ExecutionConfig
+from ..functions import scalars as fn
+from ..operators import detectors, grid, issues as iss, profile, repair, snapshot, topology
+from ..operators.vertices import vertices
+from ..session import cut, table
+from ..sources import adapter, hierarchy
+from . import sql
+from .analysis import Analysis
+from .sql import with_
+
+CONFIG = AnalysisConfig()
+T = CONFIG.tolerance
+START, END = grid.START, grid.END
+QUERIES: dict = {}
+ORACLES: dict = {}
 FLAGSHIP = "issue_summary"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return adapter.edges(spark, d)
+
+
+def _layers(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.layer_records(_edges(spark, d), adapter.faces(spark, d), adapter.visible_layers(spark))
+
+
+def _containers(spark: SparkSession, d: str) -> DataFrame:
+    t = {n: table(spark, d, n).agg(F.count(F.lit(1)).alias(n)) for n in ("region", "nation", "customer")}
+    row = t["region"].crossJoin(t["nation"]).crossJoin(t["customer"])
+    return row.select((F.col("region") + F.col("nation") + F.col("customer")).alias("group_count"), F.lit(0).cast("bigint").alias("component_count"), F.lit(3).cast("bigint").alias("deepest_nesting"))
+
+
+def _analysis(spark: SparkSession, d: str) -> Analysis:
+    return Analysis(_edges(spark, d), adapter.faces(spark, d), _layers(spark, d), _containers(spark, d), CONFIG)
+
+
+def _plan(spark: SparkSession, d: str):
+    edges = cut(_edges(spark, d))
+    derived = repair.derive(edges)
+    return edges, derived, repair.propose(edges, derived, T.duplicate, "snap")
+
+
+# ---- profile
+
+
+@query(with_(sql.EDGES) + "SELECT edge_id, length FROM edges")
+def edge_length(spark, d):
+    return _edges(spark, d).select("edge_id", "length")
+
+
+@query(with_(sql.EDGES, sql.VERTICES, sql.FACTS) + "SELECT * FROM box")
+def bounding_box(spark, d):
+    return profile.bounding_box(_edges(spark, d))
+
+
+@query(with_(sql.EDGES) + "SELECT coalesce(min(least(sz, ez)), 0) AS z_min, coalesce(max(greatest(sz, ez)), 0) AS z_max FROM edges")
+def z_range(spark, d):
+    return profile.z_range(_edges(spark, d))
+
+
+@query(with_(sql.EDGES) + "SELECT layer, count(*) AS edge_count FROM edges GROUP BY layer")
+def layer_distribution(spark, d):
+    return profile.layer_distribution(_edges(spark, d))
+
+
+@query(with_(sql.EDGES) + "SELECT count(*) FILTER (abs(sz) > 1e-6 OR abs(ez) > 1e-6) AS nonzero_z_edges, CAST(sum((abs(sz) > 1e-6)::INT + (abs(ez) > 1e-6)::INT) AS BIGINT) AS nonzero_z_endpoints FROM edges")
+def nonzero_z(spark, d):
+    return profile.nonzero_z(_edges(spark, d), T.coordinate_epsilon)
+
+
+@query(with_(sql.EDGES, sql.VERTICES, sql.FACTS) + "SELECT * FROM zv")
+def z_vertices(spark, d):
+    return profile.z_vertices(_edges(spark, d), T.coordinate_epsilon, T.big_z)
+
+
+@query(with_(sql.EDGES, sql.VERTICES, sql.FACTS) + "SELECT * FROM large")
+def large_coord_extrema(spark, d):
+    return profile.large_extrema(_edges(spark, d), T.large_coordinate)
+
+
+@query(with_(sql.EDGES, sql.VERTICES, sql.FACTS) + "SELECT * FROM warnings")
+def preflight_warnings(spark, d):
+    return _analysis(spark, d).warnings()
+
+
+@query(
+    with_(sql.EDGES, sql.VERTICES, sql.FACTS, sql.FACES)
+    + """SELECT (SELECT count(*) FROM edges) AS edge_count, (SELECT count(*) FROM vertices) AS vertex_count,
+    (SELECT count(*) FROM edges WHERE abs(sz) > 1e-6 OR abs(ez) > 1e-6) AS nonzero_z_edges, (SELECT CAST(sum((abs(sz) > 1e-6)::INT + (abs(ez) > 1e-6)::INT) AS BIGINT) FROM edges) AS nonzero_z_endpoints,
+    zv.*, large.*, (SELECT count(*) FROM faces) AS face_count, (SELECT count(*) FROM faces WHERE inner_loop_count > 0) AS faces_with_holes_count, containers.*, box.min_z AS z_min, box.max_z AS z_max,
+    (SELECT count(*) FROM layers) AS layer_count FROM zv, large, containers, box"""
+)
+def preflight_report(spark, d):
+    return _analysis(spark, d).report()
+
+
+# ---- scalars
+
+_NAMES = ["DIM-XX", "dim-xx", "TEXT-NOTES", "LABEL", "GUIDE-LINES", "XLINE", "Layer0", "default", "Untagged", "WEIRD-LAYER", "", "DIM-ANNO", "TEXT-DIM-XX", "EXTERIOR"]
+_NAME_SQL = "names AS (SELECT k, ([" + ", ".join(f"'{n}'" for n in _NAMES) + "])[CAST(k % 14 + 1 AS INTEGER)] AS name FROM (SELECT o_orderkey AS k FROM orders))"
+
+
+def _names(spark, d):
+    k = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    return k.select("k", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("k") % 14 + 1).cast("int")).alias("name"))
+
+
+@query(
+    with_(_NAME_SQL)
+    + """SELECT k, name, CASE WHEN regexp_matches(name, '(?i)dim(ension)?') THEN 'dimension' WHEN regexp_matches(name, '(?i)(anno|t?ext|label)') THEN 'annotation'
+    WHEN regexp_matches(name, '(?i)(guide|constr(uction)?|xline)') THEN 'guide' WHEN lower(name) IN ('layer0', 'default', 'untagged') THEN 'construction' ELSE 'unknown' END AS role,
+    CASE WHEN regexp_matches(name, '(?i)dim') THEN 'name_dimension' WHEN regexp_matches(name, '(?i)(anno|ext|label)') THEN 'name_annotation'
+    WHEN regexp_matches(name, '(?i)(guide|constr|xline)') THEN 'name_guide' WHEN lower(name) IN ('layer0', 'default', 'untagged') THEN 'name_default_layer' ELSE 'name_no_match' END AS role_rule FROM names"""
+)
+def layer_role(spark, d):
+    return _names(spark, d).select("k", "name", fn.layer_role(F.col("name")).alias("role"), fn.layer_role_rule(F.col("name")).alias("role_rule"))
+
+
+@query(with_(_NAME_SQL) + "SELECT k, CASE WHEN name = '' OR lower(name) IN ('layer0', 'default', 'untagged') THEN 'Layer0' ELSE name END AS norm_layer FROM names")
+def layer_normalize(spark, d):
+    return _names(spark, d).select("k", fn.normalized_layer(F.col("name")).alias("norm_layer"))
+
+
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Visibility: unknown' WHEN 1 THEN 'Visible' ELSE 'Off-screen' END AS label FROM orders")
+def visibility_label(spark, d):
+    k = F.col("o_orderkey")
+    shown, unknown = fn.visibility(F.when(k % 3 != 0, k % 3 == 1))
+    return table(spark, d, "orders").select(k.alias("k"), fn.visibility_label(shown, unknown).alias("label"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'low' WHEN 'click' THEN 'high' ELSE 'medium' END AS severity FROM events")
+def severity_map(spark, d):
+    kind = F.when(F.col("event_type") == "view", "short_edge").when(F.col("event_type") == "click", "abnormal_large_coord").otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", fn.severity(kind).alias("severity"))
+
+
+@query("SELECT o_orderkey AS k, 'a' || chr(9) || 'b' || o_orderpriority || chr(10) AS message FROM orders")
+def message_sanitize(spark, d):
+    raw = F.concat(F.lit("a\x01\x1f\tb\x7f"), F.col("o_orderpriority"), F.lit("\x0b\n"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), fn.sanitized(raw).alias("message"))
+
+
+@query(with_(sql.EDGES) + "SELECT edge_id, CAST(CAST(round(length * 10000) AS BIGINT) // 10000 AS VARCHAR) || '.' || lpad(CAST(CAST(round(length * 10000) AS BIGINT) % 10000 AS VARCHAR), 4, '0') || ' inch' AS display_length FROM edges")
+def display_length(spark, d):
+    return _edges(spark, d).select("edge_id", fn.display_length(F.col("length")).alias("display_length"))
+
+
+_Q = lambda x: f"CAST(round({x} * CAST(10000.0 AS DOUBLE)) AS BIGINT)"
+_P = lambda p, sep: f" || '{sep}' || ".join(_Q(f"{p}{c}") for c in "xyz")
+KEY_SQL = f"'geom|' || CASE WHEN '[' || {_P('s', ', ')} || ']' <= '[' || {_P('e', ', ')} || ']' THEN {_P('s', ',')} || '|' || {_P('e', ',')} ELSE {_P('e', ',')} || '|' || {_P('s', ',')} END || '|layer=' || norm_layer"
+
+
+@query(with_(sql.EDGES) + f"SELECT edge_id, {KEY_SQL} AS geometry_key FROM edges")
+def canonical_geometry_key(spark, d):
+    return _edges(spark, d).select("edge_id", fn.geometry_key([F.col(c) for c in START], [F.col(c) for c in END], F.col("layer")).alias("geometry_key"))
+
+
+@query(with_(sql.EDGES) + "SELECT edge_id, CASE WHEN complete THEN 'occ-' ELSE 'transient-occ-' END || array_to_string(pid_path, '>') AS occurrence_id, array_to_string(pid_path, '.') AS path FROM edges")
+def occurrence_id(spark, d):
+    e = _edges(spark, d).select("edge_id", fn.occurrence_id(F.col("pid_path"), F.col("instance_path"), F.col("pid_path_complete"), F.col("edge_id")).alias("occurrence_id"))
+    return e.select("*", fn.pid_path_text(fn.path_of_occurrence(F.col("occurrence_id"))).alias("path"))
+
+
+@query(
+    """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE CAST(o_orderkey % 4 AS VARCHAR) || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '.' END END || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS path,
+    o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AS complete, CAST(2 AS INTEGER) AS depth FROM orders"""
+)
+def structural_facts(spark, d):
+    k = F.col("o_orderkey")
+    ancestors, leaf = F.array(F.when(k % 4 != 0, k % 4)), F.when(k % 5 != 0, k)
+    path, complete = fn.structural_path(ancestors, leaf)
+    return table(spark, d, "orders").select(k.alias("k"), fn.pid_path_text(path).alias("path"), complete.alias("complete"), fn.structural_depth(F.array(F.lit(None).cast("bigint")), ancestors).alias("depth"))
+
+
+@query(
+    """SELECT o_orderkey AS k, CASE WHEN c AND NOT n THEN 'inst_path_leaf' WHEN c THEN 'inst_path_root' WHEN NOT n AND e THEN 'entity_id' ELSE 'skip' END AS kind,
+    CASE WHEN c OR (NOT n AND e) THEN NULL WHEN n AND p THEN 'incomplete-nested-partial-leaf' WHEN n THEN 'incomplete-nested-partial-ancestry' ELSE 'fully-missing' END AS reason
+    FROM (SELECT *, o_orderkey % 2 = 0 AS c, o_orderkey % 3 = 0 AS n, o_orderkey % 5 <> 0 AS e, o_orderkey % 7 <> 0 AS p FROM orders)"""
+)
+def locator_policy(spark, d):
+    k = F.col("o_orderkey")
+    path = F.when(k % 7 != 0, F.array(k)).otherwise(F.array().cast("array<bigint>"))
+    kind, reason = fn.locator_target(path, F.when(k % 5 != 0, k), k % 3 == 0, k % 2 == 0)
+    return table(spark, d, "orders").select(k.alias("k"), kind.alias("kind"), reason.alias("reason"))
+
+
+# ---- detectors
+
+
+@query(with_(sql.EDGES) + "SELECT edge_id, (sx + ex) / 2 AS lx, (sy + ey) / 2 AS ly, (sz + ez) / 2 AS lz, 'Short edge detected (length=' || printf('%.6f', length) || ' < threshold=0.5).' AS message FROM edges WHERE length < 0.5")
+def short_edges(spark, d):
+    return detectors.short_edges(_edges(spark, d), T.short_edge).select(F.get("edge_ids", F.lit(0)).alias("edge_id"), "lx", "ly", "lz", "message")
+
+
+@query(with_(sql.EDGES, sql.PAIRS) + "SELECT id_a, id_b, kind FROM pairs")
+def duplicate_pairs(spark, d):
+    return grid.duplicate_pairs(_edges(spark, d), T.duplicate).select("id_a", "id_b", "kind")
+
+
+@query(
+    with_(sql.EDGES)
+    + """SELECT a.edge_id AS id_a, b.edge_id AS id_b, CASE WHEN a.sx = b.sx AND a.sy = b.sy AND a.sz = b.sz AND a.ex = b.ex AND a.ey = b.ey AND a.ez = b.ez THEN 'forward' ELSE 'reversed' END AS kind
+    FROM edges a JOIN edges b ON a.norm_layer = b.norm_layer AND a.sy = b.sy AND least(a.sx, a.ex) = least(b.sx, b.ex) AND greatest(a.sx, a.ex) = greatest(b.sx, b.ex) AND a.edge_id < b.edge_id
+    WHERE (a.sx = b.sx AND a.sz = b.sz AND a.ex = b.ex AND a.ez = b.ez) OR (a.sx = b.ex AND a.sz = b.ez AND a.ex = b.sx AND a.ez = b.sz)"""
+)
+def duplicate_pairs_exact(spark, d):
+    return grid.duplicate_pairs(_edges(spark, d), 0.0).select("id_a", "id_b", "kind")
+
+
+@query(with_(sql.EDGES, sql.VERTICES) + "SELECT vertex_id, leader, x, y, z, degree FROM vertices")
+def merged_vertices(spark, d):
+    return vertices(_edges(spark, d), T.coordinate_epsilon).select("vertex_id", "leader", "x", "y", "z", "degree")
+
+
+@query(with_(sql.EDGES, sql.VERTICES) + "SELECT vertex_id, edge_id, x, y, z FROM opens")
+def open_endpoints(spark, d):
+    return detectors.open_vertices(vertices(_edges(spark, d), T.coordinate_epsilon)).select("vertex_id", "edge_id", "x", "y", "z")
+
+
+@query(with_(sql.EDGES, sql.VERTICES, sql.GAPS) + "SELECT v1, v2, e1, e2, d AS distance FROM gaps")
+def gap_candidates(spark, d):
+    vs = cut(vertices(_edges(spark, d), T.coordinate_epsilon))
+    found = grid.gap_pairs(detectors.open_vertices(vs), T.gap_search)
+    return found.select(F.col("p_vertex_id").alias("v1"), F.col("q_vertex_id").alias("v2"), F.col("p_edge_id").alias("e1"), F.col("q_edge_id").alias("e2"), "distance")
+
+
+# ---- issues
+
+_ALL = [sql.EDGES, sql.VERTICES, sql.GAPS, sql.PAIRS, sql.FACTS]
+
+
+@query(with_(*_ALL, sql.ISSUES) + "SELECT issue_type, severity, confidence, array_to_string(edge_ids, ',') AS edge_ids, message FROM raw")
+def issues_normalized(spark, d):
+    return _analysis(spark, d).normalized().select("issue_type", "severity", "confidence", fn.pid_path_text(F.col("edge_ids"), ",").alias("edge_ids"), "message")
+
+
+@query(with_(*_ALL, sql.ISSUES) + "SELECT issue_id, issue_type, severity, layer_name, locatable, edges_text AS edge_ids FROM issues")
+def issue_ids(spark, d):
+    return _analysis(spark, d).issues.select("issue_id", "issue_type", "severity", "layer_name", "locatable", fn.pid_path_text(F.col("edge_ids"), ",").alias("edge_ids"))
+
+
+@query(with_(*_ALL, sql.ISSUES) + "SELECT issue_type, count(*) AS issue_count, bool_or(severity = 'high') AS has_high FROM issues GROUP BY issue_type")
+def issue_summary(spark, d):
+    return iss.summary(_analysis(spark, d).issues)
+
+
+_TYPE_RANK = "list_position([" + ", ".join(f"'{t}'" for t in fn.ISSUE_TYPES) + "], issue_type)"
+
+
+@query(
+    with_(*_ALL, sql.ISSUES)
+    + f"""SELECT issue_type AS type, row_number() OVER (ORDER BY {_TYPE_RANK}) AS rank, n AS issue_count, CASE WHEN max(h::INT) OVER () = 1 THEN h ELSE row_number() OVER (ORDER BY {_TYPE_RANK}) = 1 END AS default_open
+    FROM (SELECT issue_type, count(*) AS n, bool_or(severity = 'high') AS h FROM issues GROUP BY issue_type)"""
+)
+def issue_groups(spark, d):
+    return iss.groups(_analysis(spark, d).issues).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(
+    with_(*_ALL, sql.ISSUES)
+    + """SELECT layer_name AS name, n AS issue_count, CASE WHEN max(h::INT) OVER () = 1 THEN h ELSE false END AS default_open FROM (SELECT layer_name, count(*) AS n, bool_or(severity = 'high') AS h FROM issues GROUP BY layer_name)"""
+)
+def issues_by_layer(spark, d):
+    layers = _layers(spark, d).select("name", F.col("role_rank").alias("display_rank"))
+    return iss.layer_groups(_analysis(spark, d).issues, layers).select("name", "issue_count", "default_open")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'non-canonical severity: urgent' WHEN event_id % 7 = 0 THEN 'non-canonical confidence: nil' WHEN event_id % 11 = 0 THEN 'issue_type must be a non-empty String' ELSE 'locatable must be a Boolean' END AS reason
+    FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0"""
+)
+def issue_rejects(spark, d):
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select(
+        "event_id", F.when(k % 5 == 0, "urgent").otherwise("low").alias("severity"), F.when(k % 7 != 0, "high").alias("confidence"), F.when(k % 11 == 0, "").otherwise("short_edge").alias("issue_type"),
+        k.cast("string").alias("issue_id"), F.array(k).alias("edge_ids"), F.lit("m").alias("message"), F.when(k % 13 != 0, F.lit(True)).alias("locatable"),
+    )
+    return iss.registry(rows)[1].select("event_id", "reason")
+
+
+@query(
+    with_(*_ALL, sql.ISSUES, sql.FACES)
+    + """SELECT name, edge_count, face_count, faces_with_holes_count, role, role_rule, CASE WHEN visibility_unknown THEN 'Visibility: unknown' WHEN visible THEN 'Visible' ELSE 'Off-screen' END AS visibility, coalesce(n, 0) AS issue_count,
+    row_number() OVER (ORDER BY role_rank, NOT visible, -coalesce(n, 0), name) AS position FROM layers LEFT JOIN (SELECT layer_name, count(*) AS n FROM issues GROUP BY layer_name) ON layer_name = name"""
+)
+def layer_summary(spark, d):
+    from pyspark.sql import Window
+
+    counts = _analysis(spark, d).issues.groupBy(F.col("layer_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    rows = _layers(spark, d).join(counts, "name", "left").withColumn("issue_count", F.coalesce("n", F.lit(0)))
+    order = Window.partitionBy(F.lit(0)).orderBy("role_rank", ~F.col("visible"), -F.col("issue_count"), "name")  # one row a layer
+    return rows.select("name", "edge_count", "face_count", "faces_with_holes_count", "role", "role_rule", fn.visibility_label(F.col("visible"), F.col("visibility_unknown")).alias("visibility"), "issue_count", F.row_number().over(order).cast("bigint").alias("position"))
+
+
+@query(with_(*_ALL, sql.ISSUES) + "SELECT issue_id, issue_type, message FROM issues WHERE issue_type = 'abnormal_large_coord'")
+def find_issue(spark, d):
+    return _analysis(spark, d).find("abnormal_large_coord||1").select("issue_id", "issue_type", "message")
+
+
+@query()
+def issue_documents(spark, d):
+    return _analysis(spark, d).as_json()
+
+
+# ---- hierarchy
+
+
+@query(
+    """SELECT o_orderkey AS k, r * 10000 + 2.0 * (o_orderkey % 5) AS sx, n * 100 + 2.0 * (o_orderkey % 3) AS sy, CAST(o_custkey % 10 AS DOUBLE) AS sz, r * 10000 + 2.0 * (o_orderkey % 5 + 1) AS ex,
+    (r + 1) || '.' || (n + 100) || '.' || (o_custkey + 1000000) || CASE WHEN o_orderkey % 97 <> 0 THEN '.' || (o_orderkey + 1000000000) ELSE '' END AS path, o_orderkey % 97 <> 0 AS complete, CAST(3 AS INTEGER) AS depth
+    FROM (SELECT o.*, CAST(c.c_nationkey AS DOUBLE)::BIGINT AS n, CAST(t.n_regionkey AS BIGINT) AS r FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation t ON t.n_nationkey = c.c_nationkey) WHERE o_orderkey % 11 <> 0"""
+)
+def world_edges(spark, d):
+    occ = hierarchy.flatten(adapter.nodes(spark, d))
+    return hierarchy.world_edges(occ).select((F.col("edge_id") - 1000000000).alias("k"), "sx", "sy", "sz", "ex", fn.pid_path_text(F.col("pid_path")).alias("path"), F.col("pid_path_complete").alias("complete"), F.col("structural_depth").alias("depth"))
+
+
+@query("SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) AS group_count, CAST(0 AS BIGINT) AS component_count, CAST(3 AS BIGINT) AS deepest_nesting")
+def container_facts(spark, d):
+    return hierarchy.container_facts(hierarchy.flatten(adapter.nodes(spark, d)))
+
+
+@query("SELECT 'group' AS selection_type")
+def selection_type(spark, d):
+    return hierarchy.selection_type(adapter.nodes(spark, d).where("parent_id IS NULL"))
+
+
+@query(
+    with_(sql.EDGES, sql.FACES)
+    + """SELECT name, face_count, faces_with_holes_count, upper(role[1]) || role[2:] AS role_label, row_number() OVER (ORDER BY role_rank, NOT visible, name) AS position FROM layers WHERE face_count > 0"""
+)
+def face_inventory(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(F.lit(0)).orderBy("role_rank", ~F.col("visible"), "name")  # one row a layer
+    return _layers(spark, d).where("face_count > 0").select("name", "face_count", "faces_with_holes_count", fn.role_label(F.col("role")).alias("role_label"), F.row_number().over(order).cast("bigint").alias("position"))
+
+
+@query(
+    with_(*_ALL, sql.ISSUES)
+    + """SELECT issue_id, kind, target FROM (SELECT issue_id, CASE WHEN ca THEN 'inst_path_root' ELSE 'skip' END AS kind, CASE WHEN ca THEN array_to_string(pa, '.') END AS target FROM issues WHERE locatable AND len(edge_ids) > 0
+    UNION ALL SELECT issue_id, CASE WHEN cb THEN 'inst_path_root' ELSE 'skip' END, CASE WHEN cb THEN array_to_string(pb, '.') END FROM issues WHERE locatable AND len(edge_ids) > 1 AND edge_ids[2] <> edge_ids[1])"""
+)
+def locate_targets(spark, d):
+    rows = _analysis(spark, d).issues.where("locatable").select("issue_id", F.explode("sources").alias("t"))
+    kind, _ = fn.locator_target(F.col("t.pid_path"), F.col("t.entity_id"), F.col("t.nested"), F.col("t.pid_path_complete"))
+    return rows.select("issue_id", kind.alias("kind"), F.when(kind != "skip", fn.pid_path_text(F.col("t.pid_path"))).alias("target"))
+
+
+# ---- topology and repair
+
+_REPAIR = with_(sql.EDGES, sql.PAIRS, sql.COMPONENTS, recursive=True)
+
+
+@query(_REPAIR + "SELECT node, component, members, pairs, required, repairable FROM nodes")
+def duplicate_components(spark, d):
+    edges = _edges(spark, d)
+    good = repair.pair_reasons(grid.duplicate_pairs(edges, T.duplicate).select("id_a", "id_b"), edges, T.duplicate).where("reason IS NULL")
+    return topology.components(good.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+
+@query(
+    _REPAIR
+    + """SELECT CAST(sum(pairs) AS BIGINT) AS direct_pairs, CAST(sum(members) AS BIGINT) AS edges_in_pairs, count(*) FILTER (repairable) AS repairable_components, count(*) FILTER (NOT repairable) AS non_transitive_components
+    FROM (SELECT DISTINCT component, members, pairs, repairable FROM nodes)"""
+)
+def topology_metrics(spark, d):
+    return topology.metrics(duplicate_components(spark, d))
+
+
+@query()
+def maximal_cliques(spark, d):
+    pairs = cut(grid.duplicate_pairs(_edges(spark, d), T.duplicate).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    found = topology.maximal_cliques(pairs, topology.components(pairs))
+    return found.select("component", fn.pid_path_text(F.col("clique"), ",").alias("clique"))
+
+
+@query(_REPAIR + "SELECT derived_id, survivor, derived_id = survivor AS survives FROM members")
+def survivors(spark, d):
+    _, _, plan = _plan(spark, d)
+    return plan.members.select("derived_id", "survivor", (F.col("derived_id") == F.col("survivor")).alias("survives"))
+
+
+@query(
+    _REPAIR
+    + f"""SELECT m.survivor, string_agg(DISTINCT m.derived_id, '+' ORDER BY m.derived_id) AS member_ids, string_agg(DISTINCT m.occ, ',' ORDER BY m.occ) AS provenance, count(*) - 1 AS duplicate_pairs,
+    (SELECT CASE WHEN arg_min(g.kind, o.derived_id) = 'reversed' THEN 'reversed_endpoint_match_within_tolerance.duplicate' ELSE 'exact_endpoint_match_within_tolerance.duplicate' END FROM good g JOIN derived s ON s.derived_id = m.survivor JOIN derived o ON (g.id_a = s.edge_id AND g.id_b = o.edge_id) OR (g.id_b = s.edge_id AND g.id_a = o.edge_id)) AS basis,
+    'act-duplicate_edge.exact_remove-' || substr(sha256('duplicate_edge.exact_remove|snap|' || (SELECT {KEY_SQL} FROM edges e JOIN derived s USING (edge_id) WHERE s.derived_id = m.survivor) || '|' || string_agg(DISTINCT m.derived_id, '+' ORDER BY m.derived_id)), 1, 12) AS action_id
+    FROM members m GROUP BY m.survivor"""
+)
+def repair_actions(spark, d):
+    _, _, plan = _plan(spark, d)
+    ids = F.array_sort(F.concat("affected_derived_ids", F.array("survivor")))
+    return plan.actions.select("survivor", F.array_join(ids, "+").alias("member_ids"), F.array_join("source_occurrence_ids", ",").alias("provenance"), "duplicate_pairs", F.col("confidence_basis").alias("basis"), "action_id")
+
+
+@query(
+    _REPAIR
+    + """SELECT id_a || '+' || id_b AS component, 'incomplete_nested_provenance' AS reason, '' AS detail FROM pairs WHERE NOT complete
+    UNION ALL SELECT DISTINCT CAST(component AS VARCHAR), 'non_transitive_duplicate_component', 'members=' || members || ' direct=' || pairs || ' required=' || required || ' missing=' || (required - pairs) FROM nodes WHERE NOT repairable"""
+)
+def repair_skipped(spark, d):
+    _, _, plan = _plan(spark, d)
+    return plan.skipped.select("component", "reason", "detail")
+
+
+@query(
+    _REPAIR
+    + """SELECT d.derived_id, coalesce(u.provenance, d.occ) AS provenance FROM derived d LEFT JOIN (SELECT survivor, string_agg(DISTINCT occ, ',' ORDER BY occ) AS provenance FROM members GROUP BY survivor) u ON u.survivor = d.derived_id
+    WHERE d.derived_id NOT IN (SELECT derived_id FROM members WHERE derived_id <> survivor)"""
+)
+def post_inventory(spark, d):
+    _, derived, plan = _plan(spark, d)
+    return repair.post_inventory(derived, cut(plan.actions)).select("derived_id", F.array_join("source_occurrence_ids", ",").alias("provenance"))
+
+
+@query("SELECT unnest(['A_inventory_is_partitioned', 'B_removed_are_gone', 'C_survivors_remain', 'D_provenance_not_empty', 'E_provenance_keys_match', 'F_provenance_is_exact', 'G_one_survivor_an_action', 'H_survivor_never_removed', 'I_no_residual_pairs']) AS invariant, CAST(0 AS BIGINT) AS violations")
+def post_state_invariants(spark, d):
+    _, derived, plan = _plan(spark, d)
+    actions = cut(plan.actions)
+    return repair.invariants(derived, cut(repair.post_inventory(derived, actions)), actions, T.duplicate)
+
+
+@query(
+    _REPAIR
+    + """SELECT (SELECT count(DISTINCT survivor) FROM members) AS applied, (SELECT count(*) FROM pairs WHERE NOT complete) + (SELECT count(DISTINCT component) FROM nodes WHERE NOT repairable) AS skipped,
+    (SELECT count(*) FROM edges) AS edges_before, (SELECT count(*) FROM edges) - (SELECT count(*) FROM members WHERE derived_id <> survivor) AS edges_after, (SELECT count(*) FROM pairs) AS pairs_before,
+    (SELECT count(*) FROM pairs WHERE id_a NOT IN (SELECT node FROM members WHERE derived_id <> survivor) AND id_b NOT IN (SELECT node FROM members WHERE derived_id <> survivor)) AS pairs_after"""
+)
+def repair_summary(spark, d):
+    _, derived, plan = _plan(spark, d)
+    plan = repair.Plan(cut(plan.actions), plan.skipped, plan.members)
+    return repair.summary(derived, cut(repair.post_inventory(derived, plan.actions)), plan, T.duplicate)
+
+
+# ---- snapshots
+
+
+@query(
+    with_(sql.EDGES, sql.VERTICES, sql.FACTS, sql.FACES)
+    + """SELECT (SELECT count(*) FROM edges) AS edge_count, (SELECT CAST(sum(CAST(round(length * 1e9) AS BIGINT)) AS BIGINT) FROM edges) AS edge_length_sum_e9, (SELECT count(*) FROM faces) AS face_count,
+    (SELECT CAST(sum(outer_loop_vertex_count) AS BIGINT) FROM faces) AS face_vertex_count_sum, (SELECT count(*) FROM layers) AS layer_count,
+    (SELECT sha256(string_agg(name || '|' || CASE WHEN visible THEN 'true' ELSE 'false' END || '|' || edge_count || '|' || face_count, chr(10) ORDER BY name || '|' || CASE WHEN visible THEN 'true' ELSE 'false' END || '|' || edge_count || '|' || face_count)) FROM layers) AS layer_digest,
+    CAST(round(max_x * 1e6) AS BIGINT) AS max_x_e6, CAST(round(min_x * 1e6) AS BIGINT) AS min_x_e6 FROM box"""
+)
+def source_fingerprint(spark, d):
+    row = snapshot.source_fingerprint(_edges(spark, d), adapter.faces(spark, d), _layers(spark, d))
+    return row.select("edge_count", "edge_length_sum_e9", "face_count", "face_vertex_count_sum", "layer_count", "layer_digest", "max_x_e6", "min_x_e6")
+
+
+@query()
+def workspace_fingerprint(spark, d):
+    return snapshot.workspace_fingerprint(repair.derive(_edges(spark, d)), ExecutionConfig.from_config(CONFIG).digest())
+
+
+@query("SELECT 'default' AS profile_id, 'tol-big_z-coordinate_epsilon-duplicate-gap_search-large_coordinate-short_edge' AS tolerance_schema_version, unnest(['big_z', 'coordinate_epsilon', 'duplicate', 'gap_search', 'large_coordinate', 'short_edge']) AS name, unnest([CAST(0.01 AS DOUBLE), CAST(1e-6 AS DOUBLE), CAST(1e-4 AS DOUBLE), CAST(0.1 AS DOUBLE), CAST(1e6 AS DOUBLE), CAST(0.5 AS DOUBLE)]) AS value")
+def execution_config(spark, d):
+    c = ExecutionConfig.from_config(CONFIG)
+    rows = [(c.profile_id, c.schema_version, k, float(v)) for k, v in sorted(c.tolerances.items())]
+    return spark.createDataFrame(rows, "profile_id string, tolerance_schema_version string, name string, value double")
