@@ -400,9 +400,12 @@ def survivors(spark, d):
 @query(
     _REPAIR
     + f"""SELECT m.survivor, string_agg(DISTINCT m.derived_id, '+' ORDER BY m.derived_id) AS member_ids, string_agg(DISTINCT m.occ, ',' ORDER BY m.occ) AS provenance, count(*) - 1 AS duplicate_pairs,
-    (SELECT CASE WHEN arg_min(g.kind, o.derived_id) = 'reversed' THEN 'reversed_endpoint_match_within_tolerance.duplicate' ELSE 'exact_endpoint_match_within_tolerance.duplicate' END FROM good g JOIN derived s ON s.derived_id = m.survivor JOIN derived o ON (g.id_a = s.edge_id AND g.id_b = o.edge_id) OR (g.id_b = s.edge_id AND g.id_a = o.edge_id)) AS basis,
-    'act-duplicate_edge.exact_remove-' || substr(sha256('duplicate_edge.exact_remove|snap|' || (SELECT {KEY_SQL} FROM edges e JOIN derived s USING (edge_id) WHERE s.derived_id = m.survivor) || '|' || string_agg(DISTINCT m.derived_id, '+' ORDER BY m.derived_id)), 1, 12) AS action_id
-    FROM members m GROUP BY m.survivor"""
+    CASE WHEN any_value(k.kind) = 'reversed' THEN 'reversed_endpoint_match_within_tolerance.duplicate' ELSE 'exact_endpoint_match_within_tolerance.duplicate' END AS basis,
+    'act-duplicate_edge.exact_remove-' || substr(sha256('duplicate_edge.exact_remove|snap|' || any_value(k.geometry_key) || '|' || string_agg(DISTINCT m.derived_id, '+' ORDER BY m.derived_id)), 1, 12) AS action_id
+    FROM members m JOIN (SELECT s.derived_id AS survivor, arg_min(p.kind, o.derived_id) AS kind, any_value(s.geometry_key) AS geometry_key
+      FROM (SELECT derived_id, edge_id, {KEY_SQL} AS geometry_key FROM derived JOIN edges USING (edge_id)) s
+      JOIN (SELECT id_a AS x, id_b AS y, kind FROM good UNION ALL SELECT id_b, id_a, kind FROM good) p ON p.x = s.edge_id JOIN derived o ON o.edge_id = p.y GROUP BY s.derived_id) k USING (survivor)
+    GROUP BY m.survivor"""
 )
 def repair_actions(spark, d):
     _, _, plan = _plan(spark, d)
