@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import chat, decontaminate, exact_dedup, html_text, language, piece_bpe, pseudonyms, quality, simhash, substring_dedup
+from .oracles import ORACLES
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -16,6 +17,5 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_simhash": simhash.query,
 }
-ORACLES = {
-    "op3_exact_dedup": exact_dedup.ORACLE,
-}
+
+__all__ = ["ORACLES", "QUERIES"]
