@@ -13,14 +13,15 @@ def components(pairs: DataFrame) -> DataFrame:
     """``node, component, members, pairs, required, repairable`` for every node of the pairs ``a, b``.
 
     A component is complete exactly if all its nodes have the same closed neighbourhood, which needs grouping but no
-    iteration: nodes are grouped by a digest of their sorted neighbourhood and the group is complete if it is as large as
-    the neighbourhood. Only what is left goes through connected components.
+    iteration: nodes are grouped by a digest of their neighbourhood and the group is complete if it is as large as the
+    neighbourhood. Only what is left goes through connected components.
     """
     pairs = cut(pairs.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_set("b")).alias("n"))
-    near = near.select("node", F.array_sort(F.concat("n", F.array("node"))).alias("n"))
-    keyed = cut(near.select("node", F.size("n").alias("size"), F.array_min("n").alias("least"), F.sha2(F.to_json("n"), 256).alias("hood")))
+    # a neighbourhood is told by its size, its least node and two sums of hashes: no list of neighbours is ever built
+    hashes = [F.xxhash64(F.lit(k), F.col("b")).cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)]
+    near = both.unionByName(both.select("a", F.col("a").alias("b")).distinct()).select("a", "b", *hashes)
+    keyed = cut(near.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("size"), F.min("b").alias("least"), F.concat_ws(",", F.sum("h1").cast("string"), F.sum("h2").cast("string")).alias("hood")))
     whole = keyed.groupBy("hood", "size", "least").agg(F.count(F.lit(1)).alias("members")).where("members = size")
     clique = keyed.join(whole.select("hood", "least", "members"), ["hood", "least"]).select(
         "node", F.col("least").alias("component"), "members", (F.col("members") * (F.col("members") - 1) / 2).cast("bigint").alias("pairs"), (F.col("members") * (F.col("members") - 1) / 2).cast("bigint").alias("required"), F.lit(True).alias("repairable"),
