@@ -142,6 +142,13 @@ def transition(actions: DataFrame, status: str, reason: str | None = None) -> Da
     return out.withColumn("reason", F.lit(reason)) if reason else out
 
 
+def ordered(plan: Plan) -> DataFrame:
+    """All rows of a plan as they are listed: applied ones by action, then skipped ones by component."""
+    done = plan.actions.select(F.lit(0).alias("bucket"), F.col("action_id").alias("key"), "action_id", F.lit(None).cast("string").alias("reason"))
+    left = plan.skipped.select(F.lit(1).alias("bucket"), F.col("component").alias("key"), "action_id", "reason")
+    return done.unionByName(left).orderBy("bucket", "key", "reason")
+
+
 def removed_ids(actions: DataFrame) -> DataFrame:
     return actions.select(F.explode("affected_derived_ids").alias("derived_id"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import AnalysisConfig, ExecutionConfig
 from ..functions import scalars as fn
-from ..operators import detectors, grid, issues as iss, profile, repair, snapshot, topology
+from ..operators import detectors, grid, issues as iss, locate, profile, repair, snapshot, topology
 from ..operators.vertices import vertices
 from ..session import cut, table
 from ..sources import adapter, hierarchy
@@ -363,6 +363,19 @@ def locate_targets(spark, d):
     return rows.select("issue_id", kind.alias("kind"), F.when(kind != "skip", fn.pid_path_text(F.col("t.pid_path"))).alias("target"))
 
 
+@query(
+    with_(*_ALL, sql.ISSUES)
+    + """SELECT issue_id, edge_ids[1] AS entity FROM issues WHERE ca UNION SELECT issue_id, edge_ids[2] FROM issues WHERE cb"""
+)
+def located_entities(spark, d):
+    return locate.locate(_analysis(spark, d).issues, _edges(spark, d))[0]
+
+
+@query(with_(*_ALL, sql.ISSUES) + "SELECT issue_id, 'incomplete-nested-partial-leaf' AS reason FROM issues WHERE locatable AND (NOT ca OR (NOT cb AND edge_ids[2] <> edge_ids[1]))")
+def unresolved_targets(spark, d):
+    return locate.locate(_analysis(spark, d).issues, _edges(spark, d))[1]
+
+
 # ---- topology and repair
 
 _REPAIR = with_(sql.EDGES, sql.PAIRS, sql.COMPONENTS, recursive=True)

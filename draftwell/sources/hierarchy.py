@@ -8,6 +8,8 @@ occurrences of a level move at once, and a container that recurs on its own path
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import DEFAULT_LAYER, finite, role_rank, layer_role, layer_role_rule, visibility
@@ -27,6 +29,13 @@ def usable_transform(m: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), m).otherwise(identity())
 
 
+def usable_transform_of(m: list[float] | None) -> Column:
+    """A literal of sixteen finite numbers (flat or as four rows of four), or the identity."""
+    flat = [v for row in m for v in (row if isinstance(row, (list, tuple)) else [row])] if m else []
+    good = len(flat) == 16 and all(isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) for v in flat)
+    return F.array(*[F.lit(float(v)) for v in flat]) if good else identity()
+
+
 def combined(parent: Column, own: Column) -> Column:
     """world = parent x own."""
     at = lambda a, i: F.get(a, F.lit(i))
@@ -42,7 +51,9 @@ def applied(m: Column, x: Column, y: Column, z: Column) -> list[Column]:
     return [at(4 * r) * x + at(4 * r + 1) * y + at(4 * r + 2) * z + at(4 * r + 3) for r in range(3)]
 
 
-def flatten(nodes: DataFrame, roots: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def flatten(
+    nodes: DataFrame, roots: DataFrame | None = None, max_depth: int = 64, active_path: tuple[int | None, ...] = (), active_transform: list[float] | None = None
+) -> DataFrame:
     """All occurrences below the roots (``parent_id`` null by default): nodes with ``depth, path, labels, complete, world``.
 
     ``depth`` counts the containers above; ``path`` has the pids that exist, the node's own last; ``complete`` says that
@@ -52,9 +63,12 @@ def flatten(nodes: DataFrame, roots: DataFrame | None = None, max_depth: int = 6
     live = cut(nodes.where(F.coalesce("valid", F.lit(False))).withColumn("m", usable_transform(F.col("m"))))
     start = roots if roots is not None else live.where("parent_id IS NULL AND kind IN ('group', 'instance', 'edge', 'face')")
     pid = lambda: F.when(F.col("pid").isNotNull(), F.array("pid")).otherwise(F.array().cast("array<bigint>"))
+    known = [p for p in active_path if p is not None]
+    above = F.array(*[F.lit(p).cast("bigint") for p in known]).cast("array<bigint>")
+    seed = usable_transform_of(active_transform)
     level = start.select(
-        "*", F.lit(0).alias("depth"), pid().alias("path"), F.array(F.coalesce("name", F.col("kind"))).alias("labels"), F.col("pid").isNotNull().alias("complete"),
-        F.when(F.col("kind").isin(*CONTAINERS), F.col("m")).otherwise(identity()).alias("world"), F.array("node_id").alias("seen"),
+        "*", F.lit(len(active_path)).alias("depth"), F.concat(above, pid()).alias("path"), F.array(F.coalesce("name", F.col("kind"))).alias("labels"), (F.col("pid").isNotNull() & F.lit(len(known) == len(active_path))).alias("complete"),
+        F.when(F.col("kind").isin(*CONTAINERS), combined(seed, F.col("m"))).otherwise(seed).alias("world"), F.array("node_id").alias("seen"),
     )
     out = level
     for depth in range(1, max_depth + 1):
@@ -67,7 +81,7 @@ def flatten(nodes: DataFrame, roots: DataFrame | None = None, max_depth: int = 6
         below = live.join(hosts, "parent_id").where(~F.array_contains("up_seen", F.col("node_id")))
         below = below.where(F.col("kind").isin("group", "instance", "edge", "face"))
         level = below.select(
-            *nodes.columns, F.lit(depth).alias("depth"), F.concat("up_path", pid()).alias("path"), F.concat("up_labels", F.array(F.coalesce("name", F.col("kind")))).alias("labels"),
+            *nodes.columns, F.lit(depth + len(active_path)).alias("depth"), F.concat("up_path", pid()).alias("path"), F.concat("up_labels", F.array(F.coalesce("name", F.col("kind")))).alias("labels"),
             (F.col("up_complete") & F.col("pid").isNotNull()).alias("complete"),
             F.when(F.col("kind").isin(*CONTAINERS), combined(F.col("up_world"), F.col("m"))).otherwise(F.col("up_world")).alias("world"),
             F.concat("up_seen", F.array("node_id")).alias("seen"),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from draftwell.config import AnalysisConfig, ExecutionConfig
 from draftwell.functions import scalars as fn
-from draftwell.operators import issues as iss, repair, snapshot, topology
-from draftwell.sources import hierarchy
+from draftwell.operators import issues as iss, locate, repair, snapshot, topology
+from draftwell.sources import fixtures, hierarchy
 
 NODE = "node_id bigint, parent_id bigint, kind string, def_id bigint, pid bigint, name string, layer string, visible boolean, valid boolean, m array<double>, sx double, sy double, sz double, ex double, ey double, ez double, outer_loop_vertex_count int, loop_count int"
 
@@ -61,6 +61,34 @@ def test_rotation_and_cycle(spark):
     assert hierarchy.flatten(spark.createDataFrame([], NODE)).count() == 0
 
 
+def test_active_edit_context(spark):
+    rows = [node(1, None, "group", move(1, 0, 0)), node(2, 1, "edge", line=(0, 0, 0, 1, 0, 0)), node(3, None, "edge", line=(0, 0, 0, 1, 0, 0))]
+    occ = hierarchy.flatten(spark.createDataFrame(rows, NODE), active_path=(7, None), active_transform=[[1, 0, 0, 100], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]])
+    got = {r.edge_id: (r.sx, r.pid_path, r.structural_depth, r.pid_path_complete) for r in hierarchy.world_edges(occ).collect()}
+    assert got == {2: (101.0, [7, 1, 2], 3, False), 3: (100.0, [7, 3], 2, False)}
+    occ = hierarchy.flatten(spark.createDataFrame(rows, NODE), active_path=(7,), active_transform=[float("nan")] * 16)
+    assert {(r.sx, r.pid_path_complete) for r in hierarchy.world_edges(occ).collect()} == {(1.0, True), (0.0, True)}
+
+
+def test_locate(spark):
+    entities = spark.createDataFrame([(1, 11, [5, 6]), (2, 12, [7]), (3, 13, [])], "edge_id bigint, entity_id bigint, pid_path array<bigint>")
+    token = "array<struct<pid_path:array<bigint>,entity_id:bigint,nested:boolean,pid_path_complete:boolean>>"
+    rows = [
+        ("a", [([5, 6], 11, True, True), ([7], 12, False, True)], True), ("b", [([], 13, False, False)], True), ("c", [([5], None, True, False), ([], None, True, False), ([], None, False, False)], True),
+        ("d", [([9], 1, False, True)], True), ("e", [([7], 12, False, True)], False),
+    ]
+    issues = spark.createDataFrame(rows, f"issue_id string, sources {token}, locatable boolean")
+    found, lost = locate.locate(issues, entities)
+    assert sorted(map(tuple, found.collect())) == [("a", 1), ("a", 2), ("b", 3)]
+    assert sorted(map(tuple, lost.collect())) == [("c", "fully-missing"), ("c", "incomplete-nested-partial-ancestry"), ("c", "incomplete-nested-partial-leaf"), ("d", "unresolved:inst_path_leaf")]
+    assert {r.issue_id: r.selectable for r in locate.select_counts(issues).collect()} == {"a": 2, "b": 1, "c": 0, "d": 1}
+
+
+def test_fixtures(spark):
+    box = fixtures.edges(spark, [*fixtures.rectangle(0, 0, 10, 5), fixtures.horizontal(0, 0, 0.1)])
+    assert [r.length for r in box.orderBy("edge_id").collect()] == pytest.approx([10.0, 5.0, 10.0, 5.0, 0.1])
+
+
 def frame(spark, rows):
     data = [(i, *map(float, r[:6]), r[6] if len(r) > 6 else "L", i, i, [i], [], 0, r[7] if len(r) > 7 else True) for i, r in enumerate(rows, 1)]
     df = spark.createDataFrame(data, "edge_id bigint, sx double, sy double, sz double, ex double, ey double, ez double, layer string, entity_id bigint, persistent_id bigint, pid_path array<bigint>, instance_path array<string>, structural_depth int, pid_path_complete boolean")
