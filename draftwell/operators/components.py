@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         offered = seen.select(F.col("u").alias("node"), "cand")
         roots = labels.select("node", F.col("component").alias("root"))
         hooked = offered.join(roots, "node").select(F.explode(F.array("node", "root")).alias("node"), "cand")
-        merged = (
+        # written out, so that a component with very many nodes is a join side that can be split
+        merged = cut(
             labels.select("node", F.col("component").alias("cand"), F.col("component").alias("was"))
             .unionByName(hooked.withColumn("was", F.lit(None).cast(labels.schema["component"].dataType)))
             .groupBy("node")
