@@ -19,47 +19,64 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.components import connected_components
 from ..session import cut, table
+from .batches import slices
 
 SHARD = 2048
 RADIUS = 3
+SEEDS = 12  # fingerprints a text in near_dedup; a pair at 5 bits on average is then found with 97 %
 _CHUNK = 65_536
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """64 bits; a bit is set if it is set in over half of the shingle hashes (XXH64, seed 42)."""
+    return signature(text, shingle, 1)[0]
+
+
+def signature(text: bytes | None, shingle: int, seeds: int) -> list[int]:
+    """``seeds`` fingerprints; the first is that of the hashes themselves, the others of remixed hashes."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return [0] * seeds
     whole = b" ".join(words)
-    if len(words) < shingle:
-        return xxh64_intdigest(whole, 42)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    spans = list(zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True))
-    ones = np.zeros(64, np.int64)
+    if len(words) < shingle:
+        spans = [(0, len(whole))]
+    else:
+        spans = list(zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True))
+    ones = np.zeros((seeds, 64), np.int64)
     for at in range(0, len(spans), _CHUNK):
         part = np.array([xxh64_intdigest(whole[s:e], 42) for s, e in spans[at : at + _CHUNK]], dtype="<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(spans), bitorder="little").view("<u8")[0])
+        for k in range(seeds):
+            mixed = _remixed(part, k) if k else part
+            ones[k] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(spans), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def _fingerprints(shingle: int):
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _fingerprints(shingle: int, seeds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], names=["id", "fp"])
+        for batch in slices(batches, 1):
+            marks = np.array([signature(x, shingle, seeds) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * seeds), pa.array(marks.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks[:, 0], pa.int64()), more], names=["id", "fp", "fps"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id, fp`` (the 64 bits as a signed long) for every row. Null and wordless texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: int = 1) -> DataFrame:
+    """``id, fp, fps`` for every row: the 64 bits as a signed long, and those of all seeds. Wordless texts have zeros."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInArrow(_fingerprints(shingle), f"id {kind}, fp bigint")
+    return rows.mapInArrow(_fingerprints(shingle, seeds), f"id {kind}, fp bigint, fps array<bigint>")
 
 
 class BKTree:
@@ -97,26 +114,36 @@ class BKTree:
         return found
 
 
-def _forest(tree: list[int], asked: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links between ``tree`` and ``asked`` (the same list: within it), as a spanning forest."""
+def _forest(tree: list[tuple[int, int]], asked: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
+    """Links between the nodes of ``tree`` and of ``asked`` (the same list: within it), as a spanning forest.
+
+    Both are lists of (fingerprint, node).
+    """
     top: dict[int, int] = {}
+    links: list[tuple[int, int]] = []
+    owner: dict[int, int] = {}
 
     def root(x: int) -> int:
         while (up := top.setdefault(x, x)) != x:
             top[x] = x = top.setdefault(up, up)
         return x
 
-    links, bk, same = [], BKTree(), tree is asked
+    def join(x: int, y: int) -> None:
+        if (a := root(x)) != (b := root(y)):
+            top[a] = b
+            links.append((x, y))
+
+    bk, same = BKTree(), tree is asked
     if not same:
-        for x in tree:
+        for x, node in tree:
             bk.add(x)
-    for x in asked:
+            join(node, owner.setdefault(x, node))
+    for x, node in asked:
         for y in bk.within(x, radius):
-            if (a := root(x)) != (b := root(y)):
-                top[a] = b
-                links.append((x, y))
+            join(node, owner[y])
         if same:
             bk.add(x)
+            join(node, owner.setdefault(x, node))
     return links
 
 
@@ -124,41 +151,42 @@ def _linked(radius: int):
     mask = (1 << 64) - 1
     names = ["a", "b"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = [np.empty((4, 0), np.int64)]
-
-        def solve(rows: np.ndarray) -> pa.RecordBatch | None:
-            """rows: shard key, part pair, side (0 tree, 1 query), fingerprint; sorted by the first two."""
-            if not rows.shape[1]:
-                return None
-            fresh = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-            begin, end = np.r_[0, fresh], np.r_[fresh, rows.shape[1]]
-            size = end - begin
-            two = begin[size == 2]
-            x, y = rows[3][two], rows[3][two + 1]
-            near = np.bitwise_count((x ^ y).view(np.uint64)) <= radius  # a tree of one node
-            out_a, out_b = [x[near]], [y[near]]
-            for s, e in zip(begin[size > 2].tolist(), end[size > 2].tolist(), strict=True):
-                side, fps = rows[2][s:e], [v & mask for v in rows[3][s:e].tolist()]
-                if side.any():
-                    pairs = _forest([v for v, k in zip(fps, side, strict=True) if not k], [v for v, k in zip(fps, side, strict=True) if k], radius)
-                else:
-                    pairs = _forest(fps, fps, radius)
-                if pairs:
-                    both = np.array(pairs, dtype=np.uint64).view(np.int64)
-                    out_a.append(both[:, 0])
-                    out_b.append(both[:, 1])
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=names) if len(a) else None
+    def solve(rows: np.ndarray) -> pa.RecordBatch | None:
+        """rows: shard key, part pair, side (0 tree, 1 query), fingerprint, node; sorted by the first two."""
+        if not rows.shape[1]:
+            return None
+        fresh = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+        begin, end = np.r_[0, fresh], np.r_[fresh, rows.shape[1]]
+        size = end - begin
+        two = begin[size == 2]
+        near = np.bitwise_count((rows[3][two] ^ rows[3][two + 1]).view(np.uint64)) <= radius  # a tree of one node
+        out_a, out_b = [rows[4][two][near]], [rows[4][two + 1][near]]
+        for s, e in zip(begin[size > 2].tolist(), end[size > 2].tolist(), strict=True):
+            side, all_ = rows[2][s:e], [(v & mask, n) for v, n in zip(rows[3][s:e].tolist(), rows[4][s:e].tolist(), strict=True)]
+            if side.any():
+                pairs = _forest([v for v, k in zip(all_, side, strict=True) if not k], [v for v, k in zip(all_, side, strict=True) if k], radius)
+            else:
+                pairs = _forest(all_, all_, radius)
+            if pairs:
+                both = np.array(pairs, dtype=np.int64)
+                out_a.append(both[:, 0])
+                out_b.append(both[:, 1])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=names) if len(a) else None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.empty((5, 0), np.int64)
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            rows = np.concatenate([kept.pop(), rows], axis=1)
-            last = int(np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))[-1]) + 1 if rows.shape[1] and ((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1])).any() else 0
-            kept.append(rows[:, last:])
+            rows = np.concatenate([kept, rows], axis=1)
+            if not rows.shape[1]:
+                continue
+            before = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            last = int(before[-1]) + 1 if len(before) else 0
+            kept = rows[:, last:]
             if (out := solve(rows[:, :last])) is not None:
                 yield out
-        if (out := solve(kept.pop())) is not None:
+        if (out := solve(kept)) is not None:
             yield out
 
     return run
@@ -179,14 +207,20 @@ def _keys(fp: Column) -> Column:
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints ``fp`` at ``radius`` (3 at most) or fewer differing bits.
+    """Links ``a, b`` between nodes whose fingerprints ``fp`` differ in ``radius`` (3 at most) or fewer bits.
 
-    They span every group of fingerprints that links connect; a null fingerprint links to nothing.
+    Without a column ``node`` a fingerprint is its own node; with a column ``seed`` only fingerprints of one seed meet.
+    Links span every group of nodes that they connect; a null fingerprint links to nothing.
     """
     if not 0 <= radius <= 3:
         raise ValueError("the shards hold every link only up to a radius of 3")
-    rows = fps.where("fp IS NOT NULL").select("fp").distinct().select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = fps.where("fp IS NOT NULL")
+    rows = rows if "node" in fps.columns else rows.withColumn("node", F.col("fp"))
+    rows = rows if "seed" in fps.columns else rows.withColumn("seed", F.lit(0))
+    rows = rows.select("fp", "node", "seed").distinct()
+    rows = rows.select("fp", "node", F.explode(F.transform(_keys(F.col("fp")), lambda k: k + F.shiftleft(F.col("seed").cast("bigint"), 40))).alias("key"))
+    # small tables are written out before they are joined, so that a hot key is a join side that can be split
+    sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     rows = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("size") / shard).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # part pair (i, j), i <= j: part i is the tree and part j asks; a part meets itself once, as a tree that grows
@@ -194,35 +228,40 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.struct((F.least("part", o) * F.col("parts") + F.greatest("part", o)).cast("bigint").alias("pair"), (o < F.col("part")).cast("int").alias("side")),
     )
-    dealt = rows.select("key", "fp", F.explode(own).alias("x")).select("key", "x.pair", "x.side", "fp")
+    dealt = rows.select("key", "fp", "node", F.explode(own).alias("x")).select("key", "x.pair", "x.side", "fp", "node")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side", "fp")
     return sorted_.mapInArrow(_linked(radius), "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, seeds: int = 1) -> DataFrame:
     """``id, fp, component_id`` for every row; ``component_id`` is the smallest identifier that links reach.
 
-    Null text is empty and has fingerprint zero, which links like any other. Rows repeated with one identifier
-    are all returned. A null identifier never becomes a component's name unless nothing else is in it. Empty
-    input gives no rows; other columns are not read.
+    With ``seeds`` above 1 two texts link if any of so many independent fingerprints are within the radius, which finds
+    most pairs that one fingerprint misses by a few bits. Null text is empty and has fingerprint zero, which links like
+    any other. Rows repeated with one identifier are all returned. A null identifier never becomes a component's name
+    unless nothing else is in it. Empty input gives no rows; other columns are not read.
     """
-    marks = cut(fingerprints(docs, id_col, text_col, shingle))
+    marks = cut(fingerprints(docs, id_col, text_col, shingle, seeds))
     heads = cut(marks.groupBy("fp").agg(F.min("id").alias("least")))
-    nodes = connected_components(near_links(heads, radius))
+    if seeds > 1:  # texts of one first fingerprint are one node; the other fingerprints link nodes further
+        asked = marks.select(F.col("fp").alias("node"), F.posexplode("fps").alias("seed", "fp"))
+    else:
+        asked = heads.select("fp")
+    nodes = connected_components(near_links(asked, radius))
     named = nodes.join(heads.withColumnRenamed("fp", "node"), "node")
-    names = named.groupBy("component").agg(F.min("least").alias("name"))
+    names = cut(named.groupBy("component").agg(F.min("least").alias("name")))
     far = nodes.join(names, "component").select(F.col("node").alias("fp"), "name")
-    of = heads.join(far, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
-    return marks.join(of, "fp").select("id", "fp", "component_id")
+    of = cut(heads.join(far, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id")))
+    return marks.select("id", "fp").join(of, "fp").select("id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, seeds: int = SEEDS) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest identifier; columns as they came.
 
     Rows that share an identifier stand or fall together; a row without one goes if its group has a named row.
     """
-    groups = near_groups(docs, id_col, text_col, shingle, radius)
+    groups = near_groups(docs, id_col, text_col, shingle, radius, seeds)
     gone = groups.where("component_id IS NOT NULL AND NOT (id <=> component_id)").select(F.col("id").alias("__id")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
 

@@ -96,11 +96,26 @@ def test_simhash_groups(spark):
     assert sorted((r.id, r.fp & (2**64 - 1)) for r in got if r.id is not None) == sorted(m for m in marks if m[0] is not None)
     assert sorted(((r.id, r.component_id) for r in got), key=str) == groups_plainly(marks)
     assert simhash.near_groups(docs(spark, [])).count() == 0
-    kept = simhash.near_dedup(docs(spark, rows))
+    kept = simhash.near_dedup(docs(spark, rows), seeds=1)
     assert kept.columns == ["doc_id", "text", "salt", "key", "id"]
     assert sorted({r.doc_id for r in kept.collect()}) == sorted({c for _, c in groups_plainly(marks)})
 
 
+def test_more_seeds_find_more_near_copies(spark):
+    rng = random.Random(12)
+    base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(400)) for _ in range(60)]
+    rows = list(enumerate(base))
+    for i, t in enumerate(base):
+        w = t.split()
+        for k in rng.sample(range(400), 4):
+            w[k] = "changed"
+        rows.append((100 + i, " ".join(w)))
+    left = {n: sorted(r.doc_id for r in simhash.near_dedup(docs(spark, rows), seeds=n).collect()) for n in (1, simhash.SEEDS)}
+    assert all(set(range(60)) <= set(v) for v in left.values())  # no two different texts were taken for one
+    # 4 of 400 words replaced: 5 bits on average, so one fingerprint finds a quarter and twelve find 97 %
+    assert 120 - len(left[simhash.SEEDS]) >= 54 and 120 - len(left[1]) < 30
+
+
 @pytest.mark.parametrize("shard", [4, 2048])
 def test_links_span_all_groups(spark, shard):
     """Dense clusters, chains and strangers; small shards exercise the split of hot ones."""
