@@ -10,6 +10,12 @@ from ..config import AnalysisConfig
 from .grid import duplicate_pairs, gap_pairs
 from .vertices import vertices
 
+# The message texts of the issues.
+SHORT = "Short edge detected (length=%.6f < threshold={limit})."
+DUPLICATE = "Duplicate edge candidate: two edges share both endpoints within duplicate_tolerance."
+OPEN = "Open endpoint: vertex is shared by exactly one edge."
+GAP = "Gap candidate: two open endpoints within gap_search_tolerance (%.6f inch)."
+
 RAW = ["issue_type", "severity", "confidence", "edge_ids", "lx", "ly", "lz", "message", "metadata"]
 
 
@@ -26,7 +32,7 @@ def short_edges(edges: DataFrame, limit: float) -> DataFrame:
     """Edges shorter than ``limit`` (strictly)."""
     return edges.where(F.col("length") < F.lit(limit)).select(
         F.lit("short_edge").alias("issue_type"), F.lit("low").alias("severity"), F.lit("high").alias("confidence"), F.array("edge_id").alias("edge_ids"),
-        *_mid("s", "e"), F.format_string(f"Short edge detected (length=%.6f < threshold={limit}).", "length").alias("message"),
+        *_mid("s", "e"), F.format_string(SHORT.format(limit=limit), "length").alias("message"),
         _meta(length=F.col("length"), threshold=F.lit(limit)),
     )
 
@@ -36,7 +42,7 @@ def duplicate_edges(edges: DataFrame, tol: float) -> DataFrame:
     return duplicate_pairs(edges, tol).select(
         F.lit("duplicate_edge_candidate").alias("issue_type"), F.lit("medium").alias("severity"), F.lit("high").alias("confidence"),
         F.array("id_a", "id_b").alias("edge_ids"), *_mid("a_s", "a_e"),
-        F.lit("Duplicate edge candidate: two edges share both endpoints within duplicate_tolerance.").alias("message"), _meta(duplicate_tolerance=F.lit(tol)),
+        F.lit(DUPLICATE).alias("message"), _meta(duplicate_tolerance=F.lit(tol)),
     )
 
 
@@ -44,7 +50,7 @@ def open_endpoints(vs: DataFrame) -> DataFrame:
     """Vertices that exactly one edge uses."""
     return vs.where("degree = 1").select(
         F.lit("open_endpoint").alias("issue_type"), F.lit("low").alias("severity"), F.lit("high").alias("confidence"), F.slice("edge_ids", 1, 1).alias("edge_ids"),
-        F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("z").alias("lz"), F.lit("Open endpoint: vertex is shared by exactly one edge.").alias("message"),
+        F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("z").alias("lz"), F.lit(OPEN).alias("message"),
         _meta(vertex_id=F.col("vertex_id")),
     )
 
@@ -58,7 +64,7 @@ def gap_candidates(vs: DataFrame, tol: float) -> DataFrame:
     return gap_pairs(open_vertices(vs), tol).select(
         F.lit("gap_candidate").alias("issue_type"), F.lit("low").alias("severity"), F.lit("medium").alias("confidence"),
         F.array("p_edge_id", "q_edge_id").alias("edge_ids"), *_mid("p_", "q_"),
-        F.format_string("Gap candidate: two open endpoints within gap_search_tolerance (%.6f inch).", "distance").alias("message"),
+        F.format_string(GAP, "distance").alias("message"),
         _meta(distance=F.col("distance"), gap_tolerance=F.lit(tol), vertex_id_1=F.col("p_vertex_id"), vertex_id_2=F.col("q_vertex_id")),
     )
 

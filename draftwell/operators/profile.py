@@ -8,6 +8,12 @@ from ..config import AnalysisConfig
 from .vertices import endpoints, merged_points
 
 
+# The message texts of the warnings.
+OFF_PLANE = " distinct vertex(es) have |Z| > {limit} inches; geometry is significantly off-plane."
+FAR_OUT = " bbox corner(s) exceed |coord| > {limit} inches; check import scale."
+NESTED = ("Selection contains ", " levels of nested groups/components (warning threshold: {limit}).")
+
+
 def _low(c: str) -> Column:
     return F.min(F.least(f"s{c}", f"e{c}"))
 
@@ -56,15 +62,15 @@ def warnings(z: DataFrame, large: DataFrame, depth: DataFrame, config: AnalysisC
     rules = F.array(
         F.when(
             F.col("significant_z_vertices") > 0,
-            F.struct(F.lit("significant_non_zero_z").alias("code"), F.concat(F.col("significant_z_vertices").cast("string"), F.lit(f" distinct vertex(es) have |Z| > {t.big_z} inches; geometry is significantly off-plane.")).alias("message"), F.lit("medium").alias("severity")),
+            F.struct(F.lit("significant_non_zero_z").alias("code"), F.concat(F.col("significant_z_vertices").cast("string"), F.lit(OFF_PLANE.format(limit=t.big_z))).alias("message"), F.lit("medium").alias("severity")),
         ),
         F.when(
             F.col("large_coord_extrema") > 0,
-            F.struct(F.lit("abnormal_large_coord").alias("code"), F.concat(F.col("large_coord_extrema").cast("string"), F.lit(f" bbox corner(s) exceed |coord| > {t.large_coordinate} inches; check import scale.")).alias("message"), F.lit("high").alias("severity")),
+            F.struct(F.lit("abnormal_large_coord").alias("code"), F.concat(F.col("large_coord_extrema").cast("string"), F.lit(FAR_OUT.format(limit=t.large_coordinate))).alias("message"), F.lit("high").alias("severity")),
         ),
         F.when(
             F.col("deepest_nesting") >= config.deepest_nesting_warning,
-            F.struct(F.lit("deep_nesting").alias("code"), F.concat(F.lit("Selection contains "), F.col("deepest_nesting").cast("string"), F.lit(f" levels of nested groups/components (warning threshold: {config.deepest_nesting_warning}).")).alias("message"), F.lit("low").alias("severity")),
+            F.struct(F.lit("deep_nesting").alias("code"), F.concat(F.lit(NESTED[0]), F.col("deepest_nesting").cast("string"), F.lit(NESTED[1].format(limit=config.deepest_nesting_warning))).alias("message"), F.lit("low").alias("severity")),
         ),
     )
     return facts.select(F.explode(F.array_compact(rules)).alias("w")).select("w.*")
