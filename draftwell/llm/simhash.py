@@ -5,8 +5,8 @@ fewer differing bits agree in one of four 16-bit blocks and, of what is left, in
 each fingerprint therefore joins 16 shards keyed by such a pair of blocks, and every link lies inside a shard.
 A shard is a BK-tree: children hang by their integer Hamming distance to the parent, and a search follows only
 edges within the radius. Shards of more than ``SHARD`` fingerprints are split into tree parts, and each part is
-sent to every query part of that shard, so no task ever holds more than two parts. A task returns a
-spanning forest of its links, at most one row per fingerprint, and the forests are joined into components.
+sent to every query part of that shard, so no task ever holds more than two parts. A task joins its
+links into groups and returns, for each member, a pair with the group's least node; the pairs are joined into components.
 """
 
 from __future__ import annotations
@@ -115,12 +115,11 @@ class BKTree:
 
 
 def _forest(tree: list[tuple[int, int]], asked: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """Links between the nodes of ``tree`` and of ``asked`` (the same list: within it), as a spanning forest.
+    """Links between the nodes of ``tree`` and of ``asked`` (the same list: within it), as stars around the least node.
 
-    Both are lists of (fingerprint, node).
+    Both are lists of (fingerprint, node). Shards that see the same group give the same stars, which later collapse.
     """
     top: dict[int, int] = {}
-    links: list[tuple[int, int]] = []
     owner: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -130,8 +129,7 @@ def _forest(tree: list[tuple[int, int]], asked: list[tuple[int, int]], radius: i
 
     def join(x: int, y: int) -> None:
         if (a := root(x)) != (b := root(y)):
-            top[a] = b
-            links.append((x, y))
+            top[max(a, b)] = min(a, b)
 
     bk, same = BKTree(), tree is asked
     if not same:
@@ -144,7 +142,7 @@ def _forest(tree: list[tuple[int, int]], asked: list[tuple[int, int]], radius: i
         if same:
             bk.add(x)
             join(node, owner.setdefault(x, node))
-    return links
+    return [(x, r) for x in list(top) if (r := root(x)) != x]
 
 
 def _linked(radius: int):
