@@ -7,11 +7,17 @@ A shard is a BK-tree: children hang by their integer Hamming distance to the par
 edges within the radius. Shards of more than ``SHARD`` fingerprints are split into tree parts, and each part is
 sent to every query part of that shard, so no task ever holds more than two parts. A task joins its
 links into groups and returns, for each member, a pair with the group's least node; the pairs are joined into components.
+
+``similar_groups`` asks for a measured similarity instead: the share of common shingles. Candidates are the links of one
+fingerprint and the texts that agree in one of ``BANDS`` bands of ``ROWS`` least hashes (MinHash): two texts at 0.8 share
+none in 0.4 % of cases. Within a band every text is compared, by its sketch of all least hashes, with the texts that lead
+it; what may reach the similarity is then decided on the texts themselves, and only verified pairs are joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,7 @@ from .batches import slices
 SHARD = 2048
 RADIUS = 3
 SEEDS = 12  # fingerprints a text in near_dedup; a pair at 5 bits on average is then found with 97 %
+BANDS, ROWS = 18, 6  # a pair at 0.8 shares a band with 1 - (1 - 0.8 ** 6) ** 18 = 99.6 %
 _CHUNK = 65_536
 
 
@@ -34,26 +41,34 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def signature(text: bytes | None, shingle: int, seeds: int) -> list[int]:
     """``seeds`` fingerprints; the first is that of the hashes themselves, the others of remixed hashes."""
+    if not (text or b"").split():
+        return [0] * seeds
+    return _signature(shingles(text, shingle), seeds)
+
+
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of all shingles, in the order of the text; of all the words, if they are fewer than ``shingle``."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return [0] * seeds
+    if len(words) < shingle:
+        return np.array([xxh64_intdigest(b" ".join(words), 42)], dtype="<u8")
     whole = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    if len(words) < shingle:
-        spans = [(0, len(whole))]
-    else:
-        spans = list(zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True))
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(whole[s:e], 42) for s, e in spans), "<u8", len(words) - shingle + 1)
+
+
+def _signature(hashes: np.ndarray, seeds: int) -> list[int]:
     ones = np.zeros((seeds, 64), np.int64)
-    for at in range(0, len(spans), _CHUNK):
-        part = np.array([xxh64_intdigest(whole[s:e], 42) for s, e in spans[at : at + _CHUNK]], dtype="<u8")
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK]
         for k in range(seeds):
             mixed = _remixed(part, k) if k else part
             ones[k] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(spans), axis=1, bitorder="little").view("<u8").ravel().tolist()
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
 def _remixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -62,6 +77,25 @@ def _remixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@cache
+def _factors() -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(b"%d" % k) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)[:, None]
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Keys of the ``BANDS`` bands, and one byte of each of the BANDS * ROWS least hashes."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[at : at + 4096] * _factors()).min(axis=1))
+    mixed = _remixed(least, 1)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in mixed.reshape(BANDS, ROWS).T:
+        keys = _remixed(keys ^ row, 2)
+    return keys.view(np.int64), (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def _fingerprints(shingle: int, seeds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -254,12 +288,164 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marks.select("id", "fp").join(of, "fp").select("id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, seeds: int = SEEDS) -> DataFrame:
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            fps, keys, sigs = [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingles(text, shingle)
+                fps.append(_signature(hashes, 1)[0])
+                key, sig = sketch(np.unique(hashes))
+                keys.append(key)
+                sigs.append(sig)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys)))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), bands, pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "fp", "bands", "sig"])
+
+    return run
+
+
+def _candidates(similarity: float):
+    """Pairs of a band's texts and leaders whose sketches allow ``similarity``; a text close to no leader is one itself."""
+    m = BANDS * ROWS
+    error = (similarity * (1 - similarity) / m) ** 0.5
+    allows, same = round(m * (similarity - 3.5 * error)), round(m * (similarity + 1.3 * error))
+
+    def within(side: np.ndarray, node: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
+        led, at, n, out, two = np.empty_like(sig), np.empty_like(node), 0, [], side.any()
+        for s, x, row in zip(side.tolist(), node.tolist(), sig, strict=True):
+            agree = (led[:n] == row).sum(axis=1)
+            if s or not two:  # the tree's own pairs come from the part that meets itself
+                out += [(x, y) for y in at[:n][agree >= allows].tolist()]
+            if not s and not (agree >= same).any():
+                led[n], at[n], n = row, x, n + 1
+        return out
+
+    def solve(rows: np.ndarray, sig: np.ndarray) -> pa.RecordBatch | None:
+        """rows: key, part pair, side (0 tree, 1 query), node; sorted."""
+        if not rows.shape[1]:
+            return None
+        fresh = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+        pairs = []
+        for s, e in zip([0, *fresh.tolist()], [*fresh.tolist(), rows.shape[1]], strict=True):
+            if e - s > 1:
+                pairs += within(rows[2][s:e], rows[3][s:e], sig[s:e])
+        if not pairs:
+            return None
+        both = np.array(pairs, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both.max(axis=1)), pa.array(both.min(axis=1))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, sigs = np.empty((4, 0), np.int64), np.empty((0, m), np.uint8)
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]])
+            rows = np.concatenate([kept, rows], axis=1)
+            sigs = np.concatenate([sigs, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, m)])
+            if not rows.shape[1]:
+                continue
+            before = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            last = int(before[-1]) + 1 if len(before) else 0
+            out = solve(rows[:, :last], sigs[:last])
+            kept, sigs = rows[:, last:], sigs[last:]
+            if out is not None:
+                yield out
+        if (out := solve(kept, sigs)) is not None:
+            yield out
+
+    return run
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common values of two arrays of distinct ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _verified(shingle: int, similarity: float):
+    """Rows ``a, ta, b, tb`` to stars around the least node of what the task's pairs of enough similarity connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
+        known: dict[int, np.ndarray] = {}
+
+        def root(x: int) -> int:
+            while (up := top.setdefault(x, x)) != x:
+                top[x] = x = top.setdefault(up, up)
+            return x
+
+        def of(x: int, text: bytes) -> np.ndarray:
+            if x not in known:
+                if len(known) >= 256:
+                    known.pop(next(iter(known)))
+                known[x] = np.unique(shingles(text, shingle))
+            return known[x]
+
+        for batch in batches:
+            for a, ta, b, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root(a) != root(b) and similarity_of(of(a, ta), of(b, tb)) >= similarity:
+                    x, y = root(a), root(b)
+                    top[max(x, y)] = min(x, y)
+        stars = [(x, r) for x in list(top) if (r := root(x)) != x]
+        if stars:
+            both = np.array(stars, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def similar_links(marks: DataFrame, texts: DataFrame, shingle: int, similarity: float, shard: int = SHARD) -> DataFrame:
+    """Links ``a, b`` of nodes that verified pairs connect; ``marks`` has one row a node, ``texts`` may repeat ``node, t``."""
+    rows = marks.select("node", "sig", F.explode("bands").alias("key"))
+    sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    rows = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("size") / shard).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    own = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.struct((F.least("part", o) * F.col("parts") + F.greatest("part", o)).cast("bigint").alias("pair"), (o < F.col("part")).cast("int").alias("side")),
+    )
+    dealt = rows.select("key", "node", "sig", F.explode(own).alias("x")).select("key", "x.pair", "x.side", "node", "sig")
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side", "node")
+    banded = sorted_.mapInArrow(_candidates(similarity), "a bigint, b bigint")
+    printed = near_links(marks.select("fp", "node")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # written out, so that a text which leads very many is a join side that can be split
+    pairs = cut(banded.unionByName(printed).where("a <> b").distinct())
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    held = cut(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(held.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+    return both.select("a", "ta", "b", "tb").mapInArrow(_verified(shingle, similarity), "a bigint, b bigint")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float = 0.8) -> DataFrame:
+    """``id, component_id`` for every row; ``component_id`` is the smallest identifier that verified pairs reach.
+
+    A pair counts if its texts share ``similarity`` of their distinct shingles or more; a text of fewer words is one
+    shingle. Equal texts are one node. Null and wordless texts are alike.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("t"))
+    marks = cut(rows.mapInArrow(_sketches(shingle), f"id {kind}, node bigint, fp bigint, bands array<bigint>, sig binary"))
+    links = similar_links(marks.drop("id").dropDuplicates(["node"]), rows.select("node", "t"), shingle, similarity)
+    nodes = connected_components(links)
+    heads = cut(marks.groupBy("node").agg(F.min("id").alias("least")))
+    names = cut(nodes.join(heads, "node").groupBy("component").agg(F.min("least").alias("name")))
+    far = nodes.join(names, "component").select("node", "name")
+    of = cut(heads.join(far, "node", "left").select("node", F.coalesce("name", "least").alias("component_id")))
+    return marks.select("id", "node").join(of, "node").select("id", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, seeds: int = SEEDS, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest identifier; columns as they came.
 
+    Groups are those of :func:`near_groups`; with a ``similarity``, those of :func:`similar_groups`, which verifies
+    every pair by its share of common shingles.
     Rows that share an identifier stand or fall together; a row without one goes if its group has a named row.
     """
-    groups = near_groups(docs, id_col, text_col, shingle, radius, seeds)
+    if similarity is None:
+        groups = near_groups(docs, id_col, text_col, shingle, radius, seeds)
+    else:
+        groups = similar_groups(docs, id_col, text_col, shingle, similarity)
     gone = groups.where("component_id IS NOT NULL AND NOT (id <=> component_id)").select(F.col("id").alias("__id")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
 

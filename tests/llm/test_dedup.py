@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,55 @@ def test_more_seeds_find_more_near_copies(spark):
     assert 120 - len(left[simhash.SEEDS]) >= 54 and 120 - len(left[1]) < 30
 
 
+def five_word_pairs(rng, low, high, count):
+    """Pairs of random texts whose five-word similarity, taken plainly, lies in a band; ids i and 1000 + i."""
+    sh = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows = []
+    while len(rows) < 2 * count:
+        w = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        v = list(w)
+        for k in rng.sample(range(300), rng.randrange(1, 16)):
+            v[k] = f"x{rng.randrange(4000)}"
+        if low <= len(sh(w) & sh(v)) / len(sh(w) | sh(v)) < high:
+            i = len(rows) // 2
+            rows += [(i, " ".join(w)), (1000 + i, " ".join(v))]
+    return rows
+
+
+@pytest.mark.parametrize(("low", "high"), [(0.8, 0.82), (0.82, 0.86), (0.86, 0.95)])
+def test_near_stage_finds_copies_from_the_threshold_on(spark, low, high):
+    rows = five_word_pairs(random.Random(13), low, high, 100)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near(spark, docs(spark, rows), None).collect())
+    assert set(range(100)) <= set(kept) and len(kept) <= 102  # 98 % at least
+
+
+@pytest.mark.parametrize("shard", [4, 2048])
+def test_similar_links_of_large_groups(spark, shard):
+    """Copies of one text that share bands, dealt over several parts of a shard, end in one group each."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(3):
+        w = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        for _ in range(30):
+            v = list(w)
+            v[rng.randrange(300)] = "changed"
+            texts.append(" ".join(v))
+    rows = [(k, t.encode()) for k, t in enumerate(texts)]
+    marks = spark.createDataFrame(rows, "node bigint, t binary").select(F.lit(0).alias("id"), "node", "t")
+    marks = marks.mapInArrow(simhash._sketches(5), "id int, node bigint, fp bigint, bands array<bigint>, sig binary")
+    links = simhash.similar_links(marks, spark.createDataFrame(rows, "node bigint, t binary"), 5, 0.8, shard).collect()
+    label = list(range(90))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for r in links:
+        label[root(r.a)] = root(r.b)
+    assert [len({root(k) for k in range(g, g + 30)}) for g in (0, 30, 60)] == [1, 1, 1] and len({root(k) for k in range(90)}) == 3
+
+
 @pytest.mark.parametrize("shard", [4, 2048])
 def test_links_span_all_groups(spark, shard):
     """Dense clusters, chains and strangers; small shards exercise the split of hot ones."""
