@@ -25,8 +25,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs sharing 80 % of their shingles connect."""
-    return simhash.near_dedup(docs, similarity=0.8)
+    """One document of each group that pairs sharing 80 % of their five-word shingles connect."""
+    return simhash.near_dedup(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

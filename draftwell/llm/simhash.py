@@ -416,7 +416,7 @@ def similar_links(marks: DataFrame, texts: DataFrame, shingle: int, similarity:
     return both.select("a", "ta", "b", "tb").mapInArrow(_verified(shingle, similarity), "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id, component_id`` for every row; ``component_id`` is the smallest identifier that verified pairs reach.
 
     A pair counts if its texts share ``similarity`` of their distinct shingles or more; a text of fewer words is one

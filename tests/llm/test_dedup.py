@@ -139,6 +139,12 @@ def test_near_stage_finds_copies_from_the_threshold_on(spark, low, high):
     assert set(range(100)) <= set(kept) and len(kept) <= 102  # 98 % at least
 
 
+def test_near_stage_keeps_what_is_under_the_threshold(spark):
+    rows = five_word_pairs(random.Random(15), 0.68, 0.8, 100)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near(spark, docs(spark, rows), None).collect())
+    assert kept == sorted(i for i, _ in rows)
+
+
 @pytest.mark.parametrize("shard", [4, 2048])
 def test_similar_links_of_large_groups(spark, shard):
     """Copies of one text that share bands, dealt over several parts of a shard, end in one group each."""
