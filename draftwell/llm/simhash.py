@@ -440,14 +440,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Groups are those of :func:`near_groups`; with a ``similarity``, those of :func:`similar_groups`, which verifies
     every pair by its share of common shingles.
-    Rows that share an identifier stand or fall together; a row without one goes if its group has a named row.
+
+    Of different texts under that identifier the one of the least hash stays; rows equal in identifier and text stand or
+    fall together. A row without an identifier goes if its group has a named row, and stays otherwise.
     """
+    marked = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    # named rows come first in the order of the structs
+    name = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col("__text_key").alias("key"))
+    rows = marked.select(name.alias("__name"), F.col(text_col).alias("__text"))
     if similarity is None:
-        groups = near_groups(docs, id_col, text_col, shingle, radius, seeds)
+        groups = near_groups(rows, "__name", "__text", shingle, radius, seeds)
     else:
-        groups = similar_groups(docs, id_col, text_col, shingle, similarity)
-    gone = groups.where("component_id IS NOT NULL AND NOT (id <=> component_id)").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
+        groups = similar_groups(rows, "__name", "__text", shingle, similarity)
+    lost = groups.where("NOT component_id.nameless AND id <> component_id")
+    gone = lost.select(F.col("id.id").alias("__id"), F.col("id.key").alias("__key")).distinct()
+    return marked.join(gone, marked[id_col].eqNullSafe(gone["__id"]) & (marked["__text_key"] == gone["__key"]), "left_anti").drop("__text_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -117,6 +117,18 @@ def test_more_seeds_find_more_near_copies(spark):
     assert 120 - len(left[simhash.SEEDS]) >= 54 and 120 - len(left[1]) < 30
 
 
+@pytest.mark.parametrize("how", [{"seeds": 1}, {"shingle": 5, "similarity": 0.8}])
+def test_near_dedup_with_shared_and_null_ids(spark, how):
+    rng = random.Random(16)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(4000)}" for _ in range(200)) for _ in range(5))
+    rows = [(1, a), (None, a.upper()), (None, b), (None, c), (None, c.upper()), (5, d), (7, d.upper()), (7, e), (7, e), (9, b.upper() + "\n")]
+    rows += [(11, "one two"), (11, "ONE TWO")]
+    got = [(r.doc_id, r.text) for r in simhash.near_dedup(docs(spark, rows), **how).collect()]
+    assert sorted(t for i, t in got if i is None) == sorted([c, c.upper()])  # no named row in their group
+    assert sorted(x for x in got if x[0] not in (None, 11)) == sorted([(1, a), (5, d), (7, e), (7, e), (9, b.upper() + "\n")])
+    assert len([x for x in got if x[0] == 11]) == 1
+
+
 def five_word_pairs(rng, low, high, count):
     """Pairs of random texts whose five-word similarity, taken plainly, lies in a band; ids i and 1000 + i."""
     sh = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
