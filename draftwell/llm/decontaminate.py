@@ -5,7 +5,8 @@ replaced word under an ignored position does not break it. Every position of eve
 benchmark item is hashed under each mask; equal hashes are hits, and each hit fixes an alignment (diagonal)
 of item and text. The alignment is then compared token by token around the hit: a text is contaminated when,
 somewhere along it, 80 % of ``WINDOW`` consecutive item tokens (of all of them, if the item is shorter) stand
-at their places. The masks were chosen so that every 16 aligned tokens with three replaced ones hold a seed.
+at their places. The masks were chosen so that every 16 aligned tokens with three replaced ones hold a seed;
+items of 10 and 11 tokens, where two replaced ones can break all three masks, are also hashed under ``MIDDLE``.
 
 Benchmark seeds are broadcast in blocks of at most ``BLOCK_SEEDS`` rows (about 20 MB); a larger benchmark takes
 more passes over the texts rather than a larger broadcast.
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import table
 
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 2, 4, 7), (0, 1, 3, 4, 5))
+MIDDLE = (0, 1, 5, 6, 7)
 SPAN = 8
 MIN_ITEM = 5
 WINDOW = 16
@@ -67,6 +69,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own = F.col("il").between(SPAN, 1 << 30) & (F.col("__m") < len(MASKS))
     for i, k in enumerate(short):
         own = own | ((F.col("il") == k) & (F.col("__m") == len(MASKS) + i))
+    if items.where(F.col("il").between(10, 11)).limit(1).count():
+        own = own | (F.col("il").between(10, 11) & (F.col("__m") == len(masks)))
+        masks.append(MIDDLE)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     texts = texts.select("id", F.xxhash64("t").alias("text_key"), tokens(F.col("t")).alias("th")).withColumn("n", F.size("th"))
     places = _seeds(texts, "th", "n", "pos", masks)

@@ -1,6 +1,7 @@
 """Exact, near and substring deduplication and decontamination against brute force."""
 
 import hashlib
+import itertools
 import random
 
 import corpus_pipeline
@@ -317,6 +318,24 @@ def test_contamination(spark):
     assert decontaminate.contamination(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_items_of_8_to_16_tokens_match_by_the_rule(spark):
+    """Every choice of the replaced tokens that leaves 80 % of the item, against the rule and not the seeds."""
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in range(8, 17)]
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items], "item_id bigint, text string")
+    rows, want = [], set()
+    for n, t in items:
+        most = n - -(-n * 4 // 5)
+        for size in (most, most + 1):
+            for off in itertools.combinations(range(n), size):
+                if size == most:
+                    want.add((len(rows), n))
+                elif len(off) > 2 and off[0]:
+                    continue
+                rows.append((len(rows), " ".join(["a", "b", *("zz" if k in off else w for k, w in enumerate(t)), "c"])))
+    got = decontaminate.contamination(docs(spark, rows), bench).select("id", "item_id").collect()
+    assert {(r.id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     rng = random.Random(11)
     items = [(i, " ".join(f"v{rng.randrange(500)}" for _ in range(20))) for i in range(12)]
