@@ -7,10 +7,10 @@ and the other half. Shifting is invertible whatever the draws, so each kind is p
 check digits are computed anew. The key and the value alone decide the pseudonym, so equal values stay linked across
 documents and across ways of punctuating them. With ``backwards`` the rounds run in reverse and give the text back.
 
-Kinds: payment cards (13 to 19 digits, Luhn), IBANs (mod 97), social security numbers (assignable ones), phone
+Kinds: payment cards (13 to 19 digits in one run, or grouped 4-4-4-4 or 4-6-5; Luhn), IBANs (mod 97), social security numbers (assignable ones), phone
 numbers (country prefix, or the ten-digit form with separators), IPv4 addresses, dates from 1900 to 2099 (year
 first with hyphens, day first with dots, month first with slashes), e-mail addresses (the local part), and secrets
-given as ``token = ...``. What fails validation, a version number or a card number off by one, stays as it is.
+given as ``token = ...`` in any case, of 16 characters or more, with further segments after dots. What fails validation, a version number or a card number off by one, stays as it is.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ PATTERNS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9+])(?:\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9]|-[0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
-    "secret": r"(?<=(?:token|secret|password|api_key|apikey) ?[=:] ?[\"']?)[A-Za-z0-9_-]{16,128}",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]|-[0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
+    "secret": r"(?<=(?i:token|secret|password|api_key|apikey) ?[=:] ?[\"']?)[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]+)*",
 }
 ANY = "|".join(PATTERNS.values())
 KINDS = list(PATTERNS)
@@ -236,7 +236,7 @@ _SHAPES = {
     "date": r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})$",
     "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$",
     "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
-    "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
+    "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$",
     "phone": r"^(?:\+[0-9 ().-]+|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})$",
 }
 

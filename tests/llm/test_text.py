@@ -103,6 +103,19 @@ def luhn(s):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
 
+def test_pseudonyms_of_long_secrets_and_other_groupings(spark):
+    long, jwt, upper = "Ab3_" * 75, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.dBjftJeZ4CVP-mB92K27uhbU", "abcdefghijklmnop0123"
+    texts = [f"token = {long} end", f"token: {jwt}. Next", f"API_KEY={upper} x", "card 3782 822463 10005 or 3782-822463-10005 not 3782 822463 10006"]
+    out = pseudonyms.pseudonymise(docs(spark, list(enumerate(texts))))
+    got = {r.id: r for r in out.collect()}
+    assert [[f.value for f in got[k].found] for k in range(3)] == [[long], [jwt], [upper]]
+    assert [f.kind for f in got[3].found] == ["card"] * 2 and got[3].text.endswith("not 3782 822463 10006")
+    assert "Ab3_" * 3 not in got[0].text and got[0].text.endswith(" end") and got[1].text.endswith(". Next")
+    assert not any(part in got[1].text for part in jwt.split("."))
+    back = pseudonyms.pseudonymise(out.select(F.col("id").alias("doc_id"), "text"), backwards=True).collect()
+    assert {r.id: r.text for r in back} == dict(enumerate(texts))
+
+
 def test_pseudonyms_round_trip_and_format(spark):
     texts = [
         "call +1 (499) 555-6503 or 55.148.143.52 now", "card 4845168114407329 vs 9807915762804490 and 4845-1681-1440-7329", "x und.34@mail7.example.com, y",
