@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import table
+from .exact_dedup import fresh_name
 
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 2, 4, 7), (0, 1, 3, 4, 5))
 MIDDLE = (0, 1, 5, 6, 7)
@@ -107,10 +108,11 @@ def _verified(hits: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item (see :func:`contamination`); columns as they came."""
+    """``docs`` without the rows whose text holds a benchmark item (see :func:`contamination`); columns as they came, whatever their names."""
     bad = contamination(docs, benchmark, id_col, text_col).select(F.col("id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    marked = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return marked.join(bad, marked[id_col].eqNullSafe(bad["__id"]) & (marked["__text_key"] == bad["__key"]), "left_anti").drop("__text_key")
+    key = fresh_name(docs, "__text_key")
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return marked.join(bad, marked[id_col].eqNullSafe(bad["__id"]) & (marked[key] == bad["__key"]), "left_anti").drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -152,10 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
     give a field that scores every text 0.5.
     """
     good = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    few = good.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).distinct()
-    few = few.orderBy(F.xxhash64("__id"), "__id", "y").limit(sample)
-    rows = docs.join(F.broadcast(few), docs[id_col] == few["__id"]).where(F.col(text_col).isNotNull())
-    rows = rows.select("y", F.col(text_col).cast("string").cast("binary").alias("t"))
+    few = good.select(F.struct(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).alias("few")).distinct()
+    few = few.orderBy(F.xxhash64("few.id"), "few.id", "few.y").limit(sample)
+    # both sides are one column of a name of their own: no column of the documents can clash
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).alias("doc"))
+    rows = texts.join(F.broadcast(few), F.col("doc.id") == F.col("few.id")).select(F.col("few.y").alias("y"), F.col("doc.t").alias("t"))
     found = rows.mapInArrow(_features, "y int, x binary").collect()
     found.sort(key=lambda r: (r.y, bytes(r.x)))  # the result doesn't hang on the order of arrival
     return train([(np.frombuffer(r.x, np.float32).reshape(-1, WIDTH), r.y) for r in found])

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.components import connected_components
 from ..session import cut, table
 from .batches import slices
+from .exact_dedup import fresh_name
 
 SHARD = 2048
 RADIUS = 3
@@ -444,9 +445,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of different texts under that identifier the one of the least hash stays; rows equal in identifier and text stand or
     fall together. A row without an identifier goes if its group has a named row, and stays otherwise.
     """
-    marked = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    key = fresh_name(docs, "__text_key")
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     # named rows come first in the order of the structs
-    name = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col("__text_key").alias("key"))
+    name = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col(key).alias("key"))
     rows = marked.select(name.alias("__name"), F.col(text_col).alias("__text"))
     if similarity is None:
         groups = near_groups(rows, "__name", "__text", shingle, radius, seeds)
@@ -454,7 +456,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = similar_groups(rows, "__name", "__text", shingle, similarity)
     lost = groups.where("NOT component_id.nameless AND id <> component_id")
     gone = lost.select(F.col("id.id").alias("__id"), F.col("id.key").alias("__key")).distinct()
-    return marked.join(gone, marked[id_col].eqNullSafe(gone["__id"]) & (marked["__text_key"] == gone["__key"]), "left_anti").drop("__text_key")
+    return marked.join(gone, marked[id_col].eqNullSafe(gone["__id"]) & (marked[key] == gone["__key"]), "left_anti").drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,51 @@ def test_exact_hot_group(spark):
     assert sorted(r.id for r in got) == [0, *range(1000, 1050)]
 
 
+def test_exact_runs_over_borders(spark):
+    """Long common prefixes, and groups that several ranges share, against plain grouping."""
+    rng = random.Random(8)
+    stem = "Lorem " * 2000
+    rows = [(i, stem + str(rng.randrange(12))) for i in range(300)] + [(400 + i, rng.choice(["hot", "HOT"])) for i in range(900)]
+    rows += [(2000 + i, f"own {i}") for i in range(100)] + [(3000 + i, None) for i in range(150)] + [(410, "hot"), (None, "hot"), (None, "hot")]
+    want = {}
+    for i, t in rows:
+        want.setdefault((t or "").lower(), []).append(i)
+    for keep, best in (("max", max), ("min", min)):
+        got = exact_dedup.exact_groups(docs(spark, rows), keep=keep, partitions=16).collect()
+        assert len(got) == len(rows)
+        sizes = {hashlib.sha256(t.encode()).hexdigest(): (len(g), best(x for x in g if x is not None)) for t, g in want.items()}
+        assert all((r.group_size, r.keep_id) == sizes[r.text_sha256] for r in got)
+        assert sorted(r.id for r in got if r.kept) == sorted(b for _, b in sizes.values())
+        assert sum(r.again for r in got) == 2
+
+
+def test_exact_splitters_are_short(spark):
+    frame = docs(spark, [(i, "é" * 100_000 + str(i)) for i in range(40)])
+    keys = exact_dedup._splitters(frame, "doc_id", "text", 8)
+    assert len(keys) == 7 and all(len(h) <= exact_dedup.PREFIX for h, _, _ in keys)
+
+
+def test_clashing_names(spark):
+    """Columns called like inner ones come back untouched, from every stage."""
+    from draftwell.llm import quality
+
+    schema = "doc_id bigint, text string, y int, __text_sha string, __text_key string, __id int, __sha string, __key int, few int, doc int, range int, norm int, hash int"
+    rows = [(i, t, 1, "s", "k", 2, "h", 3, 4, 5, 6, 7, 8) for i, t in [(1, "a b"), (2, "A b"), (3, "one two three four five six seven eight nine ten"), (4, None), (3, "other")]]
+    frame = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(1, 1, 9), (2, 0, 9), (3, 1, 9), (4, 0, 9), (None, 1, 9)], "doc_id bigint, quality int, y int")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten", 1)], "item_id bigint, text string, il int")
+    tail = tuple(rows[0][2:])
+    for out, ids in (
+        (exact_dedup.exact_dedup(frame), [1, 3, 3, 4]),
+        (decontaminate.decontaminate(frame, items), [1, 2, 3, 4]),
+        (simhash.near_dedup(frame, shingle=5, similarity=0.8), [1, 3, 3, 4]),
+        (quality.keep_good(frame, quality.fit(frame, labels), least=0.0), [1, 2, 3, 3, 4]),
+    ):
+        assert out.columns == frame.columns
+        got = out.collect()
+        assert sorted(r.doc_id for r in got) == ids and all(tuple(r[2:]) == tail for r in got)
+
+
 # ---- near
 
 
