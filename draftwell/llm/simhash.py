@@ -10,8 +10,13 @@ links into groups and returns, for each member, a pair with the group's least no
 
 ``similar_groups`` asks for a measured similarity instead: the share of common shingles. Candidates are the links of one
 fingerprint and the texts that agree in one of ``BANDS`` bands of ``ROWS`` least hashes (MinHash): two texts at 0.8 share
-none in 0.4 % of cases. Within a band every text is compared, by its sketch of all least hashes, with the texts that lead
-it; what may reach the similarity is then decided on the texts themselves, and only verified pairs are joined.
+none in 0.4 % of cases. Only verified pairs are joined, in two rounds that never list the pairs of a group:
+
+1. In a band every text is compared, by its sketch of all least hashes, with the texts that lead it, and offers itself
+   to the best of them: one pair a text and band. The pairs are verified on the texts and joined.
+2. Bands that still hold several groups are looked at again. Texts whose sketches allow a link to a text of another group
+   come together once more, with their texts, and every such pair is measured, unless a link found meanwhile has joined it.
+   Bands of many or of long texts are split into parts, and parts meet in pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ SHARD = 2048
 RADIUS = 3
 SEEDS = 12  # fingerprints a text in near_dedup; a pair at 5 bits on average is then found with 97 %
 BANDS, ROWS = 18, 6  # a pair at 0.8 shares a band with 1 - (1 - 0.8 ** 6) ** 18 = 99.6 %
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000  # most texts, and about most shingles, of a part of a band
 _CHUNK = 65_536
 
 
@@ -292,87 +298,173 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            fps, keys, sigs = [], [], []
+            fps, keys, sigs, sizes = [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingles(text, shingle)
                 fps.append(_signature(hashes, 1)[0])
-                key, sig = sketch(np.unique(hashes))
+                own = np.unique(hashes)
+                key, sig = sketch(own)
                 keys.append(key)
                 sigs.append(sig)
+                sizes.append(len(own))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys)))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), bands, pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "fp", "bands", "sig"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), bands, pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "fp", "bands", "sig", "n"])
 
     return run
 
 
-def _candidates(similarity: float):
-    """Pairs of a band's texts and leaders whose sketches allow ``similarity``; a text close to no leader is one itself."""
+def _allowed(similarity: float) -> tuple[int, int]:
+    """Equal least hashes that a pair at ``similarity`` has with near certainty at least, and those that speak for it clearly."""
     m = BANDS * ROWS
     error = (similarity * (1 - similarity) / m) ** 0.5
-    allows, same = round(m * (similarity - 3.5 * error)), round(m * (similarity + 1.3 * error))
+    return round(m * (similarity - 3.5 * error)), round(m * (similarity + 1.3 * error))
 
-    def within(side: np.ndarray, node: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-        led, at, n, out, two = np.empty_like(sig), np.empty_like(node), 0, [], side.any()
-        for s, x, row in zip(side.tolist(), node.tolist(), sig, strict=True):
-            agree = (led[:n] == row).sum(axis=1)
-            if s or not two:  # the tree's own pairs come from the part that meets itself
-                out += [(x, y) for y in at[:n][agree >= allows].tolist()]
-            if not s and not (agree >= same).any():
-                led[n], at[n], n = row, x, n + 1
-        return out
 
-    def solve(rows: np.ndarray, sig: np.ndarray) -> pa.RecordBatch | None:
-        """rows: key, part pair, side (0 tree, 1 query), node; sorted."""
-        if not rows.shape[1]:
-            return None
-        fresh = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-        pairs = []
-        for s, e in zip([0, *fresh.tolist()], [*fresh.tolist(), rows.shape[1]], strict=True):
-            if e - s > 1:
-                pairs += within(rows[2][s:e], rows[3][s:e], sig[s:e])
-        if not pairs:
-            return None
-        both = np.array(pairs, dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both.max(axis=1)), pa.array(both.min(axis=1))], names=["a", "b"])
+def _grouped(solve, schema: pa.Schema):
+    """Hands ``solve`` the rows of each (key, pair), the first two columns, by which the rows are sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, sigs = np.empty((4, 0), np.int64), np.empty((0, m), np.uint8)
+        held: list[pa.RecordBatch] = []
+
+        def groups(rows: pa.Table, key: np.ndarray, pair: np.ndarray) -> Iterator[pa.RecordBatch]:
+            fresh = np.flatnonzero((np.diff(key) != 0) | (np.diff(pair) != 0)) + 1
+            out = [solve(rows.slice(s, e - s)) for s, e in zip([0, *fresh.tolist()], [*fresh.tolist(), len(key)], strict=True) if e - s > 1]
+            rows_out = [r for part in out for r in part]
+            if rows_out:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows_out], schema=schema)
+
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]])
-            rows = np.concatenate([kept, rows], axis=1)
-            sigs = np.concatenate([sigs, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, m)])
-            if not rows.shape[1]:
+            if not batch.num_rows:
                 continue
-            before = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            rows = pa.Table.from_batches([*held, batch])
+            key, pair = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            before = np.flatnonzero((key != key[-1]) | (pair != pair[-1]))
             last = int(before[-1]) + 1 if len(before) else 0
-            out = solve(rows[:, :last], sigs[:last])
-            kept, sigs = rows[:, last:], sigs[last:]
-            if out is not None:
-                yield out
-        if (out := solve(kept, sigs)) is not None:
-            yield out
+            if last:
+                yield from groups(rows.slice(0, last), key[:last], pair[:last])
+            held = rows.slice(last).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield from groups(rows, rows.column(0).to_numpy(), rows.column(1).to_numpy())
 
     return run
 
 
+def _sigs(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+_OPEN = pa.schema([("key", pa.int64()), ("pair", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("sig", pa.binary()), ("band", pa.int32()), ("comp", pa.int64())])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _offers(similarity: float):
+    """One pair for each text of a band: with the leader whose sketch agrees best, if it allows the similarity.
+
+    A text that agrees clearly with no leader becomes one. Where two parts meet, the texts of one ask the leaders of the other.
+    """
+    allows, same = _allowed(similarity)
+
+    def solve(rows: pa.Table) -> list[tuple[int, int]]:
+        side, node, sig = rows.column("side").to_numpy(), rows.column("node").to_numpy(), _sigs(rows)
+        led, at, n, out, two = np.empty_like(sig), np.empty_like(node), 0, [], side.any()
+        for s, x, row in zip(side.tolist(), node.tolist(), sig, strict=True):
+            agree = (led[:n] == row).sum(axis=1)
+            best = int(agree.argmax()) if n else -1
+            if n and agree[best] >= allows and (s or not two):  # the tree's own pairs come from the part that meets itself
+                y = int(at[best])
+                out.append((max(x, y), min(x, y)))
+            if not s and not (n and agree[best] >= same):
+                led[n], at[n], n = row, x, n + 1
+        return out
+
+    return _grouped(solve, _LINK)
+
+
+def _open_pairs(rows: pa.Table, allows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each text the later ones of another group whose sketches allow a link, and that share no earlier band with it."""
+    side, comp, sig, band = rows.column("side").to_numpy(), rows.column("comp").to_numpy(), _sigs(rows), rows.column("band")[0].as_py()
+    early, two = sig[:, : band * ROWS].reshape(len(sig), band, ROWS), side.any()
+    for i in range(len(sig)):
+        later = np.flatnonzero(side[i + 1 :]) + i + 1 if two else np.arange(i + 1, len(sig))
+        if two and side[i] or not len(later):
+            continue
+        later = later[comp[later] != comp[i]]
+        later = later[(sig[later] == sig[i]).sum(axis=1) >= allows]
+        if band and len(later):
+            later = later[~(early[later] == early[i]).all(axis=2).any(axis=1)]
+        if len(later):
+            yield i, later
+
+
+def _open(similarity: float):
+    """The texts of a band that have an open pair there."""
+    allows, _ = _allowed(similarity)
+
+    def solve(rows: pa.Table) -> list[tuple]:
+        hit = np.zeros(rows.num_rows, bool)
+        for i, later in _open_pairs(rows, allows):
+            hit[i] = True
+            hit[later] = True
+        return [tuple(r[c] for c in _OPEN.names) for r in rows.filter(pa.array(hit)).to_pylist()] if hit.any() else []
+
+    return _grouped(solve, _OPEN)
+
+
+class _Union:
+    """Disjoint sets named by their least member."""
+
+    def __init__(self) -> None:
+        self.top: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.top.setdefault(x, x)) != x:
+            self.top[x] = x = self.top.setdefault(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.top[max(x, y)] = min(x, y)
+
+    def stars(self) -> list[tuple[int, int]]:
+        return [(x, r) for x in list(self.top) if (r := self.root(x)) != x]
+
+
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     """Share of common values of two arrays of distinct ones."""
+    if min(len(a), len(b)) == 0:
+        return float(len(a) == len(b))
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and similarity_of(a, b) >= similarity
+
+
+def _measured(shingle: int, similarity: float):
+    """The open pairs of a band, measured on the texts: stars of what is alike."""
+    allows, _ = _allowed(similarity)
+
+    def solve(rows: pa.Table) -> list[tuple[int, int]]:
+        node, comp = rows.column("node").to_pylist(), rows.column("comp").to_pylist()
+        own = [np.unique(shingles(t, shingle)) for t in rows.column("t").to_pylist()]
+        found = _Union()
+        for i, later in _open_pairs(rows, allows):
+            for j in later.tolist():
+                if found.root(comp[i]) != found.root(comp[j]) and _alike(own[i], own[j], similarity):
+                    found.join(comp[i], comp[j])
+        return found.stars()
+
+    return _grouped(solve, _LINK)
+
+
 def _verified(shingle: int, similarity: float):
     """Rows ``a, ta, b, tb`` to stars around the least node of what the task's pairs of enough similarity connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: dict[int, int] = {}
-        known: dict[int, np.ndarray] = {}
-
-        def root(x: int) -> int:
-            while (up := top.setdefault(x, x)) != x:
-                top[x] = x = top.setdefault(up, up)
-            return x
+        found, known = _Union(), {}
 
         def of(x: int, text: bytes) -> np.ndarray:
             if x not in known:
@@ -383,41 +475,58 @@ def _verified(shingle: int, similarity: float):
 
         for batch in batches:
             for a, ta, b, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if root(a) != root(b) and similarity_of(of(a, ta), of(b, tb)) >= similarity:
-                    x, y = root(a), root(b)
-                    top[max(x, y)] = min(x, y)
-        stars = [(x, r) for x in list(top) if (r := root(x)) != x]
-        if stars:
+                if found.root(a) != found.root(b) and _alike(of(a, ta), of(b, tb), similarity):
+                    found.join(a, b)
+        if stars := found.stars():
             both = np.array(stars, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return run
 
 
-def similar_links(marks: DataFrame, texts: DataFrame, shingle: int, similarity: float, shard: int = SHARD) -> DataFrame:
-    """Links ``a, b`` of nodes that verified pairs connect; ``marks`` has one row a node, ``texts`` may repeat ``node, t``."""
-    rows = marks.select("node", "sig", F.explode("bands").alias("key"))
-    sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    rows = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("size") / shard).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def _met(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of bands dealt to pairs of parts: part i is the tree and part j asks; a part also meets itself."""
+    rows = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     own = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.struct((F.least("part", o) * F.col("parts") + F.greatest("part", o)).cast("bigint").alias("pair"), (o < F.col("part")).cast("int").alias("side")),
     )
-    dealt = rows.select("key", "node", "sig", F.explode(own).alias("x")).select("key", "x.pair", "x.side", "node", "sig")
-    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side", "node")
-    banded = sorted_.mapInArrow(_candidates(similarity), "a bigint, b bigint")
+    kept = [c for c in rows.columns if c not in ("key", "parts", "part")]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("key", *kept, F.explode(own).alias("x")).select("key", "x.pair", "x.side", *kept)
+    return dealt.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side", "node")
+
+
+def _parts(block: int) -> Column:
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("parts")
+
+
+def similar_links(marks: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` of nodes that verified pairs connect; ``marks`` has one row a node, ``texts`` may repeat ``node, t``."""
+    bands = marks.select("node", "sig", "n", F.posexplode("bands").alias("band", "key"))
+    sizes = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), _parts(block)).where("size > 1").drop("size"))
+    offered = _met(bands.select("key", "node", "sig"), sizes).mapInArrow(_offers(similarity), "a bigint, b bigint")
     printed = near_links(marks.select("fp", "node")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # written out, so that a text which leads very many is a join side that can be split
-    pairs = cut(banded.unionByName(printed).where("a <> b").distinct())
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    pairs = cut(offered.unionByName(printed).where("a <> b").distinct())
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(bands.join(sizes, "key").select("node")).distinct()
     held = cut(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(held.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
-    return both.select("a", "ta", "b", "tb").mapInArrow(_verified(shingle, similarity), "a bigint, b bigint")
+    first = cut(both.select("a", "ta", "b", "tb").mapInArrow(_verified(shingle, similarity), "a bigint, b bigint"))
+    # bands with several groups left
+    groups = connected_components(first)
+    named = marks.join(groups, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp"), F.posexplode("bands").alias("band", "key"))
+    named = cut(named.join(sizes.select("key"), "key", "left_semi"))
+    mixed = cut(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), _parts(block)).where("low < high").select("key", "parts"))
+    met = _met(named.select("key", "node", "sig", "band", "comp"), mixed)
+    left = met.mapInArrow(_open(similarity), "key bigint, pair bigint, side int, node bigint, sig binary, band int, comp bigint")
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = left.join(held, "node").select("key", "pair", "side", "node", "sig", "band", "comp", "t")
+    second = whole.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side", "node").mapInArrow(_measured(shingle, similarity), "a bigint, b bigint")
+    return first.unionByName(second)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """``id, component_id`` for every row; ``component_id`` is the smallest identifier that verified pairs reach.
 
     A pair counts if its texts share ``similarity`` of their distinct shingles or more; a text of fewer words is one
@@ -426,8 +535,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("t"))
-    marks = cut(rows.mapInArrow(_sketches(shingle), f"id {kind}, node bigint, fp bigint, bands array<bigint>, sig binary"))
-    links = similar_links(marks.drop("id").dropDuplicates(["node"]), rows.select("node", "t"), shingle, similarity)
+    marks = cut(rows.mapInArrow(_sketches(shingle), f"id {kind}, node bigint, fp bigint, bands array<bigint>, sig binary, n bigint"))
+    links = similar_links(marks.drop("id").dropDuplicates(["node"]), rows.select("node", "t"), shingle, similarity, block)
     nodes = connected_components(links)
     heads = cut(marks.groupBy("node").agg(F.min("id").alias("least")))
     names = cut(nodes.join(heads, "node").groupBy("component").agg(F.min("least").alias("name")))

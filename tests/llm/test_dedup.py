@@ -216,7 +216,7 @@ def test_similar_links_of_large_groups(spark, shard):
             texts.append(" ".join(v))
     rows = [(k, t.encode()) for k, t in enumerate(texts)]
     marks = spark.createDataFrame(rows, "node bigint, t binary").select(F.lit(0).alias("id"), "node", "t")
-    marks = marks.mapInArrow(simhash._sketches(5), "id int, node bigint, fp bigint, bands array<bigint>, sig binary")
+    marks = marks.mapInArrow(simhash._sketches(5), "id int, node bigint, fp bigint, bands array<bigint>, sig binary, n bigint")
     links = simhash.similar_links(marks, spark.createDataFrame(rows, "node bigint, t binary"), 5, 0.8, shard).collect()
     label = list(range(90))
 
@@ -230,6 +230,44 @@ def test_similar_links_of_large_groups(spark, shard):
     assert [len({root(k) for k in range(g, g + 30)}) for g in (0, 30, 60)] == [1, 1, 1] and len({root(k) for k in range(90)}) == 3
 
 
+@pytest.mark.parametrize("block", [16, 512])
+def test_similar_groups_equal_all_pairs(spark, block):
+    """Groups around one text at every similarity from 0.3 on: many candidates that are no links. Against all pairs."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(4000)}" for _ in range(250)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(250), rng.randrange(0, 26)):
+            w[k] = f"x{rng.randrange(4000)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200, None), (201, ""), (202, "a b"), (203, "A  b"), (204, base[0])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    top = list(range(len(rows)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    close = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            share = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            close += 0.66 < share < 0.8
+            if share >= 0.8:
+                top[root(i)] = root(j)
+    want = {}
+    for k, (i, _) in enumerate(rows):
+        want.setdefault(root(k), set()).add(i)
+    got = {}
+    for r in simhash.similar_groups(docs(spark, rows), block=block).collect():
+        got.setdefault(r.component_id, set()).add(r.id)
+    assert close > 300 and len(want) > 10
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert all(c == min(g) for c, g in got.items())
+
+
 @pytest.mark.parametrize("shard", [4, 2048])
 def test_links_span_all_groups(spark, shard):
     """Dense clusters, chains and strangers; small shards exercise the split of hot ones."""
