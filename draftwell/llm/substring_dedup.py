@@ -14,16 +14,19 @@ or in the same one further left. Suffixes matter only up to that length, and onl
 4. The repeats return to their documents, which are cut.
 
 A key under which more than ``HOT`` different contents stand (a line that very many texts share) is not gathered in one
-task: its windows travel singly, dealt by a digest of their own bytes, and are sorted there.
+task: its windows travel singly, dealt by a digest of their own bytes, and are sorted there. Of equal ones a slice of
+documents sends the earliest only, and a task keeps one of each while they stream by.
+
+A place is one number: the start, the length of the run of window starts, and the kind, so that a record is four longs.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import cut, table
@@ -104,19 +107,28 @@ def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return doc[at], a[at], np.maximum.reduceat(b, at)
 
 
-_NAMES = ["key", "digest", "doc", "a", "b", "kind"]
-_SCHEMA = "key bigint, digest bigint, doc bigint, a int, b int, kind int"
+_NAMES = ["key", "digest", "doc", "place"]
+_SCHEMA = "key bigint, digest bigint, doc bigint, place bigint"
+_LONGEST = 1 << 30
+
+
+def _packed(a: np.ndarray, b: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    """Window starts from a to b and a kind in one number whose order is that of the starts."""
+    return a.astype(np.int64) << 33 | (b - a).astype(np.int64) << 3 | kind
 
 
-def _batch(key, digest, doc, a, b, kind) -> pa.RecordBatch:
-    as_long = lambda x: pa.array(np.asarray(x).astype(np.int64, copy=False))
-    as_int = lambda x: pa.array(np.asarray(x).astype(np.int32))
-    return pa.RecordBatch.from_arrays([as_long(key), as_long(digest), as_long(doc), as_int(a), as_int(b), as_int(kind)], names=_NAMES)
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a = place >> 33
+    return a, a + (place >> 3 & (_LONGEST - 1)), place & 7
+
+
+def _batch(key, digest, doc, place) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.int64, copy=False)) for x in (key, digest, doc, place)], names=_NAMES)
 
 
 def _repeats(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     doc, a, b = _merged(doc, a, b)
-    return _batch(doc, np.zeros(len(doc)), doc, a, b, np.full(len(doc), _REPEAT))
+    return _batch(doc, np.zeros(len(doc)), doc, _packed(a, b, _REPEAT))
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +139,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         parts, digest = [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
+            if len(text) >= _LONGEST:
+                raise ValueError("a text of a gigabyte or more has places that do not fit")
             key, a, b, again = records(text)
             digest += [xxh3_64_intdigest(text[x : y + LENGTH]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             parts.append((key, np.full(len(key), docs[i]), a, b, again))
@@ -136,7 +150,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, dig, doc, a, b = key[order].view(np.int64), dig[order].view(np.int64), doc[order], a[order], b[order]
         kind = np.where(again[order], _RECORD_AGAIN, _RECORD)
         first = np.r_[True, (key[1:] != key[:-1]) | (dig[1:] != dig[:-1])][: len(key)]
-        yield _batch(key[first], dig[first], doc[first], a[first], b[first], kind[first])
+        yield _batch(key[first], dig[first], doc[first], _packed(a[first], b[first], kind[first]))
         if not first.all():
             yield _repeats(doc[~first], a[~first], b[~first])
 
@@ -146,14 +160,14 @@ def _meet(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
 
     A key with more than ``limit`` kinds of bytes is not held whole: it is taken as hot while it streams by.
     """
-    rest: list[np.ndarray] = [np.empty((6, 0), np.int64)]
+    rest: list[np.ndarray] = [np.empty((4, 0), np.int64)]
     hot: dict[str, int | None] = {"key": None, "digest": None}
 
     def emit(rows: np.ndarray, ask: np.ndarray, dup: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
         if ask.any():
-            yield _batch(*rows[:5, ask], kind[ask])
+            yield _batch(*rows[:3, ask], rows[3, ask] & ~7 | kind[ask])
         if dup.any():
-            yield _repeats(rows[2][dup], rows[3][dup], rows[4][dup])
+            yield _repeats(rows[2][dup], *_unpacked(rows[3][dup])[:2])
 
     def streamed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, dig = rows[0], rows[1]
@@ -170,14 +184,13 @@ def _meet(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
         first = new_key | np.r_[True, dig[1:] != dig[:-1]]
         at = np.flatnonzero(new_key)
         many = np.repeat(np.add.reduceat(first.astype(np.int64), at), np.diff(np.r_[at, len(key)]))
-        yield from emit(rows, first & ((many > 1) | (rows[5] == _RECORD_AGAIN)), ~first, np.where(many > limit, _ASK_HOT, _ASK))
+        yield from emit(rows, first & ((many > 1) | (rows[3] & 7 == _RECORD_AGAIN)), ~first, np.where(many > limit, _ASK_HOT, _ASK))
 
     for batch in batches:
-        kinds = batch.column(5).to_numpy()
-        if (done := kinds == _REPEAT).any():
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        if (done := rows[3] & 7 == _REPEAT).any():
             yield batch.filter(pa.array(done))
-            batch = batch.filter(pa.array(~done))
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            rows = rows[:, ~done]
         rows = np.concatenate([rest.pop(), rows], axis=1)
         if hot["key"] is not None and rows.shape[1]:
             n = int((rows[0] == hot["key"]).sum())
@@ -198,27 +211,45 @@ def _meet(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3a: (doc, text, questions) to rows (key, doc, a, bytes); the windows of hot keys singly."""
+    """Step 3a: (doc, id, text, questions) to rows (key, doc, place, bytes); the windows of hot keys singly.
+
+    Of equal windows of hot keys only the earliest of the slice goes on; the others are repeats, rows without bytes.
+    """
     from xxhash import xxh3_64_intdigest
 
-    names = ["key", "doc", "a", "bytes"]
-    for batch in slices(batches, 1):
-        key, doc, start, content = [], [], [], []
-        for d, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for q in asked:
-                if q["kind"] == _ASK:
+    names = ["key", "doc", "place", "bytes"]
+    for batch in slices(batches, 2):
+        key, doc, place, content = [], [], [], []
+        hot: dict[bytes, tuple[int, int]] = {}
+        again: list[tuple[int, int]] = []
+        for d, text, asked in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b, kind = _unpacked(np.array([q["place"] for q in asked], np.int64))
+            for q, x, y, k in zip(asked, a.tolist(), b.tolist(), kind.tolist(), strict=True):
+                if k == _ASK:
                     key.append(q["key"])
-                    start.append(q["a"])
-                    content.append(text[q["a"] : q["b"] + LENGTH])
+                    place.append(q["place"])
+                    content.append(text[x : y + LENGTH])
                     doc.append(d)
-                else:
-                    for p in range(q["a"], q["b"] + 1):
-                        w = text[p : p + LENGTH]
-                        key.append(xxh3_64_intdigest(w) - (1 << 63))
-                        start.append(p)
-                        content.append(w)
-                        doc.append(d)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(content, pa.binary())], names=names)
+                    continue
+                for p in range(x, y + 1):
+                    w = text[p : p + LENGTH]
+                    best = hot.setdefault(w, (d, p))
+                    if best != (d, p):
+                        again.append(max(best, (d, p)))
+                        hot[w] = min(best, (d, p))
+        for w, (d, p) in hot.items():
+            key.append(xxh3_64_intdigest(w) - (1 << 63))
+            place.append(p << 33 | _ASK_HOT)
+            content.append(w)
+            doc.append(d)
+        if again:
+            late = np.array(again, np.int64)
+            who, a, b = _merged(late[:, 0], late[:, 1], late[:, 1])
+            key += who.tolist()
+            doc += who.tolist()
+            place += _packed(a, b, _REPEAT).tolist()
+            content += [None] * len(who)
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(content, pa.binary())], names=names)
 
 
 class BlindTrie:
@@ -327,14 +358,17 @@ def repeated_windows(group: np.ndarray, begin: np.ndarray, data: bytes) -> np.nd
     return repeated
 
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3b, over rows sorted by key, doc, a: repeats among the windows of each key."""
+def _sort(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Step 3b, over rows sorted by key, doc, place: repeats among the windows of each key.
+
+    Of a hot key, whose rows are single windows, no more than about ``most`` rows are held: repeats leave as they are found.
+    """
     held: list[pa.RecordBatch] = []
 
-    def solve(part: pa.Table) -> pa.RecordBatch | None:
-        if not part.num_rows:
-            return None
-        key, doc, start = (part.column(i).to_numpy() for i in range(3))
+    def solve(part: pa.Table) -> tuple[pa.RecordBatch | None, np.ndarray]:
+        """Repeats, and for rows of single windows whether each is one."""
+        key, doc = (part.column(i).to_numpy() for i in range(2))
+        start, _, kind = _unpacked(part.column(2).to_numpy())
         content = part.column(3).to_pylist()
         length = np.array([len(c) for c in content], np.int64)
         count = length - LENGTH + 1
@@ -346,19 +380,32 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((place, doc[row], group))
         row, step, place, group = row[order], step[order], place[order], group[order]
         dup = repeated_windows(group, base[row] + step, b"".join(content))
-        return _repeats(doc[row][dup], place[dup], place[dup]) if dup.any() else None
+        gone = np.zeros(len(key), bool)
+        gone[row[dup & (kind[row] == _ASK_HOT)]] = True
+        return (_repeats(doc[row][dup], place[dup], place[dup]) if dup.any() else None), gone
 
     for batch in batches:
+        none = batch.column(3).is_null()
+        if none.true_count:
+            done = batch.filter(none)
+            yield _batch(done.column(0), np.zeros(done.num_rows), done.column(1), done.column(2))
+            batch = batch.filter(pc.invert(none))
         if not batch.num_rows:
             continue
         whole = pa.Table.from_batches([*held, batch])
         key = whole.column(0).to_numpy()
         last = int(np.searchsorted(key, key[-1], side="left"))
         for at in _cuts(key[:last]):
-            if (out := solve(whole.slice(*at))) is not None:
+            if (out := solve(whole.slice(*at))[0]) is not None:
+                yield out
+        rest = whole.slice(last)
+        if rest.num_rows > most and bool((rest.column(2).to_numpy() & 7 == _ASK_HOT).all()):
+            out, gone = solve(rest)
+            rest = rest.filter(pa.array(~gone)).combine_chunks()
+            if out is not None:
                 yield out
-        held = whole.slice(last).to_batches()
-    if held and (out := solve(pa.Table.from_batches(held))) is not None:
+        held = rest.to_batches()
+    if held and (out := solve(pa.Table.from_batches(held))[0]) is not None:
         yield out
 
 
@@ -385,8 +432,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(0)
                 spans.append(0)
                 continue
-            a = np.array([g["a"] for g in gone], np.int64)
-            b = np.array([g["b"] for g in gone], np.int64) + LENGTH
+            a, b, _ = _unpacked(np.array(gone, np.int64))
+            b = b + LENGTH
             steps = np.bincount(a, minlength=len(text) + 1) - np.bincount(b, minlength=len(text) + 1)
             off = np.cumsum(steps)[: len(text)] > 0
             texts.append(np.frombuffer(text, np.uint8)[~off].tobytes())
@@ -415,18 +462,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null text is empty; texts under ``LENGTH`` bytes lose nothing. Documents stand in the order of their identifier;
     null comes last, and rows with one identifier stand in the order of their bytes, the rest being arbitrary, so of
-    identical rows the first keeps its bytes. ``kept`` may cut a character in two. Other columns are not read.
+    identical rows the first keeps its bytes. ``kept`` may cut a character in two. Other columns are not read. A very long
+    text is a slice of its own and takes about a hundred bytes a byte while its records are made; one of a gigabyte or more raises.
     """
     numbered = _numbered(docs, id_col, text_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = numbered.select("doc", "text").mapInArrow(_find, _SCHEMA)
-    met = found.repartition(n, "key").sortWithinPartitions(F.col("kind") == _REPEAT, "key", "digest", "doc", "a").mapInArrow(lambda it: _meet(it, hot), _SCHEMA)
+    repeat = F.col("place").bitwiseAND(7) == _REPEAT
+    met = found.repartition(n, "key").sortWithinPartitions(repeat, "key", "digest", "doc", "place").mapInArrow(lambda it: _meet(it, hot), _SCHEMA)
     met = cut(met)
+    # both joins below read the same columns, so that the texts are dealt by document once
     texts = numbered.select("doc", "id", "text").repartition(n, "doc")
-    asked = met.where(F.col("kind").isin(_ASK, _ASK_HOT)).groupBy("doc").agg(F.collect_list(F.struct("key", "a", "b", "kind")).alias("asked"))
-    contents = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_fetch, "key bigint, doc bigint, a int, bytes binary")
-    sorted_ = contents.repartition(n, "key").sortWithinPartitions("key", "doc", "a").mapInArrow(_sort, _SCHEMA)
-    gone = met.where(F.col("kind") == _REPEAT).unionByName(sorted_).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    asked = met.where(~repeat).groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
+    contents = texts.join(asked, "doc").select("doc", "id", "text", "asked").mapInArrow(_fetch, "key bigint, doc bigint, place bigint, bytes binary")
+    sorted_ = contents.repartition(n, "key").sortWithinPartitions("key", "doc", "place").mapInArrow(_sort, _SCHEMA)
+    gone = met.where(repeat).unionByName(sorted_).groupBy("doc").agg(F.collect_list("place").alias("gone"))
     kind = numbered.schema["id"].dataType.simpleString()
     return (
         texts.join(gone, "doc", "left").select("id", "text", "gone").mapInArrow(_cut, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
