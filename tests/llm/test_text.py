@@ -179,7 +179,54 @@ def test_extract_rows(spark):
 
 
 def test_tree_fits_its_table():
-    assert all(html_text.is_content(r[:-1]) == bool(r[-1]) for r in html_text.LABELLED)
+    assert all(html_text.is_content(r[:-1]) == bool(r[-1]) for r in html_text._labelled())
+
+
+def test_text_evidence_overrules_names_and_tags():
+    prose = lambda n: " ".join(f"w{k}" for k in range(n))
+    for name in ("has-sidebar", "post-share", "widget-area", "entry-alert", "page-header-fixed"):
+        assert html_text.main_text(f'<div class="{name}"><p>{prose(30)}</p><p>{prose(40)}</p></div>').split("\n") == [prose(30), prose(40)]
+    inside = f'<article><p>{prose(50)}</p><div class="notice-of-motion"><p>{prose(42)}</p></div><div class="notice">{prose(42)}</div><p>{prose(20)}</p></article>'
+    assert html_text.main_text(inside).split("\n") == [prose(50), prose(42), prose(20)]
+    # teasers in article tags beside prose that stands outside them: the tag rule would take the teasers
+    teasers = f"<div><p>{prose(90)}</p><p>{prose(80)}</p></div><article><h3><a href=x>{prose(5)}</a></h3></article><article><h3><a href=y>{prose(6)}</a></h3></article>"
+    assert html_text.main_text(teasers).split("\n") == [prose(90), prose(80)]
+    used = set()
+
+    def walk(tree):
+        if not isinstance(tree, int):
+            used.add(html_text.FEATURES[tree[0]])
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(html_text.decision_tree())
+    assert used & {"words", "box_words", "words_before", "words_after"} and used & {"links", "box_links"} and used & {"links_before", "links_after", "links_both", "links_either"}
+
+
+def test_paragraphs_beside_links_stay():
+    page = "<article><h1>Head of it all</h1><p>First words of the text.</p><p>LAST words of the text.</p></article><nav><a>Home</a> <a>About</a></nav>"
+    assert html_text.main_text(page).split("\n") == ["Head of it all", "First words of the text.", "LAST words of the text."]
+    page = "<article><p>Words before the link stay here.</p><p><a href=x>one link</a></p><p>Words after it stay, too.</p></article>"
+    assert html_text.main_text(page).split("\n") == ["Words before the link stay here.", "one link", "Words after it stay, too."]
+    for tag in ("title", "object", "svg", "iframe"):
+        assert html_text.main_text(f"<{tag}><p>The rest of the page is all here and can be read.").endswith("can be read.")
+
+
+def test_pages_equal_a_plain_reading(spark):
+    """Every page of the tables, against a reading of their one layout with regular expressions."""
+    import html
+    import re
+
+    def plain(page):
+        body = re.search(r"<article>(.*)</article>", page or "", re.S)
+        parts = re.split(r"</?(?:p|h1)[^>]*>", body[1]) if body else []
+        return "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", part)).split()) for part in parts) if x)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: plain(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_text.query(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want
+    assert html_text.extract(pages.limit(0)).count() == 0
 
 
 # ---- language
