@@ -31,10 +31,6 @@ def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def finite(*columns: Column) -> Column:
     """True where every value is a number: not null, NaN or infinite. Spark calls NaN equal to NaN, hence the guard."""
     return all_of(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))) for c in columns)

@@ -49,14 +49,14 @@ def duplicate_edges(edges: DataFrame, tol: float) -> DataFrame:
 def open_endpoints(vs: DataFrame) -> DataFrame:
     """Vertices that exactly one edge uses."""
     return vs.where("degree = 1").select(
-        F.lit("open_endpoint").alias("issue_type"), F.lit("low").alias("severity"), F.lit("high").alias("confidence"), F.slice("edge_ids", 1, 1).alias("edge_ids"),
+        F.lit("open_endpoint").alias("issue_type"), F.lit("low").alias("severity"), F.lit("high").alias("confidence"), F.array("edge_id").alias("edge_ids"),
         F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("z").alias("lz"), F.lit(OPEN).alias("message"),
         _meta(vertex_id=F.col("vertex_id")),
     )
 
 
 def open_vertices(vs: DataFrame) -> DataFrame:
-    return vs.where("degree = 1").select("vertex_id", "x", "y", "z", F.get("edge_ids", F.lit(0)).alias("edge_id"))
+    return vs.where("degree = 1").select("vertex_id", "x", "y", "z", "edge_id")
 
 
 def gap_candidates(vs: DataFrame, tol: float) -> DataFrame:

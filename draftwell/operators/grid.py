@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import all_of, cell, distance, finite, normalized_layer, within
+from ..functions.scalars import cell, distance, finite, normalized_layer, within
 
 WIDE = 16.0
 START, END = ["sx", "sy", "sz"], ["ex", "ey", "ez"]
@@ -61,19 +61,18 @@ def duplicate_pairs(edges: DataFrame, tol: float) -> DataFrame:
     """``id_a < id_b, kind, norm_layer`` and both edges' ends, once for each pair of edges that coincide within ``tol``.
 
     Edges on different normalized layers never match, nor do edges with an end that is not finite. ``tol`` 0 means
-    exact equality (0.0 equals -0.0). The start of one edge looks for starts and ends of others, so a pair is met once
-    through each orientation it matches in and needs no deduplication.
+    exact equality (0.0 equals -0.0). The cells of both ends are the key, so edges that share one end only never meet. The
+    other edge is filed in both orientations; a pair is met once in each that it matches in and needs no deduplication.
     """
     a, b = _sides(edges)
     if tol == 0:
         return _exact_pairs(a, b)
-    ends = b.select(
-        "*", F.explode(F.array(*[F.struct(F.lit(w).alias("which"), *[F.col(f"b_{c}").alias(x) for c, x in zip(p, "xyz", strict=True)]) for w, p in ((0, START), (1, END))])).alias("__p")
-    ).select("*", F.col("__p.which").alias("which"), *[F.col(f"__p.{x}").alias(f"__{x}") for x in "xyz"])
-    met = grid_join(a, ends.drop("__p"), [f"a_{c}" for c in START], ["__x", "__y", "__z"], tol, ["norm_layer"])
+    both = [F.struct(F.lit(k).alias("k"), *[F.col(f"b_{c}").alias(f"p{i}") for i, c in enumerate(p)]) for k, p in ((0, START + END), (1, END + START))]
+    turned = b.select("*", F.explode(F.array(*both)).alias("__t")).select("*", F.col("__t.k").alias("__k"), *[F.col(f"__t.p{i}").alias(f"__p{i}") for i in range(6)]).drop("__t")
+    met = grid_join(a, turned, [f"a_{c}" for c in START + END], [f"__p{i}" for i in range(6)], tol, ["norm_layer"])
     met = met.where("id_a < id_b").withColumn("kind", match_kind(tol))
-    once = ((F.col("kind") == "forward") & (F.col("which") == 0)) | ((F.col("kind") == "reversed") & (F.col("which") == 1))
-    return met.where(once).drop("which", "__x", "__y", "__z")
+    once = ((F.col("kind") == "forward") & (F.col("__k") == 0)) | ((F.col("kind") == "reversed") & (F.col("__k") == 1))
+    return met.where(once).drop("__k", *[f"__p{i}" for i in range(6)])
 
 
 def _exact_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -93,6 +92,3 @@ def gap_pairs(open_vertices: DataFrame, tol: float) -> DataFrame:
     d = distance(*[F.col(f"p_{c}") for c in "xyz"], *[F.col(f"q_{c}") for c in "xyz"])
     return met.withColumn("distance", d).where((F.col("distance") <= tol) & (F.col("distance") >= 1e-9))
 
-
-def all_finite(cols: list[str]) -> Column:
-    return all_of([finite(F.col(c)) for c in cols])

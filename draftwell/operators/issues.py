@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import DEFAULT_LAYER, canonical_level, pid_path_text, sanitized, severity, type_rank
+from ..functions.scalars import DEFAULT_LAYER, canonical_level, display_length, pid_path_text, sanitized, severity, type_rank
 from ..session import cut
 from .ordering import positions
 
@@ -79,21 +79,40 @@ def with_ids(sourced: DataFrame) -> DataFrame:
     return out.withColumn("issue_id", F.concat_ws("|", "issue_type", "source_keys", F.col("counter").cast("string")))
 
 
+# The keys that every issue has, in the order in which they are asked for.
+REQUIRED = ["issue_id", "issue_type", "severity", "confidence", "sources", "source_entity_ids", "edge_ids", "location", "message", "metadata", "locatable", "display_length"]
+
+
 def rejects(issues: DataFrame) -> DataFrame:
-    """Rows that a registry does not take, with the first reason; a row that passes has none."""
+    """Rows that a registry does not take, with the first reason; a row that passes has none.
+
+    A required column that is not there fails every row. ``location`` is an array of three numbers or null.
+    """
     bad = lambda c: F.col(c).isNull() | ~F.col(c).isin("low", "medium", "high")
+    lacking = next((k for k in REQUIRED if k not in issues.columns), None)
+    if lacking:
+        return issues.withColumn("reason", F.lit(f"missing key :{lacking}"))
     reason = (
         F.when(bad("severity"), F.concat(F.lit("non-canonical severity: "), F.coalesce("severity", F.lit("nil"))))
         .when(bad("confidence"), F.concat(F.lit("non-canonical confidence: "), F.coalesce("confidence", F.lit("nil"))))
         .when(F.col("issue_type").isNull() | (F.col("issue_type") == ""), "issue_type must be a non-empty String")
         .when(F.col("issue_id").isNull() | (F.col("issue_id") == ""), "issue_id must be a non-empty String")
+        .when(F.col("sources").isNull(), "sources must be an Array")
+        .when(F.col("source_entity_ids").isNull(), "source_entity_ids must be an Array")
         .when(F.col("edge_ids").isNull(), "edge_ids must be an Array")
         .when(F.col("message").isNull(), "message must be a String")
+        .when(F.col("location").isNotNull() & (F.size("location") != 3), "location must be nil or [x, y, z]")
         .when(F.col("locatable").isNull(), "locatable must be a Boolean")
     )
     return issues.withColumn("reason", reason)
 
 
+def with_display(issues: DataFrame) -> DataFrame:
+    """Adds ``location`` and ``display_length``: the printed length of what was measured, an edge or a distance; null if nothing was."""
+    measured = F.coalesce(F.get(F.map_values(F.map_filter("metadata", lambda k, _: k == "length")), F.lit(0)), F.get(F.map_values(F.map_filter("metadata", lambda k, _: k == "distance")), F.lit(0)))
+    return issues.withColumn("location", F.when(F.col("lx").isNotNull(), F.array("lx", "ly", "lz"))).withColumn("display_length", display_length(measured.try_cast("double")))
+
+
 def registry(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid issues, dropped ones with ``stage`` and ``reason``)."""
     marked = rejects(issues)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AnalysisConfig
-from .vertices import endpoints, merged_points
+from .vertices import merged_points
 
 
 # The message texts of the warnings.
@@ -43,8 +43,7 @@ def nonzero_z(edges: DataFrame, eps: float) -> DataFrame:
 
 def z_vertices(edges: DataFrame, eps: float, big: float) -> DataFrame:
     """Distinct vertices (merged within ``eps``, inclusive) off the plane and significantly off it."""
-    leaders = merged_points(edges, eps, strict=False).select("leader").distinct()
-    at = endpoints(edges).select(F.col("seq").alias("leader"), "z").join(leaders, "leader", "left_semi")
+    at = merged_points(edges, eps, strict=False).where("seq = leader")
     return at.agg(F.count_if(F.abs("z") > eps).alias("nonzero_z_vertices"), F.count_if(F.abs("z") > big).alias("significant_z_vertices"))
 
 

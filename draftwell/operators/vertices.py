@@ -53,7 +53,7 @@ def replay(rows: list[tuple[int, float, float, float]], tol: float, cell_size: f
 
 
 def merged_points(edges: DataFrame, tol: float, strict: bool = True) -> DataFrame:
-    """``edge_id, seq, leader``: the vertex of each end point, named by the ``seq`` of the point that leads it.
+    """``edge_id, seq, x, y, z, leader``: the vertex of each end point, named by the ``seq`` of the point that leads it.
 
     ``strict`` is the rule of the vertex index (closer than ``tol``, cells of at least one inch, two cells' reach);
     otherwise that of the profile (``tol`` or closer, cells of ``tol``, one cell's reach).
@@ -67,31 +67,32 @@ def merged_points(edges: DataFrame, tol: float, strict: bool = True) -> DataFram
     near = near.where("p < q").where(within([F.col(f"p{c}") for c in "xyz"], [F.col(f"q{c}") for c in "xyz"], tol, strict)).select("p", "q")
     near = cut(near)
     if not near.limit(1).count():
-        return points.join(distinct, ["x", "y", "z"]).select("edge_id", "seq", F.col("first").alias("leader"))
+        return points.join(distinct, ["x", "y", "z"]).select("edge_id", "seq", "x", "y", "z", F.col("first").alias("leader"))
     comp = connected_components(near, "p", "q")
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     links = near.join(comp.withColumnRenamed("node", "p"), "p").groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     open_ = sizes.join(links, "component").where("m < n * (n - 1) / 2").select("component", F.lit(True).alias("loose"))
     named = comp.join(open_, "component", "left").select(F.col("node").alias("first"), "component", F.coalesce("loose", F.lit(False)).alias("loose"))
     of = points.join(distinct.join(named, "first", "left"), ["x", "y", "z"])
-    settled = of.where(~F.coalesce("loose", F.lit(False))).select("edge_id", "seq", F.coalesce("component", "first").alias("leader"))
+    settled = of.where(~F.coalesce("loose", F.lit(False))).select("edge_id", "seq", "x", "y", "z", F.coalesce("component", "first").alias("leader"))
 
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         leaders = replay(list(pdf[["seq", "x", "y", "z"]].itertuples(index=False, name=None)), tol, cell_size, reach, strict)
-        return pd.DataFrame({"edge_id": pdf["edge_id"], "seq": pdf["seq"], "leader": leaders})
+        return pdf[["edge_id", "seq", "x", "y", "z"]].assign(leader=leaders)
 
-    loose = of.where("loose").select("component", "edge_id", "seq", "x", "y", "z").groupBy("component").applyInPandas(again, "edge_id bigint, seq bigint, leader bigint")
+    loose = of.where("loose").select("component", "edge_id", "seq", "x", "y", "z").groupBy("component").applyInPandas(again, "edge_id bigint, seq bigint, x double, y double, z double, leader bigint")
     return settled.unionByName(loose)
 
 
 def vertices(edges: DataFrame, tol: float, strict: bool = True) -> DataFrame:
-    """``vertex_id, leader, x, y, z, degree, edge_ids``: ids in the order of creation, coordinates those of the leader.
+    """``vertex_id, leader, x, y, z, degree, edge_id``: ids in the order of creation, coordinates those of the leader.
 
-    ``degree`` counts distinct edges, so an edge whose ends fall together leaves a vertex of degree 1.
+    ``degree`` counts distinct edges, so an edge whose ends fall together leaves a vertex of degree 1; ``edge_id`` is the
+    least of them. A vertex that very many edges share costs each task one row; their list is never built.
     """
     of = merged_points(edges, tol, strict)
-    grouped = of.groupBy("leader").agg(F.array_sort(F.collect_set("edge_id")).alias("edge_ids"))
-    at = endpoints(edges).select(F.col("seq").alias("leader"), "x", "y", "z")
-    rows = grouped.join(at, "leader").withColumn("degree", F.size("edge_ids").cast("bigint"))
+    at = [F.max(F.when(F.col("seq") == F.col("leader"), F.col(c))).alias(c) for c in "xyz"]
+    per_edge = of.groupBy("leader", "edge_id").agg(*at)
+    rows = per_edge.groupBy("leader").agg(*[F.max(c).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("degree"), F.min("edge_id").alias("edge_id"))
     return positions(rows, ["leader"], "vertex_id")

@@ -58,7 +58,7 @@ class Analysis:
         """Issues with sources and ids that the registry accepts."""
         if self._issues is None:
             sourced = iss.with_sources(self.normalized(), self.edges, self.config.tolerance.coordinate_epsilon)
-            self._issues = cut(iss.registry(iss.with_ids(sourced))[0])
+            self._issues = cut(iss.registry(iss.with_display(iss.with_ids(sourced)))[0])
         return self._issues
 
     def report(self) -> DataFrame:
@@ -76,4 +76,4 @@ class Analysis:
 
     def as_json(self) -> DataFrame:
         """One JSON document an issue, as a user interface takes them."""
-        return self.issues.select("issue_id", F.to_json(F.struct("issue_id", "issue_type", "severity", "confidence", "edge_ids", "source_entity_ids", "sources", "message", "metadata", "locatable", "layer_name", F.when(F.col("lx").isNotNull(), F.array("lx", "ly", "lz")).alias("location"))).alias("document"))
+        return self.issues.select("issue_id", F.to_json(F.struct("issue_id", "issue_type", "severity", "confidence", "edge_ids", "source_entity_ids", "sources", "message", "metadata", "locatable", "layer_name", "location", "display_length")).alias("document"))

@@ -41,9 +41,12 @@ def _layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _containers(spark: SparkSession, d: str) -> DataFrame:
-    t = {n: table(spark, d, n).agg(F.count(F.lit(1)).alias(n)) for n in ("region", "nation", "customer")}
-    row = t["region"].crossJoin(t["nation"]).crossJoin(t["customer"])
-    return row.select((F.col("region") + F.col("nation") + F.col("customer")).alias("group_count"), F.lit(0).cast("bigint").alias("component_count"), F.lit(3).cast("bigint").alias("deepest_nesting"))
+    return hierarchy.container_facts(_boxes(spark, d))
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The walk over containers alone."""
+    return hierarchy.flatten(adapter.nodes(spark, d).where(F.col("kind").isin(*hierarchy.CONTAINERS)))
 
 
 def _analysis(spark: SparkSession, d: str) -> Analysis:
@@ -282,14 +285,17 @@ def issues_by_layer(spark, d):
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'non-canonical severity: urgent' WHEN event_id % 7 = 0 THEN 'non-canonical confidence: nil' WHEN event_id % 11 = 0 THEN 'issue_type must be a non-empty String' ELSE 'locatable must be a Boolean' END AS reason
-    FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0"""
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'non-canonical severity: urgent' WHEN event_id % 7 = 0 THEN 'non-canonical confidence: nil' WHEN event_id % 11 = 0 THEN 'issue_type must be a non-empty String'
+    WHEN event_id % 17 = 0 THEN 'sources must be an Array' WHEN event_id % 19 = 0 THEN 'source_entity_ids must be an Array' WHEN event_id % 23 = 0 THEN 'location must be nil or [x, y, z]' ELSE 'locatable must be a Boolean' END AS reason
+    FROM events WHERE event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0 OR event_id % 19 = 0 OR event_id % 23 = 0"""
 )
 def issue_rejects(spark, d):
     k = F.col("event_id")
     rows = table(spark, d, "events").select(
         "event_id", F.when(k % 5 == 0, "urgent").otherwise("low").alias("severity"), F.when(k % 7 != 0, "high").alias("confidence"), F.when(k % 11 == 0, "").otherwise("short_edge").alias("issue_type"),
         k.cast("string").alias("issue_id"), F.array(k).alias("edge_ids"), F.lit("m").alias("message"), F.when(k % 13 != 0, F.lit(True)).alias("locatable"),
+        F.when(k % 17 != 0, F.array(k)).alias("sources"), F.when(k % 19 != 0, F.array(k)).alias("source_entity_ids"), F.when(k % 23 == 0, F.array(F.lit(1.0))).alias("location"),
+        F.create_map(F.lit("a"), F.lit("b")).alias("metadata"), F.lit(None).cast("string").alias("display_length"),
     )
     return iss.registry(rows)[1].select("event_id", "reason")
 
@@ -313,25 +319,43 @@ def find_issue(spark, d):
     return _analysis(spark, d).find("abnormal_large_coord||1").select("issue_id", "issue_type", "message")
 
 
-@query()
+_FOUR = lambda x: f"CAST(CAST(round({x} * 10000) AS BIGINT) // 10000 AS VARCHAR) || '.' || lpad(CAST(CAST(round({x} * 10000) AS BIGINT) % 10000 AS VARCHAR), 4, '0') || ' inch'"
+
+
+@query(
+    with_(*_ALL, sql.ISSUES)
+    + f"""SELECT issue_id, issue_type AS type, severity, confidence, '[' || edges_text || ']' AS edges, layer_name AS layer, CASE WHEN locatable THEN 'true' ELSE 'false' END AS locatable, message,
+    CASE issue_type WHEN 'short_edge' THEN {_FOUR("(SELECT any_value(length) FROM edges e WHERE e.edge_id = i.edge_ids[1])")} WHEN 'gap_candidate' THEN {_FOUR("gap")} END AS display_length,
+    CASE WHEN lx IS NULL THEN 0 ELSE 3 END AS coordinates FROM issues i"""
+)
 def issue_documents(spark, d):
-    return _analysis(spark, d).as_json()
+    doc = lambda path: F.get_json_object("document", f"$.{path}")
+    rows = _analysis(spark, d).as_json()
+    return rows.select(
+        "issue_id", doc("issue_type").alias("type"), doc("severity").alias("severity"), doc("confidence").alias("confidence"), doc("edge_ids").alias("edges"), doc("layer_name").alias("layer"), doc("locatable").alias("locatable"),
+        doc("message").alias("message"), doc("display_length").alias("display_length"), F.coalesce(F.json_array_length(doc("location")), F.lit(0)).alias("coordinates"),
+    )
 
 
 # ---- hierarchy
 
 
 @query(
-    """SELECT o_orderkey AS k, r * 10000 + 2.0 * (o_orderkey % 5) AS sx, n * 100 + 2.0 * (o_orderkey % 3) AS sy, CAST(o_custkey % 10 AS DOUBLE) AS sz, r * 10000 + 2.0 * (o_orderkey % 5 + 1) AS ex,
-    (r + 1) || '.' || (n + 100) || '.' || (o_custkey + 1000000) || CASE WHEN o_orderkey % 97 <> 0 THEN '.' || (o_orderkey + 1000000000) ELSE '' END AS path, o_orderkey % 97 <> 0 AS complete, CAST(3 AS INTEGER) AS depth
-    FROM (SELECT o.*, CAST(c.c_nationkey AS DOUBLE)::BIGINT AS n, CAST(t.n_regionkey AS BIGINT) AS r FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation t ON t.n_nationkey = c.c_nationkey) WHERE o_orderkey % 11 <> 0"""
+    """SELECT k, r * 10000 + 2.0 * (k % 5) AS sx, n * 100 + 2.0 * (k % 3) AS sy, CAST(c % 10 AS DOUBLE) AS sz, r * 10000 + 2.0 * (k % 5 + 1) AS ex,
+    (r + 1) || '.' || (n + 100) || '.' || (c + 1000000) || CASE WHEN k % 97 <> 0 THEN '.' || (k + 1000000000) ELSE '' END AS path, k % 97 <> 0 AS complete, CAST(3 AS INTEGER) AS depth
+    FROM (SELECT o.o_orderkey AS k, c.c_custkey AS c, CAST(c.c_nationkey AS BIGINT) AS n, CAST(t.n_regionkey AS BIGINT) AS r
+      FROM customer c JOIN orders o ON o.o_custkey = CASE WHEN c.c_custkey % 4 = 3 THEN c.c_custkey - 2 ELSE c.c_custkey END JOIN nation t ON t.n_nationkey = c.c_nationkey)
+    WHERE k % 11 <> 0 AND k % 13 <> 0 AND n <> 7"""
 )
 def world_edges(spark, d):
     occ = hierarchy.flatten(adapter.nodes(spark, d))
     return hierarchy.world_edges(occ).select((F.col("edge_id") - 1000000000).alias("k"), "sx", "sy", "sz", "ex", fn.pid_path_text(F.col("pid_path")).alias("path"), F.col("pid_path_complete").alias("complete"), F.col("structural_depth").alias("depth"))
 
 
-@query("SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) AS group_count, CAST(0 AS BIGINT) AS component_count, CAST(3 AS BIGINT) AS deepest_nesting")
+@query(
+    """SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation WHERE n_nationkey <> 7) + (SELECT count(*) FROM customer WHERE c_nationkey <> 7 AND c_custkey % 2 = 0) AS group_count,
+    (SELECT count(*) FROM customer WHERE c_nationkey <> 7 AND c_custkey % 2 = 1) AS component_count, CAST(3 AS BIGINT) AS deepest_nesting"""
+)
 def container_facts(spark, d):
     return hierarchy.container_facts(hierarchy.flatten(adapter.nodes(spark, d)))
 
@@ -363,17 +387,21 @@ def locate_targets(spark, d):
     return rows.select("issue_id", kind.alias("kind"), F.when(kind != "skip", fn.pid_path_text(F.col("t.pid_path"))).alias("target"))
 
 
-@query(
-    with_(*_ALL, sql.ISSUES)
-    + """SELECT issue_id, edge_ids[1] AS entity FROM issues WHERE ca UNION SELECT issue_id, edge_ids[2] FROM issues WHERE cb"""
-)
+_ROOT = "FROM issues WHERE locatable AND {c} AND EXISTS (SELECT 1 FROM region WHERE r_regionkey + 1 = {p}[1])"
+
+
+@query(with_(*_ALL, sql.ISSUES) + "SELECT issue_id, pa[1] AS entity " + _ROOT.format(c="ca", p="pa") + " UNION SELECT issue_id, pb[1] " + _ROOT.format(c="cb", p="pb"))
 def located_entities(spark, d):
-    return locate.locate(_analysis(spark, d).issues, _edges(spark, d))[0]
+    return locate.locate(_analysis(spark, d).issues, _edges(spark, d), _roots(spark, d))[0]
+
+
+def _roots(spark, d):
+    return _boxes(spark, d).where("depth = 0").select(F.col("node_id").alias("entity"), F.col("path").alias("pid_path"))
 
 
 @query(with_(*_ALL, sql.ISSUES) + "SELECT issue_id, 'incomplete-nested-partial-leaf' AS reason FROM issues WHERE locatable AND (NOT ca OR (NOT cb AND edge_ids[2] <> edge_ids[1]))")
 def unresolved_targets(spark, d):
-    return locate.locate(_analysis(spark, d).issues, _edges(spark, d))[1]
+    return locate.locate(_analysis(spark, d).issues, _edges(spark, d), _roots(spark, d))[1]
 
 
 # ---- topology and repair

@@ -42,7 +42,8 @@ FACTS = """
 zv AS (SELECT count(*) FILTER (abs(z) > CAST(1e-6 AS DOUBLE)) AS nonzero_z_vertices, count(*) FILTER (abs(z) > CAST(0.01 AS DOUBLE)) AS significant_z_vertices FROM vertices),
 box AS (SELECT min(least(sx, ex)) AS min_x, min(least(sy, ey)) AS min_y, min(least(sz, ez)) AS min_z, max(greatest(sx, ex)) AS max_x, max(greatest(sy, ey)) AS max_y, max(greatest(sz, ez)) AS max_z FROM edges),
 large AS (SELECT CAST((abs(min_x) > 1e6)::INT + (abs(min_y) > 1e6)::INT + (abs(min_z) > 1e6)::INT + (abs(max_x) > 1e6)::INT + (abs(max_y) > 1e6)::INT + (abs(max_z) > 1e6)::INT AS BIGINT) AS large_coord_extrema FROM box),
-containers AS (SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) AS group_count, CAST(0 AS BIGINT) AS component_count, CAST(3 AS BIGINT) AS deepest_nesting),
+containers AS (SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation WHERE n_nationkey <> 7) + (SELECT count(*) FROM customer WHERE c_nationkey <> 7 AND c_custkey % 2 = 0) AS group_count,
+  (SELECT count(*) FROM customer WHERE c_nationkey <> 7 AND c_custkey % 2 = 1) AS component_count, CAST(3 AS BIGINT) AS deepest_nesting),
 warnings AS (
   SELECT 'significant_non_zero_z' AS code, significant_z_vertices || ' distinct vertex(es) have |Z| > 0.01 inches; geometry is significantly off-plane.' AS message, 'medium' AS severity FROM zv WHERE significant_z_vertices > 0
   UNION ALL SELECT 'abnormal_large_coord', large_coord_extrema || ' bbox corner(s) exceed |coord| > 1000000.0 inches; check import scale.', 'high' FROM large WHERE large_coord_extrema > 0
@@ -50,11 +51,11 @@ warnings AS (
 """
 ISSUES = """
 raw AS (
-  SELECT 'duplicate_edge_candidate' AS issue_type, 'medium' AS severity, 'high' AS confidence, [id_a, id_b] AS edge_ids, lx, ly, lz, 'Duplicate edge candidate: two edges share both endpoints within duplicate_tolerance.' AS message FROM pairs
-  UNION ALL SELECT 'short_edge', 'low', 'high', [edge_id], (sx + ex) / 2, (sy + ey) / 2, (sz + ez) / 2, 'Short edge detected (length=' || printf('%.6f', length) || ' < threshold=0.5).' FROM edges WHERE length < 0.5
-  UNION ALL SELECT 'open_endpoint', 'medium', 'high', [edge_id], x, y, z, 'Open endpoint: vertex is shared by exactly one edge.' FROM opens
-  UNION ALL SELECT 'gap_candidate', 'medium', 'medium', [e1, e2], lx, ly, lz, 'Gap candidate: two open endpoints within gap_search_tolerance (' || printf('%.6f', d) || ' inch).' FROM gaps
-  UNION ALL SELECT code, severity, 'medium', CAST([] AS BIGINT[]), NULL, NULL, NULL, message FROM warnings),
+  SELECT 'duplicate_edge_candidate' AS issue_type, 'medium' AS severity, 'high' AS confidence, [id_a, id_b] AS edge_ids, lx, ly, lz, 'Duplicate edge candidate: two edges share both endpoints within duplicate_tolerance.' AS message, CAST(NULL AS DOUBLE) AS gap FROM pairs
+  UNION ALL SELECT 'short_edge', 'low', 'high', [edge_id], (sx + ex) / 2, (sy + ey) / 2, (sz + ez) / 2, 'Short edge detected (length=' || printf('%.6f', length) || ' < threshold=0.5).', NULL FROM edges WHERE length < 0.5
+  UNION ALL SELECT 'open_endpoint', 'medium', 'high', [edge_id], x, y, z, 'Open endpoint: vertex is shared by exactly one edge.', NULL FROM opens
+  UNION ALL SELECT 'gap_candidate', 'medium', 'medium', [e1, e2], lx, ly, lz, 'Gap candidate: two open endpoints within gap_search_tolerance (' || printf('%.6f', d) || ' inch).', d FROM gaps
+  UNION ALL SELECT code, severity, 'medium', CAST([] AS BIGINT[]), NULL, NULL, NULL, message, NULL FROM warnings),
 keyed AS (
   SELECT r.*, CASE WHEN lx IS NULL THEN 'none' ELSE CAST(floor(lx / CAST(1e-6 AS DOUBLE)) AS BIGINT) || ',' || CAST(floor(ly / CAST(1e-6 AS DOUBLE)) AS BIGINT) || ',' || CAST(floor(lz / CAST(1e-6 AS DOUBLE)) AS BIGINT) END AS spot,
     a.pid_path AS pa, b.pid_path AS pb, a.complete AS ca, b.complete AS cb, a.layer AS la

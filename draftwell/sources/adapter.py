@@ -53,7 +53,11 @@ def visible_layers(spark: SparkSession) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The container tree: regions shift by 10,000 in x, nations by 100 in y, customers double the scale and lift by z."""
+    """The container tree: regions shift by 10,000 in x, nations by 100 in y, customers double the scale and lift by z.
+
+    Customers of odd keys are instances of a definition that holds their orders; those of remainder 3 by 4 share that of the
+    customer two before them. One nation is invalid, and orders of every thirteenth key are of unknown validity.
+    """
     empty = lambda: [F.lit(None).cast("double").alias(c) for c in ("sx", "sy", "sz", "ex", "ey", "ez")]
     loops = [F.lit(None).cast("int").alias("outer_loop_vertex_count"), F.lit(None).cast("int").alias("loop_count")]
 
@@ -64,14 +68,20 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0.0)
     long = lambda c: F.col(c).cast("bigint")
     none = F.lit(None).cast("bigint")
-    base = lambda node, parent, kind, pid, name, layer: [node.alias("node_id"), parent.alias("parent_id"), F.lit(kind).alias("kind"), none.alias("def_id"), pid.alias("pid"), name.alias("name"), layer.alias("layer"), F.lit(True).alias("visible"), F.lit(True).alias("valid")]
+    base = lambda node, parent, kind, pid, name, layer, definition=none, valid=F.lit(True): [node.alias("node_id"), parent.alias("parent_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), definition.alias("def_id"), pid.alias("pid"), name.alias("name"), layer.alias("layer"), F.lit(True).alias("visible"), valid.alias("valid")]
     no_layer = F.lit(None).cast("string")
     r = table(spark, sf_dir, "region").select(*base(long("r_regionkey") + 1, none, "group", long("r_regionkey") + 1, F.concat(F.lit("Region "), F.col("r_regionkey").cast("string")), no_layer), shift(long("r_regionkey").cast("double") * 10000.0, zero, zero), *empty(), *loops)
-    n = table(spark, sf_dir, "nation").select(*base(long("n_nationkey") + 100, long("n_regionkey") + 1, "group", long("n_nationkey") + 100, F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")), no_layer), shift(zero, long("n_nationkey").cast("double") * 100.0, zero), *empty(), *loops)
-    c = table(spark, sf_dir, "customer").select(*base(F.col("c_custkey") + 1000000, long("c_nationkey") + 100, "group", F.col("c_custkey") + 1000000, F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")), no_layer), shift(zero, zero, (F.col("c_custkey") % 10).cast("double"), 2.0), *empty(), *loops)
+    n = table(spark, sf_dir, "nation").select(*base(long("n_nationkey") + 100, long("n_regionkey") + 1, "group", long("n_nationkey") + 100, F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")), no_layer, valid=F.col("n_nationkey") != 7), shift(zero, long("n_nationkey").cast("double") * 100.0, zero), *empty(), *loops)
+    ck = F.col("c_custkey")
+    odd = ck % 2 == 1
+    definition = F.when(odd, F.when(ck % 4 == 3, ck - 2).otherwise(ck) + 5000000)
+    c = table(spark, sf_dir, "customer").select(*base(ck + 1000000, long("c_nationkey") + 100, F.when(odd, "instance").otherwise("group"), ck + 1000000, F.concat(F.lit("Customer "), ck.cast("string")), no_layer, definition), shift(zero, zero, (F.col("c_custkey") % 10).cast("double"), 2.0), *empty(), *loops)
     k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders").select(
-        *base(k + 1000000000, F.col("o_custkey") + 1000000, "edge", F.when(k % 97 != 0, k + 1000000000), F.lit(None).cast("string"), _layer("o_orderkey")), shift(zero, zero, zero),
+        *base(
+            k + 1000000000, F.col("o_custkey") + F.when(F.col("o_custkey") % 2 == 1, 5000000).otherwise(1000000), "edge", F.when(k % 97 != 0, k + 1000000000), F.lit(None).cast("string"), _layer("o_orderkey"),
+            valid=F.when(k % 13 != 0, F.lit(True)),
+        ), shift(zero, zero, zero),
         (k % 5).cast("double").alias("sx"), (k % 3).cast("double").alias("sy"), zero.alias("sz"), (k % 5 + 1).cast("double").alias("ex"), (k % 3).cast("double").alias("ey"), F.when(k % 11 == 0, F.lit(None)).otherwise(zero).cast("double").alias("ez"), *loops,
     )
     return r.unionByName(n).unionByName(c).unionByName(o)

@@ -37,13 +37,14 @@ def usable_transform_of(m: list[float] | None) -> Column:
 
 
 def combined(parent: Column, own: Column) -> Column:
-    """world = parent x own."""
-    at = lambda a, i: F.get(a, F.lit(i))
-    cells = []
-    for r in range(4):
-        for c in range(4):
-            cells.append(at(parent, 4 * r) * at(own, c) + at(parent, 4 * r + 1) * at(own, 4 + c) + at(parent, 4 * r + 2) * at(own, 8 + c) + at(parent, 4 * r + 3) * at(own, 12 + c))
-    return F.array(*cells)
+    """world = parent x own. One lambda over the sixteen places: written out, the products exceed what one method can hold."""
+    at = lambda a, i: F.get(a, i.cast("int"))
+
+    def place(i: Column) -> Column:
+        row, col = F.floor(i / 4) * 4, i % 4
+        return sum((at(parent, row + k) * at(own, col + 4 * k) for k in range(1, 4)), at(parent, row) * at(own, col))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), place)
 
 
 def applied(m: Column, x: Column, y: Column, z: Column) -> list[Column]:

@@ -33,3 +33,12 @@ def test_twin(spark, duck, name):
     assert cols == sorted(b.columns) and len(a) == len(b)
     rows = lambda df: sorted([tuple("" if pd.isna(v) else str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False, name=None)])
     assert rows(a) == rows(b)
+
+
+def test_no_plan_is_too_large_to_compile(spark):
+    """The walk's plan compiles; without the fallback a method that is too long would raise."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert catalog.QUERIES["world_edges"](spark, SF).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")

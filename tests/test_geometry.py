@@ -52,6 +52,27 @@ def test_duplicates_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_fan_of_edges_makes_few_candidates(spark):
+    """1,500 edges share one end: each meets only edges whose other end is near, too."""
+    fan = edges(spark, [(0, 0, 0, 10 + i, i, 0) for i in range(1500)] + [(11, 1, 0, 0, 0, 0)])
+    a, b = grid._sides(fan)
+    found = grid.duplicate_pairs(fan, 1e-4)
+    found.collect()
+    metrics = found._jdf.queryExecution().executedPlan()
+    assert [(r.id_a, r.id_b, r.kind) for r in found.collect()] == [(1, 1500, "reversed")]
+    rows = []
+
+    def walk(plan):
+        if "Join" in plan.nodeName():
+            rows.append(plan.metrics().get("numOutputRows").get().value())
+        kids = plan.children()
+        for k in range(kids.size()):
+            walk(kids.apply(k))
+
+    walk(metrics.finalPhysicalPlan() if "Adaptive" in metrics.nodeName() else metrics)
+    assert not rows or max(rows) < 10_000
+
+
 def test_short_and_length(spark):
     assert detectors.short_edges(edges(spark, [(0, 0, 0, 10, 0, 0)]), 0.5).count() == 0
     assert detectors.short_edges(edges(spark, [(0, 0, 0, 0.1, 0, 0)]), 0.5).count() == 1

@@ -78,8 +78,16 @@ def test_locate(spark):
         ("d", [([9], 1, False, True)], True), ("e", [([7], 12, False, True)], False),
     ]
     issues = spark.createDataFrame(rows, f"issue_id string, sources {token}, locatable boolean")
-    found, lost = locate.locate(issues, entities)
-    assert sorted(map(tuple, found.collect())) == [("a", 1), ("a", 2), ("b", 3)]
+    boxes = spark.createDataFrame([(50, [5]), (51, [5, 8]), (60, [7])], "entity bigint, pid_path array<bigint>")
+    found, lost = locate.locate(issues, entities, boxes)
+    # a nested path leads to the container that its first element names, not to the leaf
+    assert sorted(map(tuple, found.collect())) == [("a", 2), ("a", 50), ("b", 3)]
+    rows = [("r", [([5, 6], None, True, True), ([5, 6], 1, True, True)], True), ("s", [([5, 77], None, True, True)], True), ("t", [([7, 1], None, True, True)], True)]
+    twice = entities.unionByName(spark.createDataFrame([(9, 12, [7]), (4, 40, [8, 1]), (6, 41, [7, 1])], entities.schema))
+    found, lost2 = locate.locate(spark.createDataFrame(rows + [rows_[0] for rows_ in [[("u", [([7], 12, False, True)], True)]]], issues.schema), twice, boxes)
+    # once for repeated tokens; no root if the path does not exist; the least of rows that share a path
+    assert sorted(map(tuple, found.collect())) == [("r", 50), ("t", 60), ("u", 2)]
+    assert sorted(map(tuple, lost2.collect())) == [("s", "unresolved:inst_path_root")]
     assert sorted(map(tuple, lost.collect())) == [("c", "fully-missing"), ("c", "incomplete-nested-partial-ancestry"), ("c", "incomplete-nested-partial-leaf"), ("d", "unresolved:inst_path_leaf")]
     assert {r.issue_id: r.selectable for r in locate.select_counts(issues).collect()} == {"a": 2, "b": 1, "c": 0, "d": 1}
 
