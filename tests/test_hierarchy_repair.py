@@ -219,3 +219,100 @@ def test_scalars(spark):
     assert [r[0] for r in occ.select(fn.path_of_occurrence(F.col("o"))).collect()] == [[1, 2], None, None, None]
     v = spark.createDataFrame([("20.0.363",), ("x",)], "v string").select(fn.major_version(F.col("v"))).collect()
     assert [r[0] for r in v] == [20, None]
+
+
+def session_of(spark, tmp_path, rows):
+    e = frame(spark, rows)
+    layers = spark.createDataFrame([("L", 4, 0, True)], "name string, edge_count int, face_count int, visible boolean")
+    faces = spark.createDataFrame([], "outer_loop_vertex_count int")
+    return repair.WorkingSession(snapshot.SourceSnapshot(e, faces, layers, ExecutionConfig.from_config(AnalysisConfig())), f"file://{tmp_path}/w")
+
+
+def test_single_action_rollback_and_recovery(spark, tmp_path):
+    s = session_of(spark, tmp_path, [(0, 0, 0, 1, 0, 0)] * 2 + [(5, 0, 0, 6, 0, 0)] * 2)
+    s.prepare()
+    first = s.workspace
+    ids = sorted(r.action_id for r in repair.propose(s.source.edges, s.rows(), 1e-4, s.source.snapshot_id).actions.collect())
+    assert len(ids) == 2 and s.repair_one("act-none")["status"] == "failed" and s.workspace == first
+    audit = s.repair_one(ids[0])
+    assert (audit["applied"], audit["failed"], audit["edges_after"], audit["tolerance_status"]) == (1, 0, 3, "captured")
+    assert [(r.status, r.removed_count) for r in s.audits.collect()] == [("applied", 1)]
+    other = repair.WorkingSession(s.source, s.root)  # another process finds what was published
+    assert other.recover() == s.workspace and other.rows().count() == 3
+    assert s.rollback("host_rejected").version == first.version and s.rows().count() == 4
+    assert other.recover().version == first.version
+    assert [r.state for r in s.history().collect()] == ["ready", "ready", "failed", "ready"]
+    assert s.rollback("again").version != first.version
+
+
+def test_failures_leave_the_former_version(spark, tmp_path, monkeypatch):
+    s = session_of(spark, tmp_path, [(0, 0, 0, 1, 0, 0)] * 2)
+    s.prepare()
+    before = s.workspace
+
+    def fail(*_):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m:  # the version is written, but never published
+        m.setattr(s, "_record", fail)
+        with pytest.raises(OSError):
+            s.repair()
+    assert s.workspace == before and s.rows().count() == 2
+    # the stored rows drift: nothing is applied
+    s.source.edges.sparkSession.read.parquet(before.path).limit(1).write.mode("append").parquet(before.path)
+    assert s.repair()["errors"] == ["host_state_changed"] and s.workspace.state == "failed"
+    with pytest.raises(RuntimeError):
+        s.rows()
+
+
+def test_reasons_of_derived_rows(spark):
+    """Pairs of copies, each with a fault of its own in the derived rows; edges 2i + 1 and 2i + 2 are pair i."""
+    e = frame(spark, [(10 * (i // 2), 0, 0, 10 * (i // 2) + 1, 0, 0) for i in range(23)])
+    k = F.col("edge_id")
+    e = e.withColumn("pid_path", F.when(k == 8, F.array(F.lit(7).cast("bigint"))).when(k == 23, F.array(F.lit(10).cast("bigint"))).otherwise(F.col("pid_path")))
+    d = repair.derive(e).where(~k.isin(2, 3, 4))
+    d = d.unionByName(d.where(k == 6).withColumn("derived_id", F.lit("x")))
+    d = d.withColumn("derived_id", F.when(k.isin(11, 12), "one").otherwise(F.col("derived_id"))).withColumn("sx", F.when(k == 14, 99.0).otherwise(F.col("sx")))
+    d = d.withColumn("handle_state", F.when(k == 18, "erased").when(k != 16, "live")).withColumn("handle_id", F.when(k.isin(19, 20), "h").otherwise(F.col("handle_id")))
+    p = repair.propose(e, d, 1e-4)
+    got = {r.component: r.reason for r in p.skipped.collect()}
+    assert got == {
+        "1+2": "incomplete_nested_provenance", "3+4": "no_derived_records_resolve_to_issue_source_edges", "5+6": "no_derived_records_resolve_to_issue_source_edges",
+        "7+8": "no_derived_records_resolve_to_issue_source_edges", "9+10": "ambiguous_source_edge_resolution", "11+12": "no_derived_record_for_source_edge", "13+14": "incomplete_nested_provenance",
+        "15": "host_handle_missing", "17": "host_handle_invalidated", "19": "host_handle_aliasing",
+    }
+    assert [r.survivor for r in p.actions.collect()] == ["der-edge-21-21"]
+
+
+def test_plan_order_status_and_readiness(spark):
+    _, _, p = plan(spark, [(0, 0, 0, 1, 0, 0)] * 2 + [(5, 0, 0, 6, 0, 0)] * 2 + [(8, 0, 0, 9, 0, 0), (8, 0, 0, 9, 0, 0, "L", False)], 1e-4)
+    rows = [(r.bucket, r.key) for r in repair.ordered(p).collect()]
+    assert rows == sorted(rows) and [b for b, _ in rows] == [0, 0, 1]
+    assert not repair.ready(p.actions, True)
+    done = repair.transition(p.actions, "applied")
+    assert repair.ready(done, True) and not repair.ready(done, False) and not repair.ready(p.actions.limit(0), True)
+    assert {r.reason for r in repair.transition(p.actions, "rejected", "by hand").collect()} == {"by hand"}
+    with pytest.raises(ValueError):
+        repair.transition(p.actions, "gone")
+    a = p.actions.orderBy("action_id").first()
+    assert a.explanation == "Exact duplicate edge (forward exact); 2 source occurrences converge on one canonical derived segment; survivor keeps the lex-smallest derived_id; 1 derived record(s) to remove; provenance union size = 2."
+    assert snapshot.same_rows(p.actions.select("survivor"), p.actions.select("survivor")) and not snapshot.same_rows(p.actions.select("survivor"), p.actions.limit(1).select("survivor"))
+
+
+def test_cliques_equal_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(40)})
+    near = {frozenset(p) for p in pairs}
+    full = lambda c: all(frozenset(x) in near for x in itertools.combinations(c, 2))
+    cliques = [c for n in range(2, 15) for c in itertools.combinations(range(14), n) if full(c)]
+    want = sorted(list(c) for c in cliques if not any(set(c) < set(o) for o in cliques))
+    frame_ = spark.createDataFrame(pairs, "a bigint, b bigint")
+    assert sorted(r.clique for r in topology.maximal_cliques(frame_, topology.components(frame_)).collect()) == want
+
+
+def test_registry_names_missing_keys(spark):
+    rows = spark.createDataFrame([("short_edge", "low", "high")], "issue_type string, severity string, confidence string")
+    assert iss.registry(rows)[1].first().reason == "missing key :issue_id" and iss.registry(rows)[0].count() == 0
