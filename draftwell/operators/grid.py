@@ -16,29 +16,27 @@ WIDE = 16.0
 START, END = ["sx", "sy", "sz"], ["ex", "ey", "ez"]
 
 
-def filed(df: DataFrame, point: list[str], size: float) -> DataFrame:
-    return df.select("*", *[cell(F.col(c), size).alias(f"__c{i}") for i, c in enumerate(point)])
-
-
-def asked(df: DataFrame, point: list[str], size: float, tol: float) -> DataFrame:
-    """One row for each cell that the box of ``tol`` around the point touches."""
-    out = df
-    for i, c in enumerate(point):
-        low, high = cell(F.col(c) - tol, size), cell(F.col(c) + tol, size)
-        out = out.select("*", F.explode(F.sequence(low, high)).alias(f"__c{i}"))
-    return out
-
-
 def grid_join(probe: DataFrame, build: DataFrame, probe_point: list[str], build_point: list[str], tol: float, keys: list[str], size: float | None = None) -> DataFrame:
     """Candidate pairs: equal ``keys`` and neighbouring points. The exact predicate is the caller's.
 
-    Columns of the two sides must differ, but for ``keys``. Points that are not finite find nothing.
+    Columns of the two sides must differ, but for ``keys``. Points that are not finite find nothing. The join key is one
+    long, a hash of keys and cell; keys and cells themselves are compared on what meets.
     """
     size = size or tol * WIDE
-    left = asked(probe.where(finite(*map(F.col, probe_point))), probe_point, size, tol)
-    right = filed(build.where(finite(*map(F.col, build_point))), build_point, size)
     cells = [f"__c{i}" for i in range(len(probe_point))]
-    return left.join(right, [*keys, *cells]).drop(*cells)
+    left = probe.where(finite(*map(F.col, probe_point)))
+    for c, name in zip(probe_point, cells, strict=True):
+        left = left.select("*", F.explode(F.sequence(cell(F.col(c) - tol, size), cell(F.col(c) + tol, size))).alias(name))
+    right = build.where(finite(*map(F.col, build_point))).select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in build.columns])
+    own = [cell(F.col(c), size) for c in build_point]
+    left = left.withColumn("__h", F.xxhash64(*keys, *cells))
+    right = right.withColumn("__h", F.xxhash64(*[f"__r_{k}" for k in keys], *own))
+    met = left.join(right, "__h")
+    for name, c in zip(cells, own, strict=True):
+        met = met.where(F.col(name) == c)
+    for k in keys:
+        met = met.where(F.col(k) == F.col(f"__r_{k}"))
+    return met.drop("__h", *cells, *[f"__r_{k}" for k in keys])
 
 
 def _sides(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,9 +66,10 @@ def duplicate_pairs(edges: DataFrame, tol: float) -> DataFrame:
     if tol == 0:
         return _exact_pairs(a, b)
     both = [F.struct(F.lit(k).alias("k"), *[F.col(f"b_{c}").alias(f"p{i}") for i, c in enumerate(p)]) for k, p in ((0, START + END), (1, END + START))]
-    turned = b.select("*", F.explode(F.array(*both)).alias("__t")).select("*", F.col("__t.k").alias("__k"), *[F.col(f"__t.p{i}").alias(f"__p{i}") for i in range(6)]).drop("__t")
-    met = grid_join(a, turned, [f"a_{c}" for c in START + END], [f"__p{i}" for i in range(6)], tol, ["norm_layer"])
-    met = met.where("id_a < id_b").withColumn("kind", match_kind(tol))
+    turned = b.select("id_b", "norm_layer", F.explode(F.array(*both)).alias("t")).select("id_b", "norm_layer", F.col("t.k").alias("__k"), *[F.col(f"t.p{i}").alias(f"__p{i}") for i in range(6)])
+    met = grid_join(a, turned, [f"a_{c}" for c in START + END], [f"__p{i}" for i in range(6)], tol, ["norm_layer"]).where("id_a < id_b")
+    back = lambda i: F.when(F.col("__k") == 0, F.col(f"__p{i}")).otherwise(F.col(f"__p{(i + 3) % 6}"))
+    met = met.select("*", *[back(i).alias(f"b_{c}") for i, c in enumerate(START + END)]).withColumn("kind", match_kind(tol))
     once = ((F.col("kind") == "forward") & (F.col("__k") == 0)) | ((F.col("kind") == "reversed") & (F.col("__k") == 1))
     return met.where(once).drop("__k", *[f"__p{i}" for i in range(6)])
 

@@ -40,7 +40,8 @@ def with_sources(issues: DataFrame, edges: DataFrame, eps: float) -> DataFrame:
     Issues are keyed by their own content, so the result does not hang on the order of the input. Of edge ids without
     an edge the token is empty, and they are listed in the metadata. Edges are looked up by one join on the exploded ids.
     """
-    issues = cut(issues.withColumn("__iid", F.sha2(F.to_json(F.struct("issue_type", "edge_ids", "lx", "ly", "lz", "message")), 256)))
+    content = ["issue_type", "edge_ids", "lx", "ly", "lz", "message"]
+    issues = cut(issues.withColumn("__iid", F.struct(F.xxhash64(*content).alias("h"), F.xxhash64(F.lit(1), *content).alias("i"))))
     refs = issues.select("__iid", F.posexplode("edge_ids").alias("pos", "edge_id")).distinct()
     info = edges.select("edge_id", F.lit(True).alias("hit"), F.col("layer"), F.struct("pid_path", "entity_id", (F.col("structural_depth") > 0).alias("nested"), "pid_path_complete").alias("token"))
     empty = F.struct(F.array().cast("array<bigint>").alias("pid_path"), F.lit(None).cast("bigint").alias("entity_id"), F.lit(False).alias("nested"), F.lit(False).alias("pid_path_complete"))

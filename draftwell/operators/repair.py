@@ -84,10 +84,11 @@ def propose(edges: DataFrame, derived: DataFrame, tol: float | None, snapshot_id
         empty = derived.limit(0).select("derived_id", F.lit("").alias("survivor"), F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("members"), F.array().cast("array<string>").alias("issue_ids"))
         return Plan(_actions(empty, derived.limit(0), snapshot_id), skipped, empty)
     claims = claims if claims is not None else duplicate_pairs(edges, tol).select("id_a", "id_b")
-    claims = claims if "issue_id" in claims.columns else claims.withColumn("issue_id", F.lit(None).cast("string"))
-    judged = pair_reasons(claims.select("id_a", "id_b").distinct(), edges, tol)
+    given = "issue_id" in claims.columns
+    judged = cut(pair_reasons(claims.select("id_a", "id_b").distinct() if given else claims, edges, tol))
     judged = cut(judged.join(_resolution(judged.where("reason IS NULL"), edges, derived, tol), ["id_a", "id_b"], "left").select("id_a", "id_b", "kind", F.coalesce("reason", "identity").alias("reason")))
-    named = claims.where("issue_id IS NOT NULL").groupBy("id_a", "id_b").agg(F.array_sort(F.collect_set("issue_id")).alias("issue_ids"))
+    none = F.array().cast("array<string>")
+    named = claims.where("issue_id IS NOT NULL").groupBy("id_a", "id_b").agg(F.array_sort(F.collect_set("issue_id")).alias("issue_ids")) if given else None
     good = judged.where("reason IS NULL")
     comp = cut(components(good.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
     ids = derived.where("kind = 'edge'").select(F.col("edge_id").alias("node"), "derived_id", "handle_state", "handle_id", F.get("source_occurrence_ids", F.lit(0)).alias("occurrence"))
@@ -106,9 +107,13 @@ def propose(edges: DataFrame, derived: DataFrame, tol: float | None, snapshot_id
         .when(~F.col("live"), "host_handle_invalidated")
         .when(F.col("handles") < F.col("found"), "host_handle_aliasing")
     )
-    evidence = named.join(comp.select(F.col("node").alias("id_a"), "component"), "id_a").select("component", F.explode("issue_ids").alias("i")).groupBy("component").agg(F.array_sort(F.collect_set("i")).alias("issue_ids"))
-    none = F.array().cast("array<string>")
-    per = cut(per.withColumn("reason", why).join(evidence, "component", "left").withColumn("issue_ids", F.coalesce("issue_ids", none)))
+    per = per.withColumn("reason", why)
+    if given:
+        evidence = named.join(comp.select(F.col("node").alias("id_a"), "component"), "id_a").select("component", F.explode("issue_ids").alias("i")).groupBy("component").agg(F.array_sort(F.collect_set("i")).alias("issue_ids"))
+        per = per.join(evidence, "component", "left").withColumn("issue_ids", F.coalesce("issue_ids", none))
+    else:
+        per = per.withColumn("issue_ids", none)
+    per = cut(per)
     members = rows.join(per.where("reason IS NULL").select("component", "survivor", "issue_ids"), "component")
     kinds = good.select(F.col("id_a").alias("x"), F.col("id_b").alias("y"), "kind").unionByName(good.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"), "kind"))
     basis = (
@@ -116,7 +121,8 @@ def propose(edges: DataFrame, derived: DataFrame, tol: float | None, snapshot_id
         .groupBy("survivor").agg(F.min_by("kind", "other").alias("kind"))
     )
     members = members.join(basis, "survivor").select("derived_id", "survivor", "kind", "members", "issue_ids")
-    bad_pairs = judged.where("reason IS NOT NULL").join(named, ["id_a", "id_b"], "left").select(
+    bad_pairs = judged.where("reason IS NOT NULL")
+    bad_pairs = (bad_pairs.join(named, ["id_a", "id_b"], "left") if given else bad_pairs.withColumn("issue_ids", none)).select(
         F.concat_ws("+", F.col("id_a").cast("string"), F.col("id_b").cast("string")).alias("component"), "reason", F.lit("").alias("detail"), F.coalesce("issue_ids", none).alias("issue_ids")
     )
     bad_comps = per.where("reason IS NOT NULL").select(
@@ -143,17 +149,20 @@ def _resolution(good: DataFrame, edges: DataFrame, derived: DataFrame, tol: floa
     # paths as they are spelt in identifiers; an edge without one is its own
     spelt = F.when(F.size("pid_path") > 0, pid_path_text(F.col("pid_path")))
     src = edges.select("edge_id", spelt.alias("path"), normalized_layer(F.col("layer")).alias("b_layer"), *[F.col(c).alias(f"b_{c}") for c in place])
+    ends = good.select(F.col("id_a").alias("edge_id")).unionByName(good.select(F.col("id_b").alias("edge_id"))).distinct()
     owners = src.where("path IS NOT NULL").groupBy("path").agg(F.count(F.lit(1)).alias("owners"))
+    src = cut(src.join(ends, "edge_id", "left_semi").join(owners, "path", "left"))
     rows = derived.where("kind = 'edge' AND size(source_occurrence_ids) > 0").select(
         "derived_id", pid_path_text(path_of_occurrence(F.get("source_occurrence_ids", F.lit(0)))).alias("path"), normalized_layer(F.col("layer")).alias("a_layer"), *[F.col(c).alias(f"a_{c}") for c in place]
     )
-    stands = src.select("edge_id", "path").join(rows, "path").select(F.col("edge_id").alias("x"), "path", "derived_id", "a_layer", *[f"a_{c}" for c in place])
+    stands = src.select("edge_id", "path", "owners").join(rows, "path").select(F.col("edge_id").alias("x"), "path", "owners", "derived_id", "a_layer", *[f"a_{c}" for c in place])
     sides = good.select("id_a", "id_b", F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(good.select("id_a", "id_b", F.col("id_b").alias("x"), F.col("id_a").alias("y")))
     other = src.select(F.col("edge_id").alias("y"), F.col("path").alias("y_path"), "b_layer", *[f"b_{c}" for c in place])
     # rows of a path that both edges spell stand for the first one only
     once = (F.col("x") == F.col("id_a")) | ~F.col("path").eqNullSafe(F.col("y_path"))
     met = sides.join(stands, "x").join(other, "y").where(once & (F.col("a_layer") == F.col("b_layer")) & match_kind(tol).isNotNull())
-    met = met.join(owners, "path").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("sources"), F.count_distinct("derived_id").alias("ids"), F.max("owners").alias("owners"))
+    # a pair has few such rows: two, unless something is wrong
+    met = met.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("sources"), F.count_distinct("derived_id").alias("ids"), F.max("owners").alias("owners"))
     doubt = (
         F.when(F.col("n").isNull() | (F.col("sources") != F.col("n")), "no_derived_records_resolve_to_issue_source_edges")
         .when(F.col("n") < 2, "incomplete_nested_provenance")

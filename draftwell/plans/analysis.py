@@ -26,6 +26,7 @@ class Analysis:
     def __post_init__(self) -> None:
         self._vertices: DataFrame | None = None
         self._issues: DataFrame | None = None
+        self._sourced: DataFrame | None = None
 
     @property
     def vertices(self) -> DataFrame:
@@ -53,12 +54,22 @@ class Analysis:
     def normalized(self) -> DataFrame:
         return iss.normalized(self.raw_issues()).unionByName(iss.warnings_as_issues(self.warnings()))
 
+    @property
+    def sourced(self) -> DataFrame:
+        if self._sourced is None:
+            self._sourced = iss.with_sources(self.normalized(), self.edges, self.config.tolerance.coordinate_epsilon)
+        return self._sourced
+
+    @property
+    def counted(self) -> DataFrame:
+        """The accepted issues for counts by type, layer or severity: without positions, so nothing is sorted."""
+        return iss.registry(iss.with_display(self.sourced.withColumn("issue_id", F.concat_ws("|", "issue_type", "source_keys"))))[0]
+
     @property
     def issues(self) -> DataFrame:
         """Issues with sources and ids that the registry accepts."""
         if self._issues is None:
-            sourced = iss.with_sources(self.normalized(), self.edges, self.config.tolerance.coordinate_epsilon)
-            self._issues = cut(iss.registry(iss.with_display(iss.with_ids(sourced)))[0])
+            self._issues = cut(iss.registry(iss.with_display(iss.with_ids(self.sourced)))[0])
         return self._issues
 
     def report(self) -> DataFrame:

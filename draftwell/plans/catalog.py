@@ -260,7 +260,7 @@ def issue_ids(spark, d):
 
 @query(with_(*_ALL, sql.ISSUES) + "SELECT issue_type, count(*) AS issue_count, bool_or(severity = 'high') AS has_high FROM issues GROUP BY issue_type")
 def issue_summary(spark, d):
-    return iss.summary(_analysis(spark, d).issues)
+    return iss.summary(_analysis(spark, d).counted)
 
 
 _TYPE_RANK = "list_position([" + ", ".join(f"'{t}'" for t in fn.ISSUE_TYPES) + "], issue_type)"
@@ -272,7 +272,7 @@ _TYPE_RANK = "list_position([" + ", ".join(f"'{t}'" for t in fn.ISSUE_TYPES) + "
     FROM (SELECT issue_type, count(*) AS n, bool_or(severity = 'high') AS h FROM issues GROUP BY issue_type)"""
 )
 def issue_groups(spark, d):
-    return iss.groups(_analysis(spark, d).issues).withColumn("rank", F.col("rank").cast("bigint"))
+    return iss.groups(_analysis(spark, d).counted).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -281,7 +281,7 @@ def issue_groups(spark, d):
 )
 def issues_by_layer(spark, d):
     layers = _layers(spark, d).select("name", F.col("role_rank").alias("display_rank"))
-    return iss.layer_groups(_analysis(spark, d).issues, layers).select("name", "issue_count", "default_open")
+    return iss.layer_groups(_analysis(spark, d).counted, layers).select("name", "issue_count", "default_open")
 
 
 @query(
@@ -308,7 +308,7 @@ def issue_rejects(spark, d):
 def layer_summary(spark, d):
     from pyspark.sql import Window
 
-    counts = _analysis(spark, d).issues.groupBy(F.col("layer_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    counts = _analysis(spark, d).counted.groupBy(F.col("layer_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     rows = _layers(spark, d).join(counts, "name", "left").withColumn("issue_count", F.coalesce("n", F.lit(0)))
     order = Window.partitionBy(F.lit(0)).orderBy("role_rank", ~F.col("visible"), -F.col("issue_count"), "name")  # one row a layer
     return rows.select("name", "edge_count", "face_count", "faces_with_holes_count", "role", "role_rule", fn.visibility_label(F.col("visible"), F.col("visibility_unknown")).alias("visibility"), "issue_count", F.row_number().over(order).cast("bigint").alias("position"))
