@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import table
 from .batches import slices
@@ -79,37 +79,44 @@ def assemble(codec, base: int, role: str, text: str) -> tuple[list[int], np.ndar
     return [i for ids, _ in segments for i in ids], np.cumsum(steps[:-1], dtype=np.int8)
 
 
+def _lists(parts: list, kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if len(parts) else np.empty(0), kind))
+
+
 def _turns(ranks: bytes):
+    """Rows sorted by conversation and turn; places and starts go on from batch to batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, base = _codec(ranks)
+        last, place, start = object(), 0, 0
         for batch in slices(batches, 3):
+            convs = batch.column(0).to_pylist()
             done = [assemble(codec, base, r or "", t or "") for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             written = ["".join(_pieces(codec, base, ids)) for ids, _ in done]
+            places, starts = [], []
+            for conv, (ids, _) in zip(convs, done, strict=True):
+                place, start = (place, start) if conv == last else (0, 0)
+                places.append(place)
+                starts.append(start)
+                last, place, start = conv, place + 1, start + len(ids)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([ids for ids, _ in done], pa.list_(pa.int32())),
-                    pa.array([m.astype(bool).tolist() for _, m in done], pa.list_(pa.bool_())),
-                    pa.array(written, pa.string()),
+                    batch.column(0), batch.column(1), _lists([ids for ids, _ in done], pa.int32()), _lists([m.astype(bool) for _, m in done], pa.bool_()), pa.array(written, pa.string()),
+                    pa.array(places, pa.int32()), pa.array(starts, pa.int64()),
                 ],
-                names=["conv_id", "turn", "ids", "loss", "formatted"],
-            )
+                names=["conv_id", "turn", "ids", "loss", "formatted", "place", "token_start"],
+            )
 
     return run
 
 
 def _pieces(codec, base: int, ids: list[int]) -> list[str]:
     """Marks and decoded texts in turn; between two marks there is always a text, though it may be empty."""
-    out, run = [], []
-    for i in ids:
-        if i >= base:
-            if out:
-                out.append(codec.decode_bytes(run).decode("utf-8"))
-            out.append(CONTROL[i - base])
-            run = []
-        else:
-            run.append(i)
+    marks = [k for k, i in enumerate(ids) if i >= base]
+    out = [CONTROL[ids[marks[0]] - base]]
+    for a, b in zip(marks, marks[1:], strict=False):
+        out += [codec.decode_bytes(ids[a + 1 : b]).decode("utf-8"), CONTROL[ids[b] - base]]
     return out
 
 
@@ -124,20 +131,18 @@ def read_turn(codec, base: int, ids: list[int]) -> tuple[str, str]:
 def format_turns(rows: DataFrame, vocab: bytes | None = None) -> DataFrame:
     """``conv_id, turn, ids, loss, formatted, place, token_start`` for every row of (conv_id, turn, role, text).
 
-    Turns of a conversation stand in the order of ``turn``, equal or null ones (null first) by their tokens;
+    Turns of a conversation stand in the order of ``turn``, equal or null ones (null first) by role and text;
     ``place`` counts them from 0 and ``token_start`` is the id's position at which the turn begins. Null roles and
     texts are empty strings; repeated rows are turns of their own; rows with a null ``conv_id`` are one conversation.
-    Other columns are not read. Partitions hold whole conversations, sorted.
+    Other columns are not read. Partitions hold whole conversations, sorted; plain turns travel, ids and masks never do.
+    A conversation passes through one task, turn by turn, and is never held; a very long turn is a slice of its own.
     """
     ranks = vocab or vocabulary()
     kinds = dict(rows.select("conv_id", "turn").dtypes)
-    plain = rows.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, ids array<int>, loss array<boolean>, formatted string"
-    order = Window.partitionBy("conv_id").orderBy("turn", "formatted")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return plain.mapInArrow(_turns(ranks), schema).select(
-        "*", (F.row_number().over(order) - 1).alias("place"), F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)).cast("long").alias("token_start")
-    )
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    plain = rows.select("conv_id", "turn", text("role"), text("text"))
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, ids array<int>, loss array<boolean>, formatted string, place int, token_start bigint"
+    return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_turns(ranks), schema)
 
 
 def _digests(ranks: bytes):
@@ -151,14 +156,14 @@ def _digests(ranks: bytes):
 
         for batch in slices(batches, 4):
             ready = []
-            ids_, loss_ = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ids_, loss_ = (np.split(c.flatten().to_numpy(zero_copy_only=False), np.cumsum(c.value_lengths().to_numpy())[:-1]) for c in (batch.column(2), batch.column(3)))
             for conv, place, ids, loss, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids_, loss_, batch.column(4).to_pylist(), strict=True):
                 if place == 0:
                     if open_:
                         ready.append(closed())
                     open_[:] = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, said = read_turn(codec, base, ids)
-                learned = unescape(codec.decode_bytes([i for i, on in zip(ids, loss, strict=True) if on]).decode("utf-8"))
+                role, said = read_turn(codec, base, ids.tolist())
+                learned = unescape(codec.decode_bytes(ids[loss].tolist()).decode("utf-8")) if loss.any() else ""
                 open_[1] += 1
                 open_[2].update(f"{role}\n{said}\n".encode())
                 open_[3] += len(learned)
