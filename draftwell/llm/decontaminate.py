@@ -8,8 +8,9 @@ somewhere along it, 80 % of ``WINDOW`` consecutive item tokens (of all of them,
 at their places. The masks were chosen so that every 16 aligned tokens with three replaced ones hold a seed;
 items of 10 and 11 tokens, where two replaced ones can break all three masks, are also hashed under ``MIDDLE``.
 
-Benchmark seeds are broadcast in blocks of at most ``BLOCK_SEEDS`` rows (about 20 MB); a larger benchmark takes
-more passes over the texts rather than a larger broadcast.
+Benchmark seeds are broadcast in blocks of about ``BLOCK_SEEDS`` rows (20 MB), dealt by the seed itself, so a block is
+bounded whatever the items' lengths; a larger benchmark takes more passes over the texts rather than a larger broadcast.
+The tokens of items join the few hits, with or without a broadcast as their size asks for.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import table
+from ..session import cut, table
 from .exact_dedup import fresh_name
 
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 2, 4, 7), (0, 1, 3, 4, 5))
@@ -63,7 +64,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items.withColumn("il", F.size("ith")).where(F.col("il") >= MIN_ITEM)
     total = items.agg(F.sum("il")).first()[0] or 0
     blocks = max(1, -(-total * (len(MASKS) + SPAN - MIN_ITEM) // BLOCK_SEEDS))
-    items = items.withColumn("block", F.pmod(F.xxhash64("ith"), F.lit(blocks))).withColumn("key", F.xxhash64("item_id", "ith"))
+    items = items.withColumn("key", F.xxhash64("item_id", "ith"))
     # items of 5 to 7 tokens are whole seeds: a mask of its own for each such length that occurs
     short = sorted(r.il for r in items.where(F.col("il") < SPAN).select("il").distinct().collect())
     masks = [*MASKS, *[tuple(range(k)) for k in short]]
@@ -76,13 +77,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     texts = texts.select("id", F.xxhash64("t").alias("text_key"), tokens(F.col("t")).alias("th")).withColumn("n", F.size("th"))
     places = _seeds(texts, "th", "n", "pos", masks)
+    seeds = _seeds(items, "ith", "il", "off", masks).where(own).select("seed", "key", "off")
+    if blocks > 1:
+        seeds = cut(seeds)
     found = []
     for b in range(blocks):
-        part = items.where(F.col("block") == b)
-        seeds = _seeds(part, "ith", "il", "off", masks).where(own).select("seed", "key", "off")
-        hits = places.join(F.broadcast(seeds), "seed").join(F.broadcast(part.select("key", "item_id", "ith", "il")), "key")
-        found.append(_verified(hits))
-    return reduce(DataFrame.unionByName, found)
+        part = seeds.where(F.pmod("seed", F.lit(blocks)) == b) if blocks > 1 else seeds
+        found.append(places.join(F.broadcast(part), "seed"))
+    hits = reduce(DataFrame.unionByName, found).join(items.select("key", "item_id", "ith", "il"), "key")
+    return _verified(hits)
 
 
 def _verified(hits: DataFrame) -> DataFrame:
