@@ -27,6 +27,7 @@ SEED = 20_011
 UND = "und"
 _BITS = 21
 _LOW = (1 << _BITS) - 1
+_TEXTS, _CODES = 512, 4_096
 _KEEP = 60_000  # sequence vectors kept by a worker: 120 MB
 
 
@@ -91,23 +92,24 @@ class Vectors:
             at = np.searchsorted(self.codes, codes)
         return self.rows[self.place[at]]
 
-    def bundles(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def bundles(self, texts: list[tuple[np.ndarray, np.ndarray]], exact: bool = False) -> np.ndarray:
         """For each text, given by its sequences and counts, the sum of the vectors, each times its count.
 
-        One matrix product for all texts, over blocks of at most 8,192 sequences.
+        Matrix products over blocks of at most ``_TEXTS`` texts and ``_CODES`` sequences, 16 MB at most. Single precision
+        holds the counts of one document; ``exact`` sums in double precision, which holds whole numbers up to 2 ** 53.
         """
+        kind = np.float64 if exact else np.float32
         out = np.zeros((len(texts), self.dim), np.float64)
-        if not texts:
-            return out
-        sizes = [len(c) for c, _ in texts]
-        codes, place = np.unique(np.concatenate([c for c, _ in texts]), return_inverse=True)
-        counts = np.concatenate([n for _, n in texts]).astype(np.float32)
-        row = np.repeat(np.arange(len(texts)), sizes)
-        for s in range(0, len(codes), 8192):
-            mine = (place >= s) & (place < s + 8192) if len(codes) > 8192 else slice(None)
-            dense = np.zeros((len(texts), min(8192, len(codes) - s)), np.float32)
-            dense[row[mine], place[mine] - s] = counts[mine]
-            out += dense @ self.of(codes[s : s + 8192])
+        for t in range(0, len(texts), _TEXTS):
+            some = texts[t : t + _TEXTS]
+            codes, place = np.unique(np.concatenate([c for c, _ in some]), return_inverse=True)
+            counts = np.concatenate([n for _, n in some]).astype(kind)
+            row = np.repeat(np.arange(len(some)), [len(c) for c, _ in some])
+            for s in range(0, len(codes), _CODES):
+                mine = (place >= s) & (place < s + _CODES) if len(codes) > _CODES else slice(None)
+                dense = np.zeros((len(some), min(_CODES, len(codes) - s)), kind)
+                dense[row[mine], place[mine] - s] = counts[mine]
+                out[t : t + _TEXTS] += dense @ self.of(codes[s : s + _CODES]).astype(kind, copy=False)
         return out
 
 
@@ -145,7 +147,7 @@ def prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
                 part = part.sort_values("code")
-                v = vectors.bundles([(part["code"].to_numpy(), part["n"].to_numpy())])[0]
+                v = vectors.bundles([(part["code"].to_numpy(), part["n"].to_numpy())], exact=True)[0]
                 total[lang] = total.get(lang, 0) + v
         yield pd.DataFrame({"lang": list(total), "v": [x.tolist() for x in total.values()]})
 
@@ -183,7 +185,8 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], id_col: str = "doc
     """``id, lang_pred, score`` for every row: the prototype of the largest cosine, and that cosine (0 if negative).
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing was learned. Equal
-    cosines go to the language that sorts first. Repeated rows are all answered; other columns are not read.
+    cosines go to the language that sorts first. Repeated rows are all answered; other columns are not read. A very long
+    text is a slice of its own; what it takes grows with its length and its distinct sequences.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = sorted(learned)
