@@ -54,18 +54,19 @@ def feistel(values: Column, bases: Column, kind: str, key: str, backwards: bool
     def one(state: Column, r: Column) -> Column:
         other = F.filter(state, lambda x, i: (i + r) % 2 == 1)
         draw = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.size(state).cast("string"), F.array_join(other.cast("array<string>"), ",")), 512)
-        width = F.greatest(F.lit(1), F.least(F.lit(7), (F.lit(120) / F.greatest(F.size(state), F.lit(1)) * 2).cast("int")))
+        # a digest serves 18 digits of 28 bits; further digests hang on the first one and a counter
+        more = F.transform(F.sequence(F.lit(0), (F.size(state) / 36).cast("int")), lambda b: F.when(b == 0, draw).otherwise(F.sha2(F.concat_ws("|", draw, b.cast("string")), 512)))
 
         def moved(d: Column) -> Column:
             def step(x: Column, i: Column) -> Column:
-                at = F.pmod((i / 2).cast("int") * width, F.lit(120)) + 1
-                shift = F.conv(d.substr(at, width), 16, 10).cast("bigint")
+                nth = (i / 2).cast("int")
+                shift = F.conv(F.get(d, (nth / 18).cast("int")).substr(nth % 18 * 7 + 1, F.lit(7)), 16, 10).cast("bigint")
                 goes = x - shift if backwards else x + shift
                 return F.when((i + r) % 2 == 0, F.pmod(goes, F.get(bases, i))).otherwise(x)
 
             return F.transform(state, step)
 
-        return F.get(F.transform(F.array(draw), moved), 0)
+        return F.get(F.transform(F.array(more), moved), 0)
 
     order = F.array(*[F.lit(r) for r in rounds])
     return F.aggregate(order, values.cast("array<bigint>"), one)
@@ -138,7 +139,7 @@ def _card(m: Column, key: str, back: bool) -> Column:
     body = F.slice(digits, 1, F.size(digits) - 1)
     new = feistel(body, _tens(F.size(body)), "card", key, back)
     whole = F.get(F.transform(F.array(new), lambda b: F.concat(b, F.array(_luhn_check(b)))), 0)
-    return F.when(_luhn_check(body) == F.element_at(digits, -1), _refill(m, whole)).otherwise(m)
+    return F.when(_luhn_check(body) == F.element_at(digits, -1), _refill(m, whole))
 
 
 def _iban(m: Column, key: str, back: bool) -> Column:
@@ -154,7 +155,7 @@ def _iban(m: Column, key: str, back: bool) -> Column:
     # the blanks of the original come back at their places
     spaced = F.when(m.contains(" "), F.rtrim(F.regexp_replace(made, "(.{4})", "$1 "))).otherwise(made)
     good = (_mod97(F.concat(bban, tight.substr(1, 4))) == 1) & F.length(tight).between(15, 34)
-    return F.when(good, spaced).otherwise(m)
+    return F.when(good, spaced)
 
 
 def _ssn(m: Column, key: str, back: bool) -> Column:
@@ -174,7 +175,7 @@ def _ssn(m: Column, key: str, back: bool) -> Column:
         ),
         0,
     )
-    return F.when(good, text).otherwise(m)
+    return F.when(good, text)
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
@@ -183,14 +184,14 @@ def _phone(m: Column, key: str, back: bool) -> Column:
     tail = F.substring(m, F.length(head) + 1, F.length(m))
     digits = _digits(F.regexp_replace(tail, "[^0-9]", ""))
     total = F.length(F.regexp_replace(m, "[^0-9]", ""))
-    return F.when(total.between(7, 15), F.concat(head, _refill(tail, feistel(digits, _tens(F.size(digits)), "phone", key, back)))).otherwise(m)
+    return F.when(total.between(7, 15), F.concat(head, _refill(tail, feistel(digits, _tens(F.size(digits)), "phone", key, back))))
 
 
 def _ip(m: Column, key: str, back: bool) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda p: p.cast("bigint"))
     tidy = F.array_join(parts.cast("array<string>"), ".") == m
     new = feistel(parts, F.array_repeat(F.lit(256), 4), "ip", key, back)
-    return F.when(F.forall(parts, lambda p: p < 256) & tidy, F.array_join(new.cast("array<string>"), ".")).otherwise(m)
+    return F.when(F.forall(parts, lambda p: p < 256) & tidy, F.array_join(new.cast("array<string>"), "."))
 
 
 def _date(m: Column, key: str, back: bool) -> Column:
@@ -216,7 +217,7 @@ def _date(m: Column, key: str, back: bool) -> Column:
 
     common = F.get(F.transform(F.array(usual), of), 0)
     special = F.get(F.transform(F.array(rare), lambda v: written(F.to_date(F.concat((F.get(v, 0) * 4 + 1904).cast("string"), F.lit("-02-29"))))), 0)
-    return F.when(y.between(1900, 2099) & day.isNotNull(), F.when(odd, special).otherwise(common)).otherwise(m)
+    return F.when(y.between(1900, 2099) & day.isNotNull(), F.when(odd, special).otherwise(common))
 
 
 def _email(m: Column, key: str, back: bool) -> Column:
@@ -250,6 +251,7 @@ def kind_of(match: Column) -> Column:
 
 
 def pseudonym(match: Column, key: str = KEY, backwards: bool = False) -> Column:
+    """The pseudonym of a matched string; null if it fails the validation of its kind."""
     out = None
     for kind in [*_SHAPES, "secret"]:
         made = _MAKERS[kind](match, key, backwards)
@@ -261,15 +263,16 @@ def pseudonym(match: Column, key: str = KEY, backwards: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, backwards: bool = False) -> DataFrame:
     """``id, text, found`` for every row: the text with its values replaced, and structs (kind, value, pseudonym).
 
-    ``found`` lists the values that passed validation in the order of the text, ``text`` keeps everything else as it
+    ``found`` lists the values that passed validation in the order of the text, those that stand for themselves too, ``text`` keeps everything else as it
     was. Null text stays null and has nothing found; repeated rows are all answered; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("hits", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ANY), F.lit(0)))
     rows = rows.withColumn("new", F.transform("hits", lambda m: pseudonym(m, key, backwards)))
     pieces = F.split("text", ANY, -1)
-    woven = F.array_join(F.transform(pieces, lambda p, i: F.concat(F.when(i > 0, F.get(F.col("new"), i - 1)).otherwise(F.lit("")), p)), "")
-    pairs = F.filter(F.zip_with("hits", "new", lambda a, b: F.struct(kind_of(a).alias("kind"), a.alias("value"), b.alias("pseudonym"))), lambda x: x["value"] != x["pseudonym"])
+    put = lambda i: F.coalesce(F.get(F.col("new"), i - 1), F.get(F.col("hits"), i - 1))
+    woven = F.array_join(F.transform(pieces, lambda p, i: F.concat(F.when(i > 0, put(i)).otherwise(F.lit("")), p)), "")
+    pairs = F.filter(F.zip_with("hits", "new", lambda a, b: F.struct(kind_of(a).alias("kind"), a.alias("value"), b.alias("pseudonym"))), lambda x: x["pseudonym"].isNotNull())
     return rows.select("id", F.when(F.size("hits") == 0, F.col("text")).otherwise(woven).alias("text"), F.when(F.size("hits") == 0, F.slice(pairs, 1, 0)).otherwise(pairs).alias("found"))
 
 
