@@ -304,3 +304,99 @@ def test_quality_held_out_and_edges(spark):
     kept = quality.keep_good(docs(spark, rows), field)
     assert kept.count() == 5 and kept.columns == ["doc_id", "text", "id", "found"]
     assert quality.fit(docs(spark, []), labels).prior == 0.5 and quality.score(docs(spark, []), field).count() == 0
+
+
+# ---- whole queries against plain versions
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_languages_equal_a_plain_version(spark):
+    """Prototypes and predictions of the query, by sums of vectors over sequences one by one."""
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        spaced = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+        words = " ".join(spaced.split())
+        line = f" {words} "
+        return Counter(line[k : k + 3] for k in range(len(line) - 2)) if words else Counter()
+
+    letter, bound = {}, {}
+
+    def vector(gram):
+        if gram not in bound:
+            for c in gram:
+                cp = 32 if c == " " else ord(c)
+                if c not in letter:
+                    letter[c] = np.random.default_rng((language.SEED, cp)).integers(0, 2, language.DIM) * 2 - 1
+            a, b, c = (letter[c] for c in gram)
+            bound[gram] = np.roll(a, 2) * np.roll(b, 1) * c
+        return bound[gram]
+
+    def bundle(counts):
+        return sum((n * vector(g) for g, n in counts.items()), np.zeros(language.DIM, np.int64))
+
+    out_of = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    total = {}
+    for r in docs_:
+        if r.lang is not None and r.text is not None and not out_of(r.doc_id):
+            total.setdefault(r.lang, Counter()).update(grams(r.text))
+    protos = {k: bundle(c) for k, c in sorted(total.items())}
+    protos = {k: v / np.linalg.norm(v) for k, v in protos.items()}
+    got = {r.doc_id: r for r in language.query(spark, SF).collect()}
+    assert len(got) == len(docs_)
+    for r in docs_:
+        v = bundle(grams(r.text))
+        norm = np.linalg.norm(v)
+        scores = {k: float(p @ v / norm) for k, p in protos.items()} if norm else {}
+        best = max(scores, key=scores.get) if scores else language.UND
+        assert got[r.doc_id].lang_pred == best and got[r.doc_id].held_out == out_of(r.doc_id)
+        assert abs(got[r.doc_id].score - max(0.0, scores.get(best, 0.0))) < 1e-6
+
+
+def plain_feistel(values, bases, kind, key):
+    """The network digit by digit, with one hash at a time."""
+    state = list(values)
+    for r in range(pseudonyms.ROUNDS):
+        other = ",".join(str(x) for i, x in enumerate(state) if (i + r) % 2 == 1)
+        first = hashlib.sha512("|".join([key, kind, str(r), str(len(state)), other]).encode()).hexdigest()
+        for i in range(len(state)):
+            if (i + r) % 2 == 0:
+                block, at = divmod(i // 2, 18)
+                draw = first if block == 0 else hashlib.sha512(f"{first}|{block}".encode()).hexdigest()
+                state[i] = (state[i] + int(draw[at * 7 : at * 7 + 7], 16)) % bases[i]
+    return state
+
+
+def test_pseudonyms_equal_a_plain_network(spark):
+    rng = random.Random(21)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (16, 40, 41, 128, 300)]
+    cards = ["4111111111111111", "378282246310005"]
+    rows = [(i, f"token = {h} end") for i, h in enumerate(hexes)] + [(50 + i, f"pay {c} now") for i, c in enumerate(cards)]
+    got = {r.id: r for r in pseudonyms.pseudonymise(docs(spark, rows)).collect()}
+    for i, h in enumerate(hexes):
+        want = "".join(f"{v:x}" for v in plain_feistel([int(c, 16) for c in h], [16] * len(h), "hex", pseudonyms.KEY))
+        assert got[i].text == f"token = {want} end"
+    for i, c in enumerate(cards):
+        body = plain_feistel([int(x) for x in c[:-1]], [10] * (len(c) - 1), "card", pseudonyms.KEY)
+        made = got[50 + i].found[0].pseudonym
+        assert made[:-1] == "".join(map(str, body)) and luhn(made)
+
+
+def test_pseudonyms_of_every_document(spark):
+    """The secrets of the table, which are 40 hexadecimal digits, and nothing but found values changes."""
+    source = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for r in pseudonyms.query(spark, SF).select("doc_id", "text", "n_replaced").collect():
+        text = source[r.doc_id]
+        if not r.n_replaced:
+            assert r.text == text
+            continue
+        assert len(r.text) == len(text) or r.n_replaced
+        for m in re.finditer(r"(?<![0-9A-Za-z_-])(?:token|secret|password|api_key|apikey) ?[=:] ?[\"']?([0-9a-f]{40})(?![0-9A-Za-z_.-])", text, re.I):
+            want = "".join(f"{v:x}" for v in plain_feistel([int(c, 16) for c in m[1]], [16] * 40, "hex", pseudonyms.KEY))
+            assert want in r.text and m[1] not in r.text
