@@ -109,7 +109,8 @@ def propose(edges: DataFrame, derived: DataFrame, tol: float | None, snapshot_id
     )
     per = per.withColumn("reason", why)
     if given:
-        evidence = named.join(comp.select(F.col("node").alias("id_a"), "component"), "id_a").select("component", F.explode("issue_ids").alias("i")).groupBy("component").agg(F.array_sort(F.collect_set("i")).alias("issue_ids"))
+        # only claims that passed speak for a component
+        evidence = named.join(good.select("id_a", "id_b"), ["id_a", "id_b"], "left_semi").join(comp.select(F.col("node").alias("id_a"), "component"), "id_a").select("component", F.explode("issue_ids").alias("i")).groupBy("component").agg(F.array_sort(F.collect_set("i")).alias("issue_ids"))
         per = per.join(evidence, "component", "left").withColumn("issue_ids", F.coalesce("issue_ids", none))
     else:
         per = per.withColumn("issue_ids", none)
