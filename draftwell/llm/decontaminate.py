@@ -28,6 +28,7 @@ SPAN = 8
 MIN_ITEM = 5
 WINDOW = 16
 BLOCK_SEEDS = 400_000
+PIECE = 512
 
 
 def tokens(text: Column) -> Column:
@@ -36,13 +37,13 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(frame: DataFrame, th: str, n: str, pos: str, masks: list[tuple[int, ...]]) -> DataFrame:
-    """``frame`` with one row per position and mask that fits there: ``pos``, ``__m`` (the mask's number), ``seed``.
+def _seeds(frame: DataFrame, th: str, n: str, pos: str, masks: list[tuple[int, ...]], first: Column, last: Column) -> DataFrame:
+    """``frame`` with one row per position from ``first`` to ``last`` and mask that fits there: ``pos``, ``__m`` (the mask's number), ``seed``.
 
     All masks of a position are hashed side by side, so each token is fetched once and the generated code stays small
     enough to be compiled. The outer explode keeps Spark from deriving a filter that would split the texts twice.
     """
-    places = F.when(F.col(n) >= MIN_ITEM, F.sequence(F.lit(0), F.col(n) - 1))
+    places = F.when(F.col(n) >= MIN_ITEM, F.sequence(first, last))
     rows = frame.select("*", F.explode_outer(places).alias(pos)).where(F.col(pos).isNotNull())
     hashes = [F.xxhash64(F.lit(i), *[F.get(F.col(th), F.col(pos) + o) for o in mask]).alias(f"__h{i}") for i, mask in enumerate(masks)]
     rows = rows.select("*", *hashes)
@@ -51,6 +52,19 @@ def _seeds(frame: DataFrame, th: str, n: str, pos: str, masks: list[tuple[int, .
     return rows.where(F.col(pos) + span <= F.col(n))
 
 
+def _pieces(texts: DataFrame, longest: int) -> DataFrame:
+    """Texts cut into pieces of ``PIECE`` positions (``first`` to ``last`` of ``th``) with ``longest`` tokens on either side.
+
+    Every alignment of an item with a position of the piece lies inside; ``base`` is the text's place at which ``th`` begins.
+    Rows per position then carry a piece, however long the text is.
+    """
+    start = F.sequence(F.lit(0), F.greatest(F.size("whole") - 1, F.lit(0)), F.lit(PIECE))
+    low = lambda s: F.greatest(s - longest, F.lit(0))
+    cut_ = F.transform(start, lambda s: F.struct(s.alias("start"), low(s).alias("base"), F.slice("whole", low(s) + 1, s - low(s) + PIECE + longest).alias("th")))
+    rows = texts.select("id", "text_key", F.explode(cut_).alias("p")).select("id", "text_key", "p.base", "p.th", (F.col("p.start") - F.col("p.base")).alias("first"), F.size("p.th").alias("n"))
+    return rows.withColumn("last", F.least(F.col("first") + PIECE, F.col("n")) - 1)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs ``id, item_id, item_tokens, matched_tokens, overlap, doc_start, text_key`` of texts and items found in them.
 
@@ -58,11 +72,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     token at which the item would begin there (negative if it begins before the text), ``overlap`` their share.
     ``text_key`` tells rows apart that carry one identifier. Null texts and items are empty; empty ones and items
     of fewer than five tokens match nothing; items of 5 to 7 tokens match only whole. Repeated rows repeat nothing:
-    a pair comes once. Ties between alignments go to the earlier one. Other columns are not read.
+    a pair comes once. Ties between alignments go to the earlier one. Other columns are not read. A very long text is cut
+    into overlapping pieces of its tokens, so that no row per position carries it.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("ith")).distinct()
     items = items.withColumn("il", F.size("ith")).where(F.col("il") >= MIN_ITEM)
-    total = items.agg(F.sum("il")).first()[0] or 0
+    facts = items.agg(F.sum("il").alias("total"), F.max("il").alias("longest")).first()
+    total, longest = facts.total or 0, max(facts.longest or 0, SPAN)
     blocks = max(1, -(-total * (len(MASKS) + SPAN - MIN_ITEM) // BLOCK_SEEDS))
     items = items.withColumn("key", F.xxhash64("item_id", "ith"))
     # items of 5 to 7 tokens are whole seeds: a mask of its own for each such length that occurs
@@ -75,30 +91,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         own = own | (F.col("il").between(10, 11) & (F.col("__m") == len(masks)))
         masks.append(MIDDLE)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    texts = texts.select("id", F.xxhash64("t").alias("text_key"), tokens(F.col("t")).alias("th")).withColumn("n", F.size("th"))
-    places = _seeds(texts, "th", "n", "pos", masks)
-    seeds = _seeds(items, "ith", "il", "off", masks).where(own).select("seed", "key", "off")
+    texts = texts.select("id", F.xxhash64("t").alias("text_key"), tokens(F.col("t")).alias("whole"))
+    places = _seeds(_pieces(texts, longest), "th", "n", "pos", masks, F.col("first"), F.col("last"))
+    seeds = _seeds(items, "ith", "il", "off", masks, F.lit(0), F.col("il") - 1).where(own).select("seed", "key", "off", "il")
     if blocks > 1:
         seeds = cut(seeds)
     found = []
     for b in range(blocks):
         part = seeds.where(F.pmod("seed", F.lit(blocks)) == b) if blocks > 1 else seeds
-        found.append(places.join(F.broadcast(part), "seed"))
-    hits = reduce(DataFrame.unionByName, found).join(items.select("key", "item_id", "ith", "il"), "key")
-    return _verified(hits)
-
-
-def _verified(hits: DataFrame) -> DataFrame:
-    # only the leftmost hit of a run along one diagonal and mask needs a look
-    again = None
-    for i, mask in enumerate(MASKS):
-        same = reduce(lambda a, b: a & b, [F.get("th", F.col("pos") - 1 + o).eqNullSafe(F.get("ith", F.col("off") - 1 + o)) for o in mask])
-        again = F.when(F.col("__m") == i, same) if again is None else again.when(F.col("__m") == i, same)
-    first = (F.col("pos") == 0) | (F.col("off") == 0) | ~F.coalesce(again, F.lit(False))
-    lined = hits.where(first).withColumn("diag", F.col("pos") - F.col("off"))
-    lined = lined.withColumn(
-        "m", F.transform(F.sequence(F.lit(0), F.col("il") - 1), lambda j: (F.get("th", F.col("diag") + j).eqNullSafe(F.get("ith", j))).cast("int"))
-    )
+        hits = places.join(F.broadcast(part), "seed").withColumn("at", F.col("pos") - F.col("off"))
+        # what goes on is as long as the item, not as the text
+        aligned = F.transform(F.sequence(F.lit(0), F.col("il") - 1), lambda j: F.get("th", F.col("at") + j))
+        found.append(hits.select("id", "text_key", "key", (F.col("base") + F.col("at")).alias("diag"), aligned.alias("aligned")))
+    # many hits lie on one alignment
+    lined = reduce(DataFrame.unionByName, found).groupBy("id", "text_key", "key", "diag").agg(F.first("aligned").alias("aligned"))
+    return _verified(lined.join(items.select("key", "item_id", "ith", "il"), "key"))
+
+
+def _verified(lined: DataFrame) -> DataFrame:
+    lined = lined.withColumn("m", F.zip_with("aligned", "ith", lambda a, b: a.eqNullSafe(b).cast("int")))
     add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     lined = lined.withColumn("w", F.least("il", F.lit(WINDOW))).withColumn("matched", add(F.col("m")))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("il") - F.col("w")), lambda s: add(F.slice("m", s + 1, F.col("w")))))

@@ -172,7 +172,7 @@ def _predicted(names: list[str], matrix: np.ndarray, dim: int, seed: int):
             known = (norm > 0) & bool(names)
             lang, score = np.full(len(found), UND, object), np.zeros(len(found))
             if known.any():
-                cos = (sums[known] / norm[known, None]) @ matrix.T
+                cos = np.round((sums[known] / norm[known, None]) @ matrix.T, 12)  # the last digits hang on who shares the batch
                 best = cos.argmax(axis=1)
                 lang[known] = [names[k] for k in best]
                 score[known] = np.clip(cos[np.arange(len(best)), best], 0, 1)
