@@ -503,22 +503,24 @@ def _parts(block: int) -> Column:
 
 def similar_links(marks: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """Links ``a, b`` of nodes that verified pairs connect; ``marks`` has one row a node, ``texts`` may repeat ``node, t``."""
-    bands = marks.select("node", "sig", "n", F.posexplode("bands").alias("band", "key"))
+    bands = marks.select("node", "n", F.posexplode("bands").alias("band", "key"))
     sizes = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), _parts(block)).where("size > 1").drop("size"))
-    offered = _met(bands.select("key", "node", "sig"), sizes).mapInArrow(_offers(similarity), "a bigint, b bigint")
+    # sketches are fetched for bands that several texts share, not for all
+    keyed = cut(bands.select("key", "node", "band").join(sizes.select("key"), "key"))
+    sigs = marks.select("node", "sig")
+    offered = _met(keyed.select("key", "node").join(sigs, "node"), sizes).mapInArrow(_offers(similarity), "a bigint, b bigint")
     printed = near_links(marks.select("fp", "node")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # written out, so that a text which leads very many is a join side that can be split
     pairs = cut(offered.unionByName(printed).where("a <> b").distinct())
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(bands.join(sizes, "key").select("node")).distinct()
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(keyed.select("node")).distinct()
     held = cut(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(held.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
     first = cut(both.select("a", "ta", "b", "tb").mapInArrow(_verified(shingle, similarity), "a bigint, b bigint"))
     # bands with several groups left
     groups = connected_components(first)
-    named = marks.join(groups, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp"), F.posexplode("bands").alias("band", "key"))
-    named = cut(named.join(sizes.select("key"), "key", "left_semi"))
+    named = cut(keyed.join(marks.select("node", "n"), "node").join(groups, "node", "left").select("key", "node", "n", "band", F.coalesce("component", "node").alias("comp")))
     mixed = cut(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), _parts(block)).where("low < high").select("key", "parts"))
-    met = _met(named.select("key", "node", "sig", "band", "comp"), mixed)
+    met = _met(named.select("key", "node", "band", "comp").join(mixed.select("key"), "key", "left_semi").join(sigs, "node"), mixed)
     left = met.mapInArrow(_open(similarity), "key bigint, pair bigint, side int, node bigint, sig binary, band int, comp bigint")
     n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = left.join(held, "node").select("key", "pair", "side", "node", "sig", "band", "comp", "t")
