@@ -24,7 +24,7 @@ from ..session import table
 from .batches import slices
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _NEVER = np.int64(1 << 40)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
