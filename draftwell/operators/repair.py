@@ -24,7 +24,7 @@ ACTION = "remove_duplicate_edge"
 BASIS = {"forward": "exact_endpoint_match_within_tolerance.duplicate", "reversed": "reversed_endpoint_match_within_tolerance.duplicate"}
 ACTION_TYPES = ["weld_two_edges", "remove_duplicate_edge", "close_gap", "remove_zero_length_edge", "heal_face_loop", "flatten_component", "no_op"]
 STATUSES = ["proposed", "validated", "applied", "skipped", "rejected", "failed"]
-# Fixed value: the explanation of an action.
+# The explanation of an action, and what is said without a tolerance.
 EXPLANATION = (
     "Exact duplicate edge (%s); %d source occurrences converge on one canonical derived segment; survivor keeps the lex-smallest derived_id; "
     "%d derived record(s) to remove; provenance union size = %d."
