@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import ExecutionConfig
 from .profile import bounding_box
 
 
+MANIFEST = "snapshot_id string, unit string, origin string, config string"
+
+
 @dataclass(frozen=True)
 class SourceSnapshot:
     """Immutable source of a workspace: frames are never changed, only written and read as versions."""
@@ -28,8 +32,22 @@ class SourceSnapshot:
         return f"snap-{row.digest[:16]}-{self.config.digest()[:8]}"
 
     def write(self, path: str) -> None:
+        """Frames, and last a manifest of one row that names the settings; without it there is no snapshot to read."""
         for name in ("edges", "faces", "layers"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        spark = self.edges.sparkSession
+        row = [(self.snapshot_id, self.unit, self.origin, json.dumps(asdict(self.config), sort_keys=True))]
+        spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> SourceSnapshot:
+        """The snapshot as it was written; raises if what is stored no longer has the identity of the manifest."""
+        row = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").first()
+        frames = [spark.read.parquet(f"{path}/{name}") for name in ("edges", "faces", "layers")]
+        found = cls(*frames, ExecutionConfig(**json.loads(row["config"])), row["unit"], row["origin"])
+        if found.snapshot_id != row["snapshot_id"]:
+            raise ValueError(f"the snapshot under {path} has changed since it was written")
+        return found
 
 
 def _micros(c) -> F.Column:

@@ -316,3 +316,15 @@ def test_cliques_equal_brute_force(spark):
 def test_registry_names_missing_keys(spark):
     rows = spark.createDataFrame([("short_edge", "low", "high")], "issue_type string, severity string, confidence string")
     assert iss.registry(rows)[1].first().reason == "missing key :issue_id" and iss.registry(rows)[0].count() == 0
+
+
+def test_snapshot_is_read_as_it_was_written(spark, tmp_path):
+    source = session_of(spark, tmp_path, [(0, 0, 0, 1, 0, 0)] * 2).source
+    path = f"file://{tmp_path}/snap"
+    source.write(path)
+    again = snapshot.SourceSnapshot.read(spark, path)
+    assert again.snapshot_id == source.snapshot_id and again.config == source.config and again.unit == "inches"
+    assert snapshot.same_rows(again.edges, source.edges)
+    source.edges.limit(1).write.mode("append").parquet(f"{path}/edges")
+    with pytest.raises(ValueError):
+        snapshot.SourceSnapshot.read(spark, path)
