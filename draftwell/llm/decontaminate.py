@@ -8,14 +8,16 @@ somewhere along it, 80 % of ``WINDOW`` consecutive item tokens (of all of them,
 at their places. The masks were chosen so that every 16 aligned tokens with three replaced ones hold a seed;
 items of 10 and 11 tokens, where two replaced ones can break all three masks, are also hashed under ``MIDDLE``.
 
-Benchmark seeds are broadcast in blocks of about ``BLOCK_SEEDS`` rows (20 MB), dealt by the seed itself, so a block is
-bounded whatever the items' lengths; a larger benchmark takes more passes over the texts rather than a larger broadcast.
+Up to ``BLOCK_SEEDS`` benchmark seeds (20 MB) are broadcast. Of a larger benchmark only a table of at most ``BITS`` bits
+(32 MB) travels, in which each seed sets two: places of texts whose seed finds both set go on as four numbers, join the
+seeds as a shuffled join, and the texts that do hold a seed are read a second time for their tokens. So the texts are
+read twice at most, whatever the benchmark's size; too full a table lets more places through and loses none.
 The tokens of items join the few hits, with or without a broadcast as their size asks for.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,6 +30,7 @@ SPAN = 8
 MIN_ITEM = 5
 WINDOW = 16
 BLOCK_SEEDS = 400_000
+BITS = 1 << 28
 PIECE = 512
 
 
@@ -65,6 +68,32 @@ def _pieces(texts: DataFrame, longest: int) -> DataFrame:
     return rows.withColumn("last", F.least(F.col("first") + PIECE, F.col("n")) - 1)
 
 
+def _membership(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test whether a hash may be among the about ``n`` of the one column of ``hashes``: false for none that is.
+
+    The table has 16 bits a hash, ``BITS`` at most, and comes as one scalar: an array of arrays of 4,096 longs.
+    """
+    bits = min(max(1 << 18, 1 << (16 * n).bit_length()), BITS)
+    places = lambda h: [F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits))]
+    listed = lambda of, key: F.transform(F.sort_array(F.collect_list(F.struct(key, of))), lambda x: x[of])
+    marks = hashes.select(F.explode(F.array(*places(F.col(hashes.columns[0])))).alias("p"))
+    word = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))
+    marks = marks.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(word).alias("v"))
+    words = hashes.sparkSession.range(bits >> 6).withColumnRenamed("id", "w").join(marks, "w", "left")
+    words = words.select("w", F.shiftright("w", 12).alias("c"), F.coalesce("v", F.lit(0)).alias("v"))
+    whole = words.groupBy("c").agg(listed("v", "w").alias("vs")).agg(listed("vs", "c")).scalar()
+
+    def is_set(p: Column) -> Column:
+        longs = F.get(whole, F.shiftright(p, 18).cast("int"))
+        return F.getbit(F.get(longs, (F.shiftright(p, 6) % 4096).cast("int")), (p % 64).cast("int")) == 1
+
+    def may_hold(h: Column) -> Column:
+        one, two = places(h)
+        return is_set(one) & is_set(two)
+
+    return may_hold
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs ``id, item_id, item_tokens, matched_tokens, overlap, doc_start, text_key`` of texts and items found in them.
 
@@ -79,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items.withColumn("il", F.size("ith")).where(F.col("il") >= MIN_ITEM)
     facts = items.agg(F.sum("il").alias("total"), F.max("il").alias("longest")).first()
     total, longest = facts.total or 0, max(facts.longest or 0, SPAN)
-    blocks = max(1, -(-total * (len(MASKS) + SPAN - MIN_ITEM) // BLOCK_SEEDS))
+    n_seeds = total * (len(MASKS) + SPAN - MIN_ITEM)
     items = items.withColumn("key", F.xxhash64("item_id", "ith"))
     # items of 5 to 7 tokens are whole seeds: a mask of its own for each such length that occurs
     short = sorted(r.il for r in items.where(F.col("il") < SPAN).select("il").distinct().collect())
@@ -92,22 +121,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         masks.append(MIDDLE)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     texts = texts.select("id", F.xxhash64("t").alias("text_key"), tokens(F.col("t")).alias("whole"))
-    places = _seeds(_pieces(texts, longest), "th", "n", "pos", masks, F.col("first"), F.col("last"))
     seeds = _seeds(items, "ith", "il", "off", masks, F.lit(0), F.col("il") - 1).where(own).select("seed", "key", "off", "il")
-    if blocks > 1:
-        seeds = cut(seeds)
-    found = []
-    for b in range(blocks):
-        part = seeds.where(F.pmod("seed", F.lit(blocks)) == b) if blocks > 1 else seeds
-        hits = places.join(F.broadcast(part), "seed").withColumn("at", F.col("pos") - F.col("off"))
-        # what goes on is as long as the item, not as the text
-        aligned = F.transform(F.sequence(F.lit(0), F.col("il") - 1), lambda j: F.get("th", F.col("at") + j))
-        found.append(hits.select("id", "text_key", "key", (F.col("base") + F.col("at")).alias("diag"), aligned.alias("aligned")))
+    pieces = lambda of: _pieces(of, longest)
+    places = lambda of: _seeds(pieces(of), "th", "n", "pos", masks, F.col("first"), F.col("last"))
+    if n_seeds <= BLOCK_SEEDS:
+        hits = places(texts).join(F.broadcast(seeds), "seed").withColumn("at", F.col("pos") - F.col("off"))
+    else:
+        hits = _hits_of_many(texts, cut(seeds), n_seeds, pieces, places)
+    # what goes on is as long as the item, not as the text
+    aligned = F.transform(F.sequence(F.lit(0), F.col("il") - 1), lambda j: F.get("th", F.col("at") + j))
+    hits = hits.select("id", "text_key", "key", (F.col("base") + F.col("at")).alias("diag"), aligned.alias("aligned"))
     # many hits lie on one alignment
-    lined = reduce(DataFrame.unionByName, found).groupBy("id", "text_key", "key", "diag").agg(F.first("aligned").alias("aligned"))
+    lined = hits.groupBy("id", "text_key", "key", "diag").agg(F.first("aligned").alias("aligned"))
     return _verified(lined.join(items.select("key", "item_id", "ith", "il"), "key"))
 
 
+def _hits_of_many(texts: DataFrame, seeds: DataFrame, n_seeds: int, pieces: Callable[[DataFrame], DataFrame], places: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Alignments ``at`` of items in pieces of texts, for more seeds than are broadcast: one row an alignment, not one a hit."""
+    may_hold = _membership(seeds.select("seed"), n_seeds)
+    maybe = places(texts).where(may_hold(F.col("seed"))).select("id", "text_key", (F.col("base") + F.col("pos")).alias("place"), "seed")
+    hits = maybe.join(seeds, "seed").groupBy("id", "text_key", "key", "il", (F.col("place") - F.col("off")).alias("diag")).agg(F.min("place").alias("place"))
+    # the piece of any place on an alignment holds the whole of it
+    hits = cut(hits.withColumn("start", F.col("place") - F.col("place") % PIECE).drop("place").withColumnRenamed("id", "of").withColumnRenamed("text_key", "of_key"))
+    hit = _membership(hits.select("of_key"), hits.count())
+    parts = pieces(texts.where(hit(F.col("text_key")))).withColumn("from", F.col("base") + F.col("first"))
+    met = parts.join(hits, (parts["text_key"] == hits["of_key"]) & parts["id"].eqNullSafe(hits["of"]) & (parts["from"] == hits["start"]))
+    return met.withColumn("at", F.col("diag") - F.col("base"))
+
+
 def _verified(lined: DataFrame) -> DataFrame:
     lined = lined.withColumn("m", F.zip_with("aligned", "ith", lambda a, b: a.eqNullSafe(b).cast("int")))
     add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)

@@ -427,3 +427,36 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 300)
     got = decontaminate.contamination(texts, bench).select("id", "item_id").collect()
     assert sorted((r.id, r.item_id) for r in got) == [(i, i) for i in range(12)]
+
+
+def test_many_seeds_find_what_few_find(spark, monkeypatch):
+    """More seeds than are broadcast: the same rows, for partial items, long texts, null and shared identifiers, repeats and hot seeds."""
+    rng = random.Random(12)
+    line = lambda n: [f"v{rng.randrange(400)}" for _ in range(n)]
+    items = [(i, line(n)) for i, n in enumerate((5, 6, 8, 10, 11, 16, 20, 60, 300, 700))]
+    items += [(20 + i, [*items[6][1][:12], *line(8)]) for i in range(5)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id bigint, text string")
+    rows = [(1, None), (2, ""), (None, " ".join(items[5][1])), (None, "other " + " ".join(items[7][1])), (3, " ".join(line(3000)))]
+    for k, (_, t) in enumerate(items):
+        words = [w if rng.random() > 0.08 else "zz" for w in t]
+        rows.append((10 + k, " ".join([*line(rng.randrange(600)), *words, *line(rng.randrange(600))])))
+        rows.append((7, " ".join([*words, *line(5)])))
+    rows += [(40, " ".join([*line(1500), *items[9][1], *line(500), *items[8][1][20:]]))] * 2
+    rows += [(100 + i, " ".join([*items[6][1][:14], *line(30)])) for i in range(300)]
+    texts = docs(spark, rows).repartition(3)
+    want = decontaminate.contamination(texts, bench).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 50)
+    assert len(want) > 20 and sorted(map(repr, decontaminate.contamination(texts, bench).collect())) == sorted(map(repr, want))
+    monkeypatch.setattr(decontaminate, "BITS", 1 << 18)  # nearly full tables let more through and lose nothing
+    assert sorted(map(repr, decontaminate.contamination(texts, bench).collect())) == sorted(map(repr, want))
+    assert decontaminate.contamination(texts.limit(0), bench).count() == 0
+
+
+def test_membership_holds_every_hash(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BITS", 1 << 18)
+    for n in (0, 1, 5000, 200000):
+        hashes = spark.range(n).selectExpr("xxhash64(id) as h")
+        hit = decontaminate._membership(hashes, n)
+        assert hashes.where(hit(hashes["h"])).count() == n
+        others = spark.range(1 << 40, (1 << 40) + 20000).selectExpr("xxhash64(id) as h")
+        assert others.where(hit(others["h"])).count() <= (20000 if n > 5000 else 200)
