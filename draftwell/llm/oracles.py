@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from .chat import CONTROL, PROBE
+from .collocations import ORACLE as COLLOCATIONS
 from .decontaminate import MASKS, MIN_ITEM, SPAN, WINDOW
 from .exact_dedup import ORACLE as EXACT
+from .spelling import ORACLE as SPELLING
 from .substring_dedup import LENGTH
+from .topk import ORACLE as TOP_K
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
@@ -51,4 +54,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(written) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op1_decontaminate": CONTAMINATION, "op3_exact_dedup": EXACT, "op4_substring_dedup": SUBSTRINGS, "op7_chat": CHAT}
+ORACLES = {
+    "op1_decontaminate": CONTAMINATION, "op3_exact_dedup": EXACT, "op4_substring_dedup": SUBSTRINGS, "op7_chat": CHAT,
+    "op11_spelling": SPELLING, "op12_collocations": COLLOCATIONS, "op13_top_k": TOP_K,
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, html_text, language, piece_bpe, pseudonyms, quality, simhash, substring_dedup
+from . import chat, collocations, decontaminate, exact_dedup, html_text, language, piece_bpe, pseudonyms, quality, simhash, spelling, substring_dedup, topk
 from .oracles import ORACLES
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_piece_bpe": piece_bpe.query,
     "op9_quality": quality.query,
     "op10_simhash": simhash.query,
+    "op11_spelling": spelling.query,
+    "op12_collocations": collocations.query,
+    "op13_top_k": topk.query,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
