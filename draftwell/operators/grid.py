@@ -1,18 +1,18 @@
 """Tolerance joins through a grid.
 
 Catalyst plans a band predicate as a nested loop. Here every point on the build side is filed under its one cell, and a
-point on the probe side asks the cells that its tolerance box touches. Cells are ``WIDE`` tolerances wide, so a box
-touches one cell on most axes (1.2 cells on average in three dimensions, where cells of one tolerance need 27), and the
-join is an equi-join that shuffles, splits under skew and spills like any other.
+point on the probe side asks the cells that its tolerance box touches. Cells are ``WIDE`` tolerances wide, so nearly
+every box lies in one cell on all axes (1.03 cells on average an axis) and is filed without a list; the join is an
+equi-join that shuffles, splits under skew and spills like any other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import cell, distance, finite, normalized_layer, within
+from ..functions.scalars import all_of, cell, distance, finite, normalized_layer, within
 
-WIDE = 16.0
+WIDE = 64.0
 START, END = ["sx", "sy", "sz"], ["ex", "ey", "ez"]
 
 
@@ -20,23 +20,30 @@ def grid_join(probe: DataFrame, build: DataFrame, probe_point: list[str], build_
     """Candidate pairs: equal ``keys`` and neighbouring points. The exact predicate is the caller's.
 
     Columns of the two sides must differ, but for ``keys``. Points that are not finite find nothing. The join key is one
-    long, a hash of keys and cell; keys and cells themselves are compared on what meets.
+    long, a chained hash of keys and cells; keys are compared on what meets, nearness is the caller's to test.
     """
     size = size or tol * WIDE
-    cells = [f"__c{i}" for i in range(len(probe_point))]
+    low, high = [[f"__{n}{i}" for i in range(len(probe_point))] for n in ("l", "h")]
     left = probe.where(finite(*map(F.col, probe_point)))
-    for c, name in zip(probe_point, cells, strict=True):
-        left = left.select("*", F.explode(F.sequence(cell(F.col(c) - tol, size), cell(F.col(c) + tol, size))).alias(name))
+    left = left.select("*", *[cell(F.col(c) - tol, size).alias(n) for c, n in zip(probe_point, low, strict=True)], *[cell(F.col(c) + tol, size).alias(n) for c, n in zip(probe_point, high, strict=True)])
+    seed = F.xxhash64(F.lit(0), *keys)
+    one, many = seed, F.array(seed)
+    for a, b in zip(low, high, strict=True):
+        one, many = F.xxhash64(one, F.col(a)), _spread(many, F.col(a), F.col(b))
+    alone = all_of(F.col(a) == F.col(b) for a, b in zip(low, high, strict=True))
+    left = left.select(*probe.columns, F.explode(F.when(alone, F.array(one)).otherwise(many)).alias("__h"))
     right = build.where(finite(*map(F.col, build_point))).select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in build.columns])
-    own = [cell(F.col(c), size) for c in build_point]
-    left = left.withColumn("__h", F.xxhash64(*keys, *cells))
-    right = right.withColumn("__h", F.xxhash64(*[f"__r_{k}" for k in keys], *own))
-    met = left.join(right, "__h")
-    for name, c in zip(cells, own, strict=True):
-        met = met.where(F.col(name) == c)
+    filed = F.xxhash64(F.lit(0), *[f"__r_{k}" for k in keys])
+    for c in build_point:
+        filed = F.xxhash64(filed, cell(F.col(c), size))
+    met = left.join(right.withColumn("__h", filed), "__h")
     for k in keys:
         met = met.where(F.col(k) == F.col(f"__r_{k}"))
-    return met.drop("__h", *cells, *[f"__r_{k}" for k in keys])
+    return met.drop("__h", *[f"__r_{k}" for k in keys])
+
+
+def _spread(hashes: Column, low: Column, high: Column) -> Column:
+    return F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(low, high), lambda c: F.xxhash64(h, c))))
 
 
 def _sides(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,30 +62,34 @@ def match_kind(tol: float) -> Column:
     return F.when(forward, "forward").when(backward, "reversed")
 
 
-def duplicate_pairs(edges: DataFrame, tol: float) -> DataFrame:
+def duplicate_pairs(edges: DataFrame, tol: float, of: DataFrame | None = None) -> DataFrame:
     """``id_a < id_b, kind, norm_layer`` and both edges' ends, once for each pair of edges that coincide within ``tol``.
 
     Edges on different normalized layers never match, nor do edges with an end that is not finite. ``tol`` 0 means
     exact equality (0.0 equals -0.0). The cells of both ends are the key, so edges that share one end only never meet. The
     other edge is filed in both orientations; a pair is met once in each that it matches in and needs no deduplication.
+    With ``of``, some of the edges, only their pairs are listed: ``id_a`` is one of them and ``id_b`` any other edge.
     """
     a, b = _sides(edges)
+    order = "id_a < id_b"
+    if of is not None:
+        a, order = _sides(of)[0], "id_a <> id_b"
     if tol == 0:
-        return _exact_pairs(a, b)
+        return _exact_pairs(a, b, order)
     both = [F.struct(F.lit(k).alias("k"), *[F.col(f"b_{c}").alias(f"p{i}") for i, c in enumerate(p)]) for k, p in ((0, START + END), (1, END + START))]
     turned = b.select("id_b", "norm_layer", F.explode(F.array(*both)).alias("t")).select("id_b", "norm_layer", F.col("t.k").alias("__k"), *[F.col(f"t.p{i}").alias(f"__p{i}") for i in range(6)])
-    met = grid_join(a, turned, [f"a_{c}" for c in START + END], [f"__p{i}" for i in range(6)], tol, ["norm_layer"]).where("id_a < id_b")
+    met = grid_join(a, turned, [f"a_{c}" for c in START + END], [f"__p{i}" for i in range(6)], tol, ["norm_layer"]).where(order)
     back = lambda i: F.when(F.col("__k") == 0, F.col(f"__p{i}")).otherwise(F.col(f"__p{(i + 3) % 6}"))
     met = met.select("*", *[back(i).alias(f"b_{c}") for i, c in enumerate(START + END)]).withColumn("kind", match_kind(tol))
     once = ((F.col("kind") == "forward") & (F.col("__k") == 0)) | ((F.col("kind") == "reversed") & (F.col("__k") == 1))
     return met.where(once).drop("__k", *[f"__p{i}" for i in range(6)])
 
 
-def _exact_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+def _exact_pairs(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
     point = lambda side, cols: F.struct(*[(F.col(f"{side}_{c}") + F.lit(0.0)).alias(x) for c, x in zip(cols, "xyz", strict=True)])
     key = lambda side: [F.least(point(side, START), point(side, END)).alias("__k1"), F.greatest(point(side, START), point(side, END)).alias("__k2")]
     met = a.select("*", *key("a")).join(b.select("*", *key("b")), ["norm_layer", "__k1", "__k2"])
-    return met.where("id_a < id_b").withColumn("kind", match_kind(0.0)).drop("__k1", "__k2")
+    return met.where(order).withColumn("kind", match_kind(0.0)).drop("__k1", "__k2")
 
 
 def gap_pairs(open_vertices: DataFrame, tol: float) -> DataFrame:

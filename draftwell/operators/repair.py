@@ -6,7 +6,6 @@ one source edge by a complete path; everything else becomes a skipped action wit
 
 from __future__ import annotations
 
-import time
 import uuid
 from dataclasses import dataclass, replace
 
@@ -16,7 +15,8 @@ from ..functions.scalars import DEFAULT_LAYER, derived_id, finite, geometry_key,
 from ..session import cut
 from .grid import END, START, duplicate_pairs, match_kind
 from .snapshot import SourceSnapshot, workspace_fingerprint
-from .topology import components
+from .topology import components, direct_pairs, heap_links, heap_of, heaps, weighted_components
+from .versions import DISCARDED, FAILED, HANDLES, READY, CommitLog, Conflict, Entry, delta, merged, read
 
 # Fixed values of the action catalogue.
 RULE = "duplicate_edge.exact_remove"
@@ -83,14 +83,18 @@ def propose(edges: DataFrame, derived: DataFrame, tol: float | None, snapshot_id
         skipped = spark.createDataFrame([(f"skip-{RULE}-config", "config|invalid_captured_tolerance", "invalid_or_missing_captured_tolerance", NO_TOLERANCE, [])], nothing)
         empty = derived.limit(0).select("derived_id", F.lit("").alias("survivor"), F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("members"), F.array().cast("array<string>").alias("issue_ids"))
         return Plan(_actions(empty, derived.limit(0), snapshot_id), skipped, empty)
-    claims = claims if claims is not None else duplicate_pairs(edges, tol).select("id_a", "id_b")
+    detected = claims is None
+    if detected:
+        sound = cut(_sound(edges, derived))
+        odd = edges.join(sound, "edge_id", "left_anti")
+        claims = duplicate_pairs(edges, tol, odd).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
     given = "issue_id" in claims.columns
     judged = cut(pair_reasons(claims.select("id_a", "id_b").distinct() if given else claims, edges, tol))
     judged = cut(judged.join(_resolution(judged.where("reason IS NULL"), edges, derived, tol), ["id_a", "id_b"], "left").select("id_a", "id_b", "kind", F.coalesce("reason", "identity").alias("reason")))
     none = F.array().cast("array<string>")
     named = claims.where("issue_id IS NOT NULL").groupBy("id_a", "id_b").agg(F.array_sort(F.collect_set("issue_id")).alias("issue_ids")) if given else None
     good = judged.where("reason IS NULL")
-    comp = cut(components(good.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
+    comp = cut(_detected_components(edges, sound, good, tol) if detected else components(good.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
     ids = derived.where("kind = 'edge'").select(F.col("edge_id").alias("node"), "derived_id", "handle_state", "handle_id", F.get("source_occurrence_ids", F.lit(0)).alias("occurrence"))
     rows = comp.join(ids, "node")
     per = rows.groupBy("component").agg(
@@ -116,11 +120,11 @@ def propose(edges: DataFrame, derived: DataFrame, tol: float | None, snapshot_id
         per = per.withColumn("issue_ids", none)
     per = cut(per)
     members = rows.join(per.where("reason IS NULL").select("component", "survivor", "issue_ids"), "component")
-    kinds = good.select(F.col("id_a").alias("x"), F.col("id_b").alias("y"), "kind").unionByName(good.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"), "kind"))
-    basis = (
-        members.where("derived_id = survivor").select(F.col("node").alias("x"), "survivor").join(kinds, "x").join(ids.select(F.col("node").alias("y"), F.col("derived_id").alias("other")), "y")
-        .groupBy("survivor").agg(F.min_by("kind", "other").alias("kind"))
-    )
+    # a complete component: the survivor matches every other member, so the kinds are read off their ends
+    at = lambda p, key: edges.select(F.col("edge_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in START + END])
+    lives = members.where("derived_id = survivor").select("component", F.col("node").alias("x")).join(at("a", "x"), "x")
+    others = members.where("derived_id <> survivor").select("component", "survivor", "node", F.col("derived_id").alias("other")).join(at("b", "node"), "node")
+    basis = others.join(lives, "component").withColumn("kind", match_kind(tol)).groupBy("survivor").agg(F.min_by("kind", "other").alias("kind"))
     members = members.join(basis, "survivor").select("derived_id", "survivor", "kind", "members", "issue_ids")
     bad_pairs = judged.where("reason IS NOT NULL")
     bad_pairs = (bad_pairs.join(named, ["id_a", "id_b"], "left") if given else bad_pairs.withColumn("issue_ids", none)).select(
@@ -135,6 +139,33 @@ def propose(edges: DataFrame, derived: DataFrame, tol: float | None, snapshot_id
     return Plan(_actions(members, derived, snapshot_id), skipped, members)
 
 
+def _sound(edges: DataFrame, derived: DataFrame) -> DataFrame:
+    """``edge_id`` of edges about which no pair can raise a doubt: a complete path of their own, and exactly one derived row,
+    of an id of its own, that spells this path and has the edge's place."""
+    spelt = F.when(F.size("pid_path") > 0, pid_path_text(F.col("pid_path")))
+    point = lambda cols: F.struct(*[(F.col(c) + F.lit(0.0)).alias(x) for c, x in zip(cols, "xyz", strict=True)])
+    spot = F.struct(normalized_layer(F.col("layer")), F.least(point(START), point(END)), F.greatest(point(START), point(END)))
+    src = edges.select(spelt.alias("path"), "edge_id", (finite(*map(F.col, START + END)) & F.coalesce("pid_path_complete", F.lit(False))).alias("whole"), spot.alias("spot")).where("path IS NOT NULL")
+    one = src.groupBy("path").agg(F.count(F.lit(1)).alias("owners"), F.first("edge_id").alias("edge_id"), F.first("whole").alias("whole"), F.first("spot").alias("spot")).where("owners = 1 AND whole")
+    rows = derived.where("kind = 'edge' AND size(source_occurrence_ids) > 0").select(pid_path_text(path_of_occurrence(F.get("source_occurrence_ids", F.lit(0)))).alias("path"), "derived_id", spot.alias("placed"))
+    named = rows.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.first("derived_id").alias("derived_id"), F.first("placed").alias("placed")).where("rows = 1").drop("rows")
+    alone = derived.where("kind = 'edge'").groupBy("derived_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("derived_id")
+    return one.join(named, "path").where("spot = placed").join(alone, "derived_id", "left_semi").select("edge_id")
+
+
+def _detected_components(edges: DataFrame, sound: DataFrame, good: DataFrame, tol: float) -> DataFrame:
+    """Components of all good pairs. Those of sound edges are counted by heaps; ``good`` has those of the others."""
+    clean = edges.join(sound, "edge_id", "left_semi")
+    of = cut(heaps(clean))
+    ends = good.select(F.explode(F.array("id_a", "id_b")).alias("edge_id")).distinct().join(sound, "edge_id", "left_anti")
+    place = cut(heap_of(clean, of).unionByName(ends.select("edge_id", F.col("edge_id").alias("rep"))))
+    side = lambda key, name: place.select(F.col("edge_id").alias(key), F.col("rep").alias(name))
+    few = good.join(side("id_a", "x"), "id_a").join(side("id_b", "y"), "id_b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("pairs"))
+    nodes = of.select(F.col("edge_id").alias("rep"), "weight").unionByName(ends.select(F.col("edge_id").alias("rep"), F.lit(1).cast("bigint").alias("weight")))
+    comp = weighted_components(nodes, heap_links(of, tol).unionByName(few))
+    return place.join(comp, "rep").select(F.col("edge_id").alias("node"), "component", "members", "pairs", "required", "repairable")
+
+
 def claims_of(issues: DataFrame) -> DataFrame:
     """``id_a, id_b, issue_id`` of the duplicate issues of a registry."""
     return issues.where("issue_type = 'duplicate_edge_candidate'").select(F.get("edge_ids", F.lit(0)).alias("id_a"), F.get("edge_ids", F.lit(1)).alias("id_b"), "issue_id")
@@ -227,15 +258,17 @@ def audit_rows(plan: Plan, status: str = "applied") -> DataFrame:
     return done.unionByName(left)
 
 
+def removed_with(actions: DataFrame) -> DataFrame:
+    return actions.select("action_id", F.explode("affected_derived_ids").alias("derived_id"))
+
+
 def removed_ids(actions: DataFrame) -> DataFrame:
     return actions.select(F.explode("affected_derived_ids").alias("derived_id"))
 
 
 def post_inventory(derived: DataFrame, actions: DataFrame) -> DataFrame:
     """Derived rows after the actions: the removed ones gone, survivors with the provenance of all they stand for."""
-    unions = actions.select(F.col("survivor").alias("derived_id"), F.col("source_occurrence_ids").alias("__union"))
-    kept = derived.join(removed_ids(actions), "derived_id", "left_anti").join(unions, "derived_id", "left")
-    return kept.withColumn("source_occurrence_ids", F.coalesce("__union", "source_occurrence_ids")).drop("__union").select(*derived.columns)
+    return merged(derived, [delta(derived, actions)])
 
 
 def invariants(derived: DataFrame, post: DataFrame, actions: DataFrame, tol: float) -> DataFrame:
@@ -258,7 +291,7 @@ def invariants(derived: DataFrame, post: DataFrame, actions: DataFrame, tol: flo
         "F_provenance_is_exact": count(provenance.where("derived_id IS NOT NULL AND survivor IS NOT NULL").where(F.array_sort("source_occurrence_ids") != F.col("expected"))),
         "G_one_survivor_an_action": count(actions.groupBy("survivor").count().where("count > 1").select("survivor")),
         "H_survivor_never_removed": count(lives.join(gone, "derived_id", "left_semi")),
-        "I_no_residual_pairs": count(duplicate_pairs(touched, tol)),
+        "I_no_residual_pairs": direct_pairs(touched, tol, "violations"),
     }
     out = None
     for name, frame in checks.items():
@@ -268,23 +301,23 @@ def invariants(derived: DataFrame, post: DataFrame, actions: DataFrame, tol: flo
 
 
 def summary(derived: DataFrame, post: DataFrame, plan: Plan, tol: float) -> DataFrame:
-    """One row of the audit: actions by status, pairs and edges before and after."""
+    """One row of the audit: actions by status, pairs and edges before and after. An action has failed that was planned and
+    whose removals are not all gone, or whose survivor is."""
+    here = post.select("derived_id")
+    undone = removed_with(plan.actions).join(here, "derived_id", "left_semi").select("action_id").unionByName(plan.actions.join(here.withColumnRenamed("derived_id", "survivor"), "survivor", "left_anti").select("action_id")).distinct()
     as_edges = lambda d: d.select("edge_id", *START, *END, "layer")
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     state = "invalid_or_missing" if tol is None else "captured"
     if tol is None:
         empty = F.lit(None).cast("bigint")
-        return one(plan.actions, "applied").crossJoin(one(plan.skipped, "skipped")).crossJoin(one(derived, "edges_before")).crossJoin(one(post, "edges_after")).select("*", empty.alias("pairs_before"), empty.alias("pairs_after"), F.lit(0).cast("bigint").alias("failed"), F.lit(state).alias("tolerance_status"))
+        return one(plan.actions, "applied").crossJoin(one(plan.skipped, "skipped")).crossJoin(one(derived, "edges_before")).crossJoin(one(post, "edges_after")).crossJoin(one(undone, "failed")).select("*", empty.alias("pairs_before"), empty.alias("pairs_after"), F.lit(state).alias("tolerance_status"))
     return (
         one(plan.actions, "applied").crossJoin(one(plan.skipped, "skipped")).crossJoin(one(derived, "edges_before")).crossJoin(one(post, "edges_after"))
-        .crossJoin(one(duplicate_pairs(as_edges(derived), tol), "pairs_before")).crossJoin(one(duplicate_pairs(as_edges(post), tol), "pairs_after"))
-        .select("*", F.lit(0).cast("bigint").alias("failed"), F.lit(state).alias("tolerance_status"))
+        .crossJoin(direct_pairs(as_edges(derived), tol, "pairs_before")).crossJoin(direct_pairs(as_edges(post), tol, "pairs_after"))
+        .crossJoin(one(undone, "failed")).select("*", F.lit(state).alias("tolerance_status")).withColumn("applied", F.col("applied") - F.col("failed"))
     )
 
 
-LOG = "at bigint, state string, path string, version string, fingerprint string, reason string"
-
-
 @dataclass(frozen=True)
 class Workspace:
     """A disposable version of derived rows: building, ready, discarded or failed."""
@@ -294,49 +327,88 @@ class Workspace:
     version: str | None = None
     fingerprint: str | None = None
     reason: str | None = None
+    base: str | None = None
+    deltas: tuple[str, ...] = ()
+
+
+def handle_faults(planned: DataFrame, now: DataFrame) -> DataFrame:
+    """``derived_id, reason`` of planned rows (``derived_id, handle_id``) whose handle is not what it was: gone, no longer live, or
+    shared with another row of the plan. ``now`` has the rows with their present handles."""
+    rows = planned.select("derived_id", F.col("handle_id").alias("was")).join(now.select("derived_id", F.lit(True).alias("here"), "handle_id", "handle_state"), "derived_id", "left")
+    shared = rows.where("handle_id IS NOT NULL").groupBy("handle_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    reason = (
+        F.when(F.col("here").isNull() | F.col("handle_state").isNull(), "host_handle_missing")
+        .when((F.col("handle_state") != "live") | ~F.col("handle_id").eqNullSafe(F.col("was")), "host_handle_invalidated")
+        .when(F.col("n").isNotNull(), "host_handle_aliasing")
+    )
+    return rows.join(shared, "handle_id", "left").select("derived_id", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 class WorkingSession:
     """Prepare, repair, discard and rebuild derived versions of one source under a folder that all executors share.
 
-    A version is written to a folder of its own and becomes current when a line that names it is written to the log of
-    published versions beside it; a failure before that leaves the former version in force, and :meth:`recover` finds the
-    last published one in a new process. A version that turns out bad is rolled back to the one before.
+    A version becomes current when an entry of the commit log names it; the entry's number can be claimed once, so of two
+    sessions that start from the same head one raises :class:`~draftwell.operators.versions.Conflict` and leaves everything as
+    it was. A repair writes the identifiers that go and the rows that change, beside the base; after ``COMPACT`` repairs the
+    rows are written whole again. Failures are entries, too: :meth:`recover` finds the same state in any process, and
+    :meth:`rollback` never goes back to a version that has failed.
+
+    What becomes of the host's handles is told by :meth:`handles_changed` and is an entry of the same log. A plan is made
+    on a head; before its version is published the handles of all rows that it touches are proven again as of the head
+    that the entry follows.
     """
 
+    COMPACT = 8
+
     def __init__(self, source: SourceSnapshot, root: str) -> None:
         self.source, self.root = source, root.rstrip("/")
+        self.spark = source.edges.sparkSession
+        self.log = CommitLog(self.spark, f"{self.root}/log")
         self.workspace = Workspace("discarded")
+        self.head = 0
         self.audit: dict | None = None
         self.audits: DataFrame | None = None
 
     def _record(self, workspace: Workspace) -> None:
-        spark = self.source.edges.sparkSession
-        row = [(time.time_ns(), workspace.state, workspace.path, workspace.version, workspace.fingerprint, workspace.reason)]
-        spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/published")
+        facts = {k: getattr(workspace, k) for k in ("path", "version", "fingerprint", "reason", "base")}
+        self.head = self.log.append(self.head, workspace.state, deltas=list(workspace.deltas), **facts).number
 
     def history(self) -> DataFrame:
         """Everything that was published, discarded or failed, in order."""
-        return self.source.edges.sparkSession.read.schema(LOG).parquet(f"{self.root}/published").orderBy("at")
+        return self.log.history()
 
     def recover(self) -> Workspace:
-        """The version that was last published or discarded, as any process finds it."""
-        row = self.history().orderBy(F.desc("at")).first()
-        self.workspace = Workspace(row["state"], row["path"], row["version"], row["fingerprint"], row["reason"]) if row else Workspace("discarded")
+        """The state that the log tells, as any process finds it."""
+        self.workspace, self.head = Workspace("discarded"), 0
+        for e in self.log.entries():
+            self.head = e.number
+            if e.state != HANDLES:
+                self.workspace = _workspace(e)
         return self.workspace
 
-    def _publish(self, rows: DataFrame) -> Workspace:
+    def _publish(self, rows: DataFrame, changes: tuple[DataFrame, DataFrame] | None = None, proof: DataFrame | None = None) -> Workspace:
         """Writes a version, reads it back, and only then makes it current; on failure the former one stays so."""
         former, version = self.workspace, uuid.uuid4().hex[:12]
         path = f"{self.root}/{version}"
+        whole = changes is None or len(former.deltas) + 1 > self.COMPACT
         self.workspace = Workspace("building", path, version)
         try:
-            rows.write.parquet(path)
-            mark = workspace_fingerprint(rows.sparkSession.read.parquet(path), self.source.config.digest()).first()
+            if whole:
+                rows.write.parquet(path)
+                made = Workspace("ready", path, version, base=path)
+            else:
+                for name, frame in zip(("gone", "rows"), changes, strict=True):
+                    frame.coalesce(1 if name == "gone" else 8).write.parquet(f"{path}/{name}")
+                made = Workspace("ready", path, version, base=former.base, deltas=(*former.deltas, path))
+            mark = workspace_fingerprint(read(self.spark, made.base, list(made.deltas)), self.source.config.digest()).first()
             if not mark.entity_count:
                 self.workspace = Workspace("failed", path, version, reason="no_edges_to_derive")
+                self._record(self.workspace)
                 return self.workspace
-            done = Workspace("ready", path, version, mark.fingerprint)
+            done = replace(made, fingerprint=mark.fingerprint)
+            if proof is not None and (fault := self._disproved(proof)):
+                self.workspace = former
+                return replace(done, state="failed", reason=fault)
             self._record(done)
         except Exception:
             self.workspace = former
@@ -344,10 +416,41 @@ class WorkingSession:
         self.workspace = done
         return done
 
-    def rows(self) -> DataFrame:
+    def _disproved(self, proof: DataFrame) -> str | None:
+        """Moves to the newest head if only handles have changed since ours, and proves the handles there."""
+        newer = [e for e in self.log.entries() if e.number > self.head]
+        if any(e.state != HANDLES for e in newer):
+            raise Conflict("another session has published since this plan was made")
+        fault = handle_faults(proof, self._with_handles(proof)).agg(F.min("reason").alias("r")).first()["r"]
+        self.head = max([self.head, *(e.number for e in newer)])
+        return fault
+
+    def handles_changed(self, changes: DataFrame) -> int:
+        """Records ``handle_id, handle_state`` as the host tells them now; a null state is a missing handle."""
+        path = f"{self.root}/handles-{uuid.uuid4().hex[:12]}"
+        changes.select("handle_id", "handle_state").write.parquet(path)
+        self.head = self.log.append(self.log.head(), HANDLES, path=path).number
+        return self.head
+
+    def _with_handles(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with their handles' present states, from the changes on record."""
+        told = [(e.number, e.path) for e in self.log.entries() if e.state == HANDLES]
+        if not told:
+            return rows
+        parts = [self.spark.read.parquet(path).withColumn("__at", F.lit(number)) for number, path in told]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        last = every.groupBy("handle_id").agg(F.max(F.struct("__at", "handle_state")).alias("__now"))
+        return rows.join(last, "handle_id", "left").withColumn("handle_state", F.when(F.col("__now").isNotNull(), F.col("__now.handle_state")).otherwise(F.col("handle_state"))).select(*rows.columns)
+
+    def _stored(self) -> DataFrame:
         if self.workspace.state != "ready":
             raise RuntimeError(f"the workspace is {self.workspace.state}")
-        return self.source.edges.sparkSession.read.parquet(self.workspace.path)
+        return read(self.spark, self.workspace.base, list(self.workspace.deltas))
+
+    def rows(self) -> DataFrame:
+        return self._with_handles(self._stored())
 
     def prepare(self) -> Workspace:
         if self.workspace.state == "ready":
@@ -355,22 +458,27 @@ class WorkingSession:
         return self._publish(derive(self.source.edges))
 
     def verify(self) -> Workspace:
-        """Fails the workspace if what is stored is no longer what was published."""
-        mark = workspace_fingerprint(self.rows(), self.source.config.digest()).first().fingerprint
+        """Fails the workspace, on record, if what is stored is no longer what was published."""
+        mark = workspace_fingerprint(self._stored(), self.source.config.digest()).first().fingerprint
         if mark != self.workspace.fingerprint:
-            self.workspace = replace(self.workspace, state="failed", reason="host_state_changed")
+            self._fail("host_state_changed")
         return self.workspace
 
+    def _fail(self, reason: str) -> None:
+        self.workspace = replace(self.workspace, state="failed", reason=reason)
+        self._record(self.workspace)
+
     def rollback(self, reason: str) -> Workspace:
-        """Marks the current version as failed and goes back to the ready one published before it, if there is one."""
-        bad = replace(self.workspace, state="failed", reason=reason)
-        self._record(bad)
-        ready_ = self.history().where((F.col("state") == "ready") & ~F.col("version").eqNullSafe(F.lit(bad.version))).orderBy(F.desc("at")).first()
-        if ready_ is None:
-            self.workspace = bad
-        else:
-            self.workspace = Workspace("ready", ready_["path"], ready_["version"], ready_["fingerprint"])
-            self._record(self.workspace)
+        """Marks the current version as failed and goes back to the last ready one that never failed. If there is none, the
+        workspace has failed and holds no version."""
+        if self.workspace.version is not None and self.workspace.state != "failed":
+            self._fail(reason)
+        entries = self.log.entries()
+        failed = {e.version for e in entries if e.state == FAILED}
+        discarded = max((e.number for e in entries if e.state == DISCARDED), default=0)
+        good = [e for e in entries if e.state == READY and e.version not in failed and e.number > discarded]
+        self.workspace = _workspace(good[-1]) if good else Workspace("failed", reason=reason)
+        self._record(self.workspace)
         return self.workspace
 
     def repair(self) -> dict:
@@ -393,14 +501,21 @@ class WorkingSession:
             self.audit = {"applied": 0, "failed": 0, "status": "failed", "errors": verdict["errors"], "skipped": plan.skipped.count()}
             return self.audit
         plan = replace(plan, actions=actions)
-        post = cut(post_inventory(derived, actions))
+        changes = tuple(cut(x) for x in delta(self._stored(), actions))
+        post = merged(derived, [changes])
         broken = [r.invariant for r in invariants(derived, post, actions, tol).where("violations > 0").collect()]
         if broken:
-            self.workspace = replace(self.workspace, state="failed", reason=broken[0])
+            self._fail(broken[0])
             self.audit = {"applied": 0, "failed": actions.count(), "status": "failed", "errors": broken}
             return self.audit
         row = summary(derived, post, plan, tol).first()
-        self._publish(post)
+        touched = actions.select(F.explode(F.concat("affected_derived_ids", F.array("survivor"))).alias("derived_id"))
+        proof = cut(derived.join(touched, "derived_id", "left_semi").select("derived_id", "handle_id", "handle_state"))
+        done = self._publish(merged(self._stored(), [changes]), changes, proof)
+        if done.state == "failed":
+            self.audit = {"applied": 0, "failed": actions.count(), "status": "failed", "errors": [done.reason]}
+            self.audits = audit_rows(plan, "failed")
+            return self.audit
         self.audit = {**row.asDict(), "status": "applied"}
         self.audits = audit_rows(plan)
         return self.audit
@@ -417,6 +532,10 @@ class WorkingSession:
         return self.prepare()
 
 
+def _workspace(e: Entry) -> Workspace:
+    return Workspace(e.state, e.path, e.version, e.fingerprint, e.reason, e.base, tuple(e.deltas))
+
+
 def ready(actions: DataFrame, validation_ok: bool) -> Column | bool:
     """Whether a plan is done: valid, and every action applied."""
     return bool(validation_ok and actions.agg(F.bool_and(F.col("status") == "applied").alias("all")).first()["all"])

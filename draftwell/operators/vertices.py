@@ -2,25 +2,29 @@
 
 The rule is greedy and depends on the order: points come edge by edge, start before end; a point joins the first leader
 found within the tolerance, scanning grid cells in order, or becomes a leader. Here equal coordinates are collapsed first
-and close pairs of distinct points are found by a grid join. A point without a close neighbour is its own vertex, and in a
-group where every two points are close all join the earliest; both need no iteration. Only groups that are connected
-but not complete depend on the scan, and only they are replayed, one group at a time (leaders of different groups never
-meet, so the replay is exact).
+and close pairs of distinct points are found by a grid join. The leaders are the ordered maximal independent set of
+these pairs, found in parallel rounds: a point without an undecided earlier neighbour leads, its neighbours follow. A
+round settles a share of any group whose order is not sorted along its shape; where it settles few, or few points are left,
+the earliest ``AT_ONCE`` undecided points are settled by the sequential rule in one task, so no group is ever gathered. A
+point then joins, of the leaders near it that are earlier, the first in scan order; only a bounded number of leaders
+can lie within the tolerance of one point.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import finite, within
+from ..functions.scalars import cell, finite, within
 from ..session import cut
-from .components import connected_components
 from .grid import END, START, grid_join
 from .ordering import positions
 
+AT_ONCE = 50_000
+
 
 def endpoints(edges: DataFrame) -> DataFrame:
     """``edge_id, seq, x, y, z``: two rows an edge, ``seq`` in the order in which points are taken."""
@@ -52,7 +56,40 @@ def replay(rows: list[tuple[int, float, float, float]], tol: float, cell_size: f
     return out
 
 
-def merged_points(edges: DataFrame, tol: float, strict: bool = True) -> DataFrame:
+def leaders(near: DataFrame, spots: DataFrame, tol: float, cell_size: float, reach: int, strict: bool, at_once: int = AT_ONCE) -> DataFrame:
+    """``node``: the points that lead, of those in the pairs ``p < q``; ``spots`` has ``node, x, y, z`` of all points."""
+
+    def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values("node")
+        order = replay(list(pdf[["node", "x", "y", "z"]].itertuples(index=False, name=None)), tol, cell_size, reach, strict)
+        yield pdf[pdf["node"] == order][["node"]]
+
+    links = near
+    open_ = cut(near.select(F.explode(F.array("p", "q")).alias("node")).distinct())
+    found, n = [], open_.count()
+    parallel = True
+    while n:
+        if n > at_once and parallel:
+            lead = open_.join(links.select(F.col("q").alias("node")), "node", "left_anti")
+        else:
+            lead = open_.orderBy("node").limit(at_once).join(spots, "node").coalesce(1).mapInPandas(settled, "node bigint")
+        lead = cut(lead)
+        found.append(lead)
+        gone = lambda a, b: links.join(lead.select(F.col("node").alias(a)), a, "left_semi").select(F.col(b).alias("node"))  # noqa: B023, E731
+        open_ = cut(open_.join(gone("p", "q").unionByName(gone("q", "p")).unionByName(lead), "node", "left_anti"))
+        left = open_.count()
+        if left:
+            keep = lambda frame, c: frame.join(open_.select(F.col("node").alias(c)), c, "left_semi")  # noqa: B023, E731
+            links = cut(keep(keep(links, "p"), "q"))
+        parallel = n - left > max(at_once, n // 4) or not parallel  # after a sequential round the order may be another
+        n = left
+    out = found[0] if found else open_
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def merged_points(edges: DataFrame, tol: float, strict: bool = True, at_once: int = AT_ONCE) -> DataFrame:
     """``edge_id, seq, x, y, z, leader``: the vertex of each end point, named by the ``seq`` of the point that leads it.
 
     ``strict`` is the rule of the vertex index (closer than ``tol``, cells of at least one inch, two cells' reach);
@@ -68,21 +105,16 @@ def merged_points(edges: DataFrame, tol: float, strict: bool = True) -> DataFram
     near = cut(near)
     if not near.limit(1).count():
         return points.join(distinct, ["x", "y", "z"]).select("edge_id", "seq", "x", "y", "z", F.col("first").alias("leader"))
-    comp = connected_components(near, "p", "q")
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    links = near.join(comp.withColumnRenamed("node", "p"), "p").groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    open_ = sizes.join(links, "component").where("m < n * (n - 1) / 2").select("component", F.lit(True).alias("loose"))
-    named = comp.join(open_, "component", "left").select(F.col("node").alias("first"), "component", F.coalesce("loose", F.lit(False)).alias("loose"))
-    of = points.join(distinct.join(named, "first", "left"), ["x", "y", "z"])
-    settled = of.where(~F.coalesce("loose", F.lit(False))).select("edge_id", "seq", "x", "y", "z", F.coalesce("component", "first").alias("leader"))
-
-    def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        leaders = replay(list(pdf[["seq", "x", "y", "z"]].itertuples(index=False, name=None)), tol, cell_size, reach, strict)
-        return pdf[["edge_id", "seq", "x", "y", "z"]].assign(leader=leaders)
-
-    loose = of.where("loose").select("component", "edge_id", "seq", "x", "y", "z").groupBy("component").applyInPandas(again, "edge_id bigint, seq bigint, x double, y double, z double, leader bigint")
-    return settled.unionByName(loose)
+    spots = distinct.select(F.col("first").alias("node"), "x", "y", "z")
+    lead = cut(leaders(near, spots, tol, cell_size, reach, strict, at_once))
+    # the leaders near each follower, in scan order: by cell, then by age
+    scan = F.struct(*[cell(F.col(c), cell_size).alias(f"c{c}") for c in "xyz"], F.col("node").alias("leader"))
+    heads = lead.join(spots, "node").select("node", scan.alias("head"))
+    pair = lambda a, b: near.select(F.col(a).alias("node"), F.col(b).alias("first"))
+    offers = pair("p", "q").unionByName(pair("q", "p")).join(heads, "node").groupBy("first").agg(F.array_sort(F.collect_list("head")).alias("heads"))
+    of = points.join(distinct.join(offers, "first", "left"), ["x", "y", "z"])
+    own = F.coalesce(F.get(F.filter("heads", lambda h: h["leader"] < F.col("seq")), F.lit(0))["leader"], F.col("first"))
+    return of.select("edge_id", "seq", "x", "y", "z", own.alias("leader"))
 
 
 def vertices(edges: DataFrame, tol: float, strict: bool = True) -> DataFrame:

@@ -411,9 +411,7 @@ _REPAIR = with_(sql.EDGES, sql.PAIRS, sql.COMPONENTS, recursive=True)
 
 @query(_REPAIR + "SELECT node, component, members, pairs, required, repairable FROM nodes")
 def duplicate_components(spark, d):
-    edges = _edges(spark, d)
-    good = repair.pair_reasons(grid.duplicate_pairs(edges, T.duplicate).select("id_a", "id_b"), edges, T.duplicate).where("reason IS NULL")
-    return topology.components(good.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    return topology.edge_components(cut(_edges(spark, d).where("pid_path_complete")), T.duplicate)
 
 
 @query(
@@ -482,7 +480,8 @@ def repair_skipped(spark, d):
 )
 def post_inventory(spark, d):
     _, derived, plan = _plan(spark, d)
-    return repair.post_inventory(derived, cut(plan.actions)).select("derived_id", F.array_join("source_occurrence_ids", ",").alias("provenance"))
+    gone, rows = repair.delta(derived, cut(plan.actions))  # read as a stored version is: base, deletes, replacements
+    return repair.merged(derived, [(cut(gone), cut(rows))]).select("derived_id", F.array_join("source_occurrence_ids", ",").alias("provenance"))
 
 
 @query("SELECT unnest(['A_inventory_is_partitioned', 'B_removed_are_gone', 'C_survivors_remain', 'D_provenance_not_empty', 'E_provenance_keys_match', 'F_provenance_is_exact', 'G_one_survivor_an_action', 'H_survivor_never_removed', 'I_no_residual_pairs']) AS invariant, CAST(0 AS BIGINT) AS violations")
@@ -509,8 +508,10 @@ def repair_summary(spark, d):
     with_(*_ALL, sql.ISSUES, sql.COMPONENTS, recursive=True)
     + """SELECT m.survivor AS survivor_derived_id, 'applied' AS status, CAST(count(*) - 1 AS BIGINT) AS removed_count, CAST(count(DISTINCT m.occ) AS BIGINT) AS source_occurrence_count, NULL AS reason,
     (SELECT string_agg(i.issue_id, ',' ORDER BY i.issue_id) FROM issues i JOIN nodes n ON n.node = i.edge_ids[1] WHERE i.issue_type = 'duplicate_edge_candidate' AND i.ca AND i.cb AND n.component = m.component) AS issue_ids,
-    'Exact duplicate edge (forward exact); ' || count(*) || ' source occurrences converge on one canonical derived segment; survivor keeps the lex-smallest derived_id; ' || (count(*) - 1) || ' derived record(s) to remove; provenance union size = ' || count(DISTINCT m.occ) || '.' AS explanation
-    FROM members m GROUP BY m.survivor, m.component
+    printf('""" + repair.EXPLANATION + """', any_value(k.kind) || ' exact', count(*), count(*) - 1, count(DISTINCT m.occ)) AS explanation
+    FROM members m JOIN (SELECT s.derived_id AS survivor, arg_min(p.kind, o.derived_id) AS kind FROM derived s
+      JOIN (SELECT id_a AS x, id_b AS y, kind FROM good UNION ALL SELECT id_b, id_a, kind FROM good) p ON p.x = s.edge_id JOIN derived o ON o.edge_id = p.y GROUP BY s.derived_id) k USING (survivor)
+    GROUP BY m.survivor, m.component
     UNION ALL SELECT NULL, 'skipped', 0, 0, 'incomplete_nested_provenance', issue_id, '' FROM issues WHERE issue_type = 'duplicate_edge_candidate' AND NOT (ca AND cb)
     UNION ALL SELECT NULL, 'skipped', 0, 0, 'non_transitive_duplicate_component', (SELECT string_agg(i.issue_id, ',' ORDER BY i.issue_id) FROM issues i JOIN nodes x ON x.node = i.edge_ids[1] WHERE i.issue_type = 'duplicate_edge_candidate' AND i.ca AND i.cb AND x.component = n.component),
       'members=' || any_value(n.members) || ' direct=' || any_value(n.pairs) || ' required=' || any_value(n.required) || ' missing=' || (any_value(n.required) - any_value(n.pairs)) FROM nodes n WHERE NOT repairable GROUP BY component"""
@@ -519,8 +520,7 @@ def repair_audit(spark, d):
     edges = cut(_edges(spark, d))
     plan = repair.propose(edges, repair.derive(edges), T.duplicate, "snap", repair.claims_of(_analysis(spark, d).issues))
     rows = repair.audit_rows(plan)
-    shown = F.regexp_replace("explanation", "reversed exact", "forward exact")
-    return rows.select("survivor_derived_id", "status", "removed_count", "source_occurrence_count", "reason", F.array_join("issue_ids", ",").alias("issue_ids"), shown.alias("explanation"))
+    return rows.select("survivor_derived_id", "status", "removed_count", "source_occurrence_count", "reason", F.array_join("issue_ids", ",").alias("issue_ids"), "explanation")
 
 
 @query(
