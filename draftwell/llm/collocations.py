@@ -3,8 +3,9 @@
 A first pass counts every run of one to three words in a sketch, an array of saturating counters. A counter is never
 below the count of a run that it holds, so runs whose counter stays under ``OFTEN`` are no candidates. The sums go out
 as one bit a counter (``2 ** MOST_BITS`` bits at most, 8 MB). A second pass takes the texts in slices: the slice's own
-candidates by the sketch are compiled into Aho-Corasick automata, guarded by a space on either side, and the slice is
-scanned for all their overlapping matches. The counts of all slices are summed, and only then compared with ``OFTEN``.
+candidates by the sketch (a run's bound is the least of its own counter and those of the runs in it) are compiled into
+Aho-Corasick automata, guarded by a space on either side, and the slice is scanned for all their overlapping matches. The
+counts of all slices are summed, and only then compared with ``OFTEN``.
 
 Nothing is dropped by the sketch, however full: beyond some 10^8 words it lets more rare runs through, which then
 travel with their counts, and the exact sums sort them out. Texts never travel. What a task holds is one slice of
@@ -156,15 +157,20 @@ def _counted(bits: int, hot: Broadcast, most: int, batches: Iterator[pa.RecordBa
         seed, names = _lang_hash(lang), own.names
         sizes, phrases, counts = [0], [""], [int(own.word.sum())]
         at = own.runs(1)
-        at = at[passes(own.buckets(at, 1, seed, bits))]
-        code, n = np.unique(own.codes[at], return_counts=True)
+        may_hold = np.zeros(len(own.codes) + 1, bool)
+        may_hold[at] = passes(own.buckets(at, 1, seed, bits))
+        code, n = np.unique(own.codes[np.flatnonzero(may_hold[:-1])], return_counts=True)
         sizes += [1] * len(code)
         phrases += [names[c] for c in code]
         counts += n.tolist()
         automaton, found = ahocorasick.Automaton(), 0
         for k in range(2, WORDS + 1):
             at = own.runs(k)
-            at = own.distinct(at[passes(own.buckets(at, k, seed, bits))], k)
+            at = at[may_hold[at] & may_hold[at + 1]]  # no run is more frequent than the runs in it
+            at = at[passes(own.buckets(at, k, seed, bits))]
+            may_hold[:] = False
+            may_hold[at] = True
+            at = own.distinct(at, k)
             sizes += [k] * len(at)
             for parts in zip(*(own.codes[at + j].tolist() for j in range(k)), strict=True):
                 phrase = " ".join([names[c] for c in parts])
