@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import all_of, cell, distance, finite, normalized_layer, within
+from ..functions.scalars import distance, normalized_layer
 
 WIDE = 64.0
 START, END = ["sx", "sy", "sz"], ["ex", "ey", "ez"]
@@ -23,43 +23,43 @@ def grid_join(probe: DataFrame, build: DataFrame, probe_point: list[str], build_
     long, a chained hash of keys and cells; keys are compared on what meets, nearness is the caller's to test.
     """
     size = size or tol * WIDE
-    low, high = [[f"__{n}{i}" for i in range(len(probe_point))] for n in ("l", "h")]
-    left = probe.where(finite(*map(F.col, probe_point)))
-    left = left.select("*", *[cell(F.col(c) - tol, size).alias(n) for c, n in zip(probe_point, low, strict=True)], *[cell(F.col(c) + tol, size).alias(n) for c, n in zip(probe_point, high, strict=True)])
-    seed = F.xxhash64(F.lit(0), *keys)
-    one, many = seed, F.array(seed)
-    for a, b in zip(low, high, strict=True):
-        one, many = F.xxhash64(one, F.col(a)), _spread(many, F.col(a), F.col(b))
-    alone = all_of(F.col(a) == F.col(b) for a, b in zip(low, high, strict=True))
-    left = left.select(*probe.columns, F.explode(F.when(alone, F.array(one)).otherwise(many)).alias("__h"))
-    right = build.where(finite(*map(F.col, build_point))).select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in build.columns])
-    filed = F.xxhash64(F.lit(0), *[f"__r_{k}" for k in keys])
+    n = range(len(probe_point))
+    at = lambda x, shift: f"CAST(floor(({x} {shift}) / {_number(size)}) AS BIGINT)"
+    low = [f"{at(c, f'- {_number(tol)}')} AS __l{i}" for i, c in enumerate(probe_point)]
+    high = [f"{at(c, f'+ {_number(tol)}')} AS __h{i}" for i, c in enumerate(probe_point)]
+    seed = one = f"xxhash64({', '.join(['0', *keys])})"
+    many = f"array({seed})"
+    for i in n:
+        one, many = f"xxhash64({one}, __l{i})", f"flatten(transform({many}, h{i} -> transform(sequence(__l{i}, __h{i}), c{i} -> xxhash64(h{i}, c{i}))))"
+    alone = " AND ".join(f"__l{i} = __h{i}" for i in n)
+    left = probe.where(finite_sql(probe_point)).selectExpr("*", *low, *high).selectExpr(*probe.columns, f"explode(CASE WHEN {alone} THEN array({one}) ELSE {many} END) AS __h")
+    right = build.where(finite_sql(build_point)).selectExpr(*[f"{c} AS __r_{c}" if c in keys else c for c in build.columns])
+    filed = f"xxhash64({', '.join(['0', *[f'__r_{k}' for k in keys]])})"
     for c in build_point:
-        filed = F.xxhash64(filed, cell(F.col(c), size))
-    met = left.join(right.withColumn("__h", filed), "__h")
-    for k in keys:
-        met = met.where(F.col(k) == F.col(f"__r_{k}"))
+        filed = f"xxhash64({filed}, {at(c, '+ 0D')})"
+    met = left.join(right.selectExpr("*", f"{filed} AS __h"), "__h")
+    if keys:
+        met = met.where(" AND ".join(f"{k} = __r_{k}" for k in keys))
     return met.drop("__h", *[f"__r_{k}" for k in keys])
 
 
-def _spread(hashes: Column, low: Column, high: Column) -> Column:
-    return F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(low, high), lambda c: F.xxhash64(h, c))))
+def _number(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def finite_sql(names: list[str]) -> str:
+    return " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('Infinity')" for c in names)
 
 
 def _sides(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    good = edges.where(finite(*map(F.col, START + END))).select("edge_id", *START, *END, normalized_layer(F.col("layer")).alias("norm_layer"))
-    a = good.select(F.col("edge_id").alias("id_a"), "norm_layer", *[F.col(c).alias(f"a_{c}") for c in START + END])
-    b = good.select(F.col("edge_id").alias("id_b"), "norm_layer", *[F.col(c).alias(f"b_{c}") for c in START + END])
-    return a, b
+    good = edges.where(finite_sql(START + END)).select("edge_id", *START, *END, normalized_layer(F.col("layer")).alias("norm_layer"))
+    return tuple(good.selectExpr(f"edge_id AS id_{p}", "norm_layer", *[f"{c} AS {p}_{c}" for c in START + END]) for p in "ab")
 
 
 def match_kind(tol: float) -> Column:
     """``forward`` before ``reversed``, null if the ends do not meet."""
-    a_s, a_e = [F.col(f"a_{c}") for c in START], [F.col(f"a_{c}") for c in END]
-    b_s, b_e = [F.col(f"b_{c}") for c in START], [F.col(f"b_{c}") for c in END]
-    forward = within(a_s, b_s, tol) & within(a_e, b_e, tol)
-    backward = within(a_s, b_e, tol) & within(a_e, b_s, tol)
-    return F.when(forward, "forward").when(backward, "reversed")
+    near = lambda p, q: " AND ".join(f"abs(a_{x} - b_{y}) <= {_number(tol)}" for x, y in zip(p, q, strict=True))
+    return F.expr(f"CASE WHEN {near(START, START)} AND {near(END, END)} THEN 'forward' WHEN {near(START, END)} AND {near(END, START)} THEN 'reversed' END")
 
 
 def duplicate_pairs(edges: DataFrame, tol: float, of: DataFrame | None = None) -> DataFrame:
@@ -76,13 +76,11 @@ def duplicate_pairs(edges: DataFrame, tol: float, of: DataFrame | None = None) -
         a, order = _sides(of)[0], "id_a <> id_b"
     if tol == 0:
         return _exact_pairs(a, b, order)
-    both = [F.struct(F.lit(k).alias("k"), *[F.col(f"b_{c}").alias(f"p{i}") for i, c in enumerate(p)]) for k, p in ((0, START + END), (1, END + START))]
-    turned = b.select("id_b", "norm_layer", F.explode(F.array(*both)).alias("t")).select("id_b", "norm_layer", F.col("t.k").alias("__k"), *[F.col(f"t.p{i}").alias(f"__p{i}") for i in range(6)])
+    both = ", ".join(f"struct({k} AS k, {', '.join(f'b_{c} AS p{i}' for i, c in enumerate(p))})" for k, p in ((0, START + END), (1, END + START)))
+    turned = b.selectExpr("id_b", "norm_layer", f"explode(array({both})) AS t").selectExpr("id_b", "norm_layer", "t.k AS __k", *[f"t.p{i} AS __p{i}" for i in range(6)])
     met = grid_join(a, turned, [f"a_{c}" for c in START + END], [f"__p{i}" for i in range(6)], tol, ["norm_layer"]).where(order)
-    back = lambda i: F.when(F.col("__k") == 0, F.col(f"__p{i}")).otherwise(F.col(f"__p{(i + 3) % 6}"))
-    met = met.select("*", *[back(i).alias(f"b_{c}") for i, c in enumerate(START + END)]).withColumn("kind", match_kind(tol))
-    once = ((F.col("kind") == "forward") & (F.col("__k") == 0)) | ((F.col("kind") == "reversed") & (F.col("__k") == 1))
-    return met.where(once).drop("__k", *[f"__p{i}" for i in range(6)])
+    met = met.selectExpr("*", *[f"CASE WHEN __k = 0 THEN __p{i} ELSE __p{(i + 3) % 6} END AS b_{c}" for i, c in enumerate(START + END)]).withColumn("kind", match_kind(tol))
+    return met.where("(kind = 'forward' AND __k = 0) OR (kind = 'reversed' AND __k = 1)").drop("__k", *[f"__p{i}" for i in range(6)])
 
 
 def _exact_pairs(a: DataFrame, b: DataFrame, order: str) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import finite, normalized_layer
+from ..functions.scalars import normalized_layer
 from ..session import cut
 from .components import connected_components
-from .grid import END, START, duplicate_pairs
+from .grid import END, START, finite_sql, duplicate_pairs
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -52,9 +52,9 @@ def metrics(comp: DataFrame) -> DataFrame:
 
 def _placed(edges: DataFrame) -> DataFrame:
     """``edge_id, layer, first, second``: finite edges with their two ends in a fixed order."""
-    point = lambda cols: F.struct(*[(F.col(c) + F.lit(0.0)).alias(x) for c, x in zip(cols, "xyz", strict=True)])
-    good = edges.where(finite(*map(F.col, START + END)))
-    return good.select("edge_id", normalized_layer(F.col("layer")).alias("layer"), F.least(point(START), point(END)).alias("first"), F.greatest(point(START), point(END)).alias("second"))
+    point = lambda cols: f"struct({', '.join(f'{c} + 0D AS {x}' for c, x in zip(cols, 'xyz', strict=True))})"
+    good = edges.where(finite_sql(START + END)).withColumn("layer", normalized_layer(F.col("layer")))
+    return good.selectExpr("edge_id", "layer", f"least({point(START)}, {point(END)}) AS first", f"greatest({point(START)}, {point(END)}) AS second")
 
 
 def heaps(edges: DataFrame) -> DataFrame:
