@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,14 @@ _FURNITURE = {"nav", "aside", "footer", "header", "form", "menu", "button", "sel
 _HINTS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter "
     "notice notices outbrain pager pagination paywall popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
-    "taboola tags toolbar topbar widget widgets alert contentinfo complementary search form".split()
+    "adsbygoogle taboola tags toolbar topbar widget widgets alert contentinfo complementary search form".split()
+)
+
+# Words that say where a box is or how it is built. A name made of hints and these (``left-sidebar``, ``ad-slot``) says as much
+# as the hint alone; with other words in it (``has-sidebar``, ``notice-of-motion``) it may be about anything.
+_PLAIN = frozenset(
+    "area bar bars block blocks body bottom box boxes btn btns button buttons center cell col column container content feed fixed global group grid holder icons inner item items large left link links list "
+    "main mobile outer page panel placeholder posts primary region right row rail secondary section site slot small stack sticky strip thread top unit wrap wrapper zone".split()
 )
 
 FEATURES = (
@@ -49,40 +57,53 @@ FEATURES = (
 
 
 class Box:
-    """An open element: its furniture tag or name, and the words, linked words and blocks inside."""
+    """An open element: its furniture tag or name, and the words, linked words and blocks inside.
 
-    __slots__ = ("blocks", "linked", "name", "tagged", "words")
+    ``clearest`` is, of the box and those around it, the one that says furniture most clearly, the smallest of these.
+    """
 
-    def __init__(self, tagged: bool, name: int) -> None:
-        self.tagged, self.name = tagged, name
+    __slots__ = ("blocks", "clearest", "linked", "name", "tagged", "up", "words")
+
+    def __init__(self, tagged: bool, name: int, up: Box | None) -> None:
+        self.tagged, self.name, self.up = tagged, name, up
         self.words = self.linked = self.blocks = 0
+        self.clearest = self if up is None or self.claim >= up.clearest.claim else up.clearest
+
+    @property
+    def claim(self) -> int:
+        return 2 * self.tagged + self.name
+
+    def add(self, words: int, linked: int, blocks: int) -> None:
+        self.words += words
+        self.linked += linked
+        self.blocks += blocks
 
 
 class Block:
-    __slots__ = ("article", "boxes", "heading", "linked", "text", "words")
+    __slots__ = ("article", "box", "heading", "linked", "text", "words")
 
-    def __init__(self, text: str, words: int, linked: int, article: bool, boxes: tuple[Box, ...], heading: bool) -> None:
+    def __init__(self, text: str, words: int, linked: int, article: bool, box: Box | None, heading: bool) -> None:
         self.text, self.words, self.linked = text, words, linked
-        self.article, self.boxes, self.heading = article, boxes, heading
-        for box in boxes:
-            box.words += words
-            box.linked += linked
-            box.blocks += 1
+        self.article, self.box, self.heading = article, box, heading
+        if box:
+            box.add(words, linked, 1)
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order; markup that is never shown as text is gone, references are decoded."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[Box, ...], bool, bool]] = []  # tag, furniture around it, in an article, hidden
+    stack: list[tuple[str, Box | None, bool, bool]] = []  # tag, furniture around it, in an article, hidden
+    boxes: list[Box] = []
     run: list[str] = []
     linked = 0
-    links = 0
+    links = within = 0  # whether a link is open, and how many elements were when it began
     inline: dict[str, int] = {}
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked
         words = "".join(run).split()
-        top = stack[-1] if stack else ("", (), False, False)
+        top = stack[-1] if stack else ("", None, False, False)
         if words and not top[3]:
             head = any(t[0] in _HEADS for t in stack[-2:])
             found.append(Block(" ".join(words), len(words), min(linked, len(words)), top[2], top[1], head))
@@ -121,7 +142,7 @@ def blocks(page: str) -> list[Block]:
             run.append(" ")
             continue
         if tag == "a":
-            links = 0 if closing else 1
+            links, within = 0 if closing else 1, len(stack)
             continue
         if tag not in _BLOCK and tag not in _FURNITURE:
             # an inline element that calls itself furniture is a block of its own, with those of its name inside it
@@ -130,34 +151,40 @@ def blocks(page: str) -> list[Block]:
             inline[tag] = inline.get(tag, 0) + (-1 if closing else 1)
         elif tag in _BLOCK:
             flush()
-            links = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    flush()
-                    for t in stack[k + 1 :]:
-                        if t[0] in inline:
-                            inline[t[0]] -= 1
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                flush()
+                while stack[-1][0] != tag:
+                    if (left := stack.pop()[0]) in inline:
+                        inline[left] -= 1
+                    opened[left] -= 1
+                stack.pop()
+                opened[tag] -= 1
+                links = links if len(stack) >= within else 0  # a link ends with what it began in
             continue
         if tag in _VOID:
             continue
         if tag in {"p", *_HEADS, "li", "dt", "dd", "option", "tr", "td", "th"}:
             # these end at the next of their kind, closed or not
             while stack and stack[-1][0] in ({"p", *_HEADS} if tag not in {"li", "dt", "dd", "tr", "td", "th", "option"} else {"p", tag}):
-                stack.pop()
-        up = stack[-1] if stack else ("", (), False, False)
+                opened[stack.pop()[0]] -= 1
+            links = links if len(stack) >= within else 0
+        up = stack[-1] if stack else ("", None, False, False)
         name, hidden = _named(attrs)
         main = tag in ("article", "main")
         tagged = tag in _FURNITURE and not (tag == "header" and up[2])
-        around = () if main and up[1] and not name else up[1]  # an article begins anew, whatever was left open before it
+        around = None if main and up[1] and not name else up[1]  # an article begins anew, whatever was left open before it
         if tagged or name:
-            around = (*around, Box(tagged, name))
+            around = Box(tagged, name, around)
+            boxes.append(around)
         if tag not in _BLOCK:
             flush()
         stack.append((tag, around, up[2] or main, up[3] or hidden))
+        opened[tag] += 1
     flush()
+    for box in reversed(boxes):
+        if box.up:
+            box.up.add(box.words, box.linked, box.blocks)
     return found
 
 
@@ -174,9 +201,11 @@ def _named(attrs: str) -> tuple[int, bool]:
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         elif attr != "aria-hidden":
             for word in value.split():
-                if word in _HINTS:
+                parts = [p for p in re.split(r"[-_:.\d]+", word) if p]
+                hints = sum(p in _HINTS for p in parts)
+                if word in _HINTS or hints and all(p in _HINTS or p in _PLAIN for p in parts):
                     level = 2
-                elif any(part in _HINTS for part in re.split(r"[-_:.\d]+", word)):
+                elif hints:
                     level = max(level, 1)
     return level, hidden
 
@@ -189,11 +218,11 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
     rows = []
     for i, b in enumerate(found):
         # of the boxes around it the one that says furniture most clearly, the smallest of these
-        box = max(reversed(b.boxes), key=lambda x: 2 * x.tagged + x.name, default=None)
+        box = b.box.clearest if b.box else None
         before, after = (found[i - 1].words, density[i - 1]) if i else (0, 0.0), (found[i + 1].words, density[i + 1]) if i < last else (0, 0.0)
         # a block in no such box has the page around it
         inside = (box.words / total, box.linked / box.words, box.words / box.blocks) if box else (1.0, 0.0, total / len(found))
-        rows.append((float(b.article), share, float(2 * box.tagged + box.name if box else 0), *inside, density[i], min(before[1], after[1]), max(before[1], after[1]), before[1], after[1], b.words, before[0], after[0], float(b.heading)))
+        rows.append((float(b.article), share, float(box.claim if box else 0), *inside, density[i], min(before[1], after[1]), max(before[1], after[1]), before[1], after[1], b.words, before[0], after[0], float(b.heading)))
     return rows
 
 

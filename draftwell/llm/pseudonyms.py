@@ -8,7 +8,7 @@ check digits are computed anew. The key and the value alone decide the pseudonym
 documents and across ways of punctuating them. With ``backwards`` the rounds run in reverse and give the text back.
 
 Kinds: payment cards (13 to 19 digits in one run, or grouped 4-4-4-4 or 4-6-5; Luhn), IBANs (mod 97), social security numbers (assignable ones), phone
-numbers (country prefix, or the ten-digit form with separators), IPv4 addresses, dates from 1900 to 2099 (year
+numbers (country code, told by the table of codes, with groups of any usual size, or the ten-digit form with separators), IPv4 addresses, dates from 1900 to 2099 (year
 first with hyphens, day first with dots, month first with slashes), e-mail addresses (the local part), and secrets
 given as ``token = ...`` in any case, of 16 characters or more, with further segments after dots. What fails validation, a version number or a card number off by one, stays as it is.
 """
@@ -28,11 +28,13 @@ PATTERNS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?(?:[0-9](?:(?:[ .-][0-9]{2}){4}|(?:[ .-][0-9]{3,4}){2})|[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3})|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]|-[0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "secret": r"(?<=(?i:token|secret|password|api_key|apikey) ?[=:] ?[\"']?)[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]+)*",
 }
 ANY = "|".join(PATTERNS.values())
+# The country codes of one and two digits; all others have three. No code begins another.
+COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 KINDS = list(PATTERNS)
 
 
@@ -179,8 +181,9 @@ def _ssn(m: Column, key: str, back: bool) -> Column:
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
-    # the country prefix stays; a national number is permuted among numbers of its length
-    head = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])|^\+1|^\+[0-9]{2}", 0)
+    # the country code stays, however the digits are grouped, and so does a trunk zero in parentheses; a national number is
+    # permuted among numbers of its length
+    head = F.regexp_extract(m, rf"^\+(?:{COUNTRY})(?:[ .-]?\(0\))?", 0)
     tail = F.substring(m, F.length(head) + 1, F.length(m))
     digits = _digits(F.regexp_replace(tail, "[^0-9]", ""))
     total = F.length(F.regexp_replace(m, "[^0-9]", ""))
@@ -264,7 +267,8 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id, text, found`` for every row: the text with its values replaced, and structs (kind, value, pseudonym).
 
     ``found`` lists the values that passed validation in the order of the text, those that stand for themselves too, ``text`` keeps everything else as it
-    was. Null text stays null and has nothing found; repeated rows are all answered; other columns are not read.
+    was. Null text stays null and has nothing found; repeated rows are all answered; other columns are not read. A very long
+    text is matched whole, in time in proportion to its length. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("hits", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ANY), F.lit(0)))
