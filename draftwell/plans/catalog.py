@@ -41,7 +41,7 @@ def _layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _containers(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.container_facts(_boxes(spark, d))
+    return hierarchy.container_counts(adapter.nodes(spark, d))
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -357,7 +357,7 @@ def world_edges(spark, d):
     (SELECT count(*) FROM customer WHERE c_nationkey <> 7 AND c_custkey % 2 = 1) AS component_count, CAST(3 AS BIGINT) AS deepest_nesting"""
 )
 def container_facts(spark, d):
-    return hierarchy.container_facts(hierarchy.flatten(adapter.nodes(spark, d)))
+    return hierarchy.container_counts(adapter.nodes(spark, d))
 
 
 @query("SELECT 'group' AS selection_type")

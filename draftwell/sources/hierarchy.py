@@ -119,6 +119,32 @@ def container_facts(occurrences: DataFrame) -> DataFrame:
     )
 
 
+def container_counts(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+    """As :func:`container_facts` of the whole walk, without expanding it: how often a container is placed at a depth is the sum
+    over its hosts of how often they are placed one level above, so a level is one aggregate over distinct containers.
+
+    A container that can hold itself recurs only as often as paths allow, which counts cannot tell: then the walk is made.
+    """
+    live = nodes.where(F.coalesce("valid", F.lit(False))).where(F.col("kind").isin(*CONTAINERS))
+    boxes = cut(live.select("node_id", "parent_id", "kind", F.when(F.col("kind") == "instance", F.coalesce("def_id", "node_id")).otherwise(F.col("node_id")).alias("host")))
+    number = F.lit(1).cast("decimal(38,0)")
+    level = cut(boxes.where("parent_id IS NULL").select("kind", "host", number.alias("n")))
+    levels, distinct = [], boxes.count()
+    while level.limit(1).count():
+        if len(levels) > min(distinct, max_depth):
+            return container_facts(flatten(live, max_depth=max_depth))
+        levels.append(level.groupBy("kind").agg(F.sum("n").alias("n"), F.lit(len(levels) + 1).cast("bigint").alias("depth")))
+        placed = level.groupBy(F.col("host").alias("parent_id")).agg(F.sum("n").alias("n"))
+        level = cut(boxes.join(placed, "parent_id").groupBy("kind", "host").agg(F.sum("n").alias("n")))
+    if not levels:
+        return container_facts(flatten(live.limit(0)))
+    every = levels[0]
+    for x in levels[1:]:
+        every = every.unionByName(x)
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).cast("bigint")
+    return every.agg(of("group").alias("group_count"), of("instance").alias("component_count"), F.coalesce(F.max("depth"), F.lit(0)).cast("bigint").alias("deepest_nesting"))
+
+
 def selection_type(roots: DataFrame) -> DataFrame:
     """``empty``, the single kind that is selected, or ``mixed``."""
     kinds = F.collect_set(F.when(F.col("kind").isin("group", "instance", "edge", "face"), F.col("kind")).otherwise("other"))
