@@ -129,6 +129,21 @@ def pid_path_text(path: Column, sep: str = ".") -> Column:
     return F.array_join(path.cast("array<string>"), sep)
 
 
+def instance_path_text(labels: Column) -> Column:
+    """Labels of the containers above, for display only: identity rests on pid paths."""
+    return F.array_join(labels, " > ")
+
+
+def container_label(kind: Column, definition_name: Column, name: Column, node_id: Column) -> Column:
+    """Kind and name of a container; instances carry their number in hexadecimal too, as several share a name.
+
+    The name is the definition's, else the container's own, else the number; empty names count as none.
+    """
+    number = F.concat(F.lit("0x"), F.lower(F.hex(node_id)))
+    shown = F.coalesce(F.nullif(definition_name, F.lit("")), F.nullif(name, F.lit("")), number)
+    return F.when(kind == "instance", F.concat(F.lit("ComponentInstance:"), shown, F.lit("#"), number)).otherwise(F.concat(F.lit("Group:"), shown))
+
+
 def occurrence_id(path: Column, instance_path: Column, complete: Column, record_id: Column, kind: str = "edge") -> Column:
     """Identity of an occurrence within a snapshot: by pid path, else by labels, else by the record's own id."""
     quality = F.when(complete, "occ-").otherwise("transient-occ-")

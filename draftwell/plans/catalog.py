@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import AnalysisConfig, ExecutionConfig
 from ..functions import scalars as fn
-from ..operators import detectors, grid, issues as iss, locate, profile, repair, snapshot, topology
+from ..operators import buckets, detectors, grid, issues as iss, locate, profile, repair, snapshot, topology
 from ..operators.vertices import vertices
 from ..session import cut, table
 from ..sources import adapter, hierarchy
@@ -284,6 +284,35 @@ def issues_by_layer(spark, d):
     return iss.layer_groups(_analysis(spark, d).counted, layers).select("name", "issue_count", "default_open")
 
 
+_LAYER_RANK = "CASE layer_name WHEN 'DIM-A' THEN 1 WHEN 'TEXT-N' THEN 2 WHEN 'XLINE' THEN 3 WHEN 'WALL' THEN 6 WHEN 'Layer0' THEN 4 ELSE 5 END"
+
+
+def _chunks(name: str, rank: str) -> str:
+    """SQL twin of buckets cut into chunks of a hundred issues, with every field of an issue."""
+    text = "issue_id || '~' || issue_type || '~' || severity || '~' || confidence || '~' || edges_text || '~' || layer_name || '~' || CASE WHEN locatable THEN 'true' ELSE 'false' END || '~' || message"
+    return with_(*_ALL, sql.ISSUES) + f"""SELECT name, dense_rank() OVER (ORDER BY rk) AS rank, issue_count, default_open, chunk, chunk * 100 AS first_position, count(*) AS held, string_agg(line, chr(10) ORDER BY place) AS issues
+    FROM (SELECT {name} AS name, {rank} AS rk, count(*) OVER b AS issue_count, CASE WHEN max((severity = 'high')::INT) OVER () = 1 THEN max((severity = 'high')::INT) OVER b = 1 ELSE {rank} = min({rank}) OVER () END AS default_open,
+      row_number() OVER (PARTITION BY {name} ORDER BY issue_id) - 1 AS place, (row_number() OVER (PARTITION BY {name} ORDER BY issue_id) - 1) // 100 AS chunk, {text} AS line FROM issues WINDOW b AS (PARTITION BY {name}))
+    GROUP BY name, rk, issue_count, default_open, chunk"""
+
+
+def _lines(chunks: DataFrame) -> DataFrame:
+    line = lambda i: F.concat_ws("~", i["issue_id"], i["issue_type"], i["severity"], i["confidence"], fn.pid_path_text(i["edge_ids"], ","), i["layer_name"], i["locatable"].cast("string"), i["message"])
+    return chunks.withColumn("held", F.size("issues").cast("bigint")).withColumn("issues", F.array_join(F.transform("issues", line), "\n")).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(_chunks("issue_type", _TYPE_RANK))
+def issue_buckets(spark, d):
+    return _lines(buckets.type_buckets(_analysis(spark, d).issues, size=100))
+
+
+@query(_chunks("layer_name", _LAYER_RANK))
+def layer_issue_buckets(spark, d):
+    shown = _layers(spark, d)
+    place = F.col("role_rank") * 2 + F.when(F.col("visible"), 0).otherwise(1)
+    return _lines(buckets.layer_buckets(_analysis(spark, d).issues, shown.select("name", place.alias("display_rank")), size=100))
+
+
 @query(
     """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'non-canonical severity: urgent' WHEN event_id % 7 = 0 THEN 'non-canonical confidence: nil' WHEN event_id % 11 = 0 THEN 'issue_type must be a non-empty String'
     WHEN event_id % 17 = 0 THEN 'sources must be an Array' WHEN event_id % 19 = 0 THEN 'source_entity_ids must be an Array' WHEN event_id % 23 = 0 THEN 'location must be nil or [x, y, z]' ELSE 'locatable must be a Boolean' END AS reason
@@ -360,6 +389,49 @@ def container_facts(spark, d):
     return hierarchy.container_counts(adapter.nodes(spark, d))
 
 
+# How the adapter names shared definitions; every fifth has no name.
+_PLACED = """
+placed AS (
+  SELECT c_custkey AS c, n_nationkey AS n, n_regionkey AS r, CASE WHEN c_custkey % 2 = 1 THEN CASE WHEN c_custkey % 4 = 3 THEN c_custkey - 2 ELSE c_custkey END + 5000000 END AS def
+  FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey <> 7),
+boxes AS (
+  SELECT CAST(r_regionkey + 1 AS BIGINT) AS node_id, 'group' AS kind, 'Group:Region ' || r_regionkey AS label, 'Group:Region ' || r_regionkey AS path_text, CAST(r_regionkey + 1 AS VARCHAR) AS pid_text FROM region
+  UNION ALL SELECT n_nationkey + 100, 'group', 'Group:Nation ' || n_nationkey, 'Group:Region ' || n_regionkey || ' > Group:Nation ' || n_nationkey, (n_regionkey + 1) || '/' || (n_nationkey + 100) FROM nation WHERE n_nationkey <> 7
+  UNION ALL SELECT c + 1000000, CASE WHEN def IS NULL THEN 'group' ELSE 'instance' END, l, 'Group:Region ' || r || ' > Group:Nation ' || n || ' > ' || l, (r + 1) || '/' || (n + 100) || '/' || (c + 1000000)
+  FROM (SELECT *, CASE WHEN def IS NULL THEN 'Group:Customer ' || c ELSE 'ComponentInstance:' || CASE WHEN def % 5 = 0 THEN 'Customer ' || c ELSE 'Block ' || def END || '#0x' || printf('%x', c + 1000000) END AS l FROM placed))
+"""
+
+
+def _labelled_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The containers as they are placed, under the labels that tell instances of one definition apart."""
+    boxes = adapter.nodes(spark, d).where(F.col("kind").isin(*hierarchy.CONTAINERS))
+    return hierarchy.flatten(hierarchy.labelled(boxes, adapter.definitions(spark, d)))
+
+
+@query(with_(_PLACED) + "SELECT node_id, kind, label, path_text, pid_text FROM boxes")
+def container_labels(spark, d):
+    return _labelled_boxes(spark, d).select("node_id", "kind", F.col("name").alias("label"), fn.instance_path_text(F.col("labels")).alias("path_text"), fn.pid_path_text(F.col("path"), "/").alias("pid_text"))
+
+
+@query(
+    with_(
+        _PLACED, "lines AS (SELECT sha256(kind || '|' || pid_text || '|' || replace(path_text, ' > ', '>') || '|') AS h FROM boxes)",
+        "w AS (SELECT count(*) AS n, " + ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 8 * k}, 8))::UBIGINT AS HUGEINT)) AS VARCHAR) AS w{k}" for k in range(4)) + " FROM lines)",
+    )
+    + "SELECT n AS entries, sha256(concat_ws(',', CAST(n AS VARCHAR), w0, w1, w2, w3)) AS digest FROM w"
+)
+def selection_scope(spark, d):
+    return snapshot.selection_digest(snapshot.selection_scope(_labelled_boxes(spark, d)))
+
+
+@query(
+    "SELECT count(DISTINCT p_brand || '/' || p_type) AS materials, sha256(string_agg(DISTINCT p_brand || '/' || p_type, chr(10) ORDER BY p_brand || '/' || p_type)) AS digest FROM part"
+)
+def material_digest(spark, d):
+    names = table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("name")).distinct()
+    return names.agg(F.count(F.lit(1)).alias("materials")).crossJoin(snapshot.material_digest(names))
+
+
 @query("SELECT 'group' AS selection_type")
 def selection_type(spark, d):
     return hierarchy.selection_type(adapter.nodes(spark, d).where("parent_id IS NULL"))
@@ -580,6 +652,18 @@ def workspace_fingerprint(spark, d):
     return snapshot.workspace_fingerprint(repair.derive(_edges(spark, d)), ExecutionConfig.from_config(CONFIG).digest())
 
 
+@query(
+    with_(
+        sql.EDGES, "d AS (SELECT sha256('der-edge-' || edge_id || '-' || array_to_string(pid_path, '-') || '|der-layer-' || layer) AS h FROM edges)",
+        "w AS (SELECT count(*) AS n, " + ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 8 * k}, 8))::UBIGINT AS HUGEINT)) AS VARCHAR) AS w{k}" for k in range(4)) + " FROM d)",
+    )
+    + "SELECT 'edge' AS kind, n AS entities, n AS with_parent, sha256(concat_ws(',', CAST(n AS VARCHAR), w0, w1, w2, w3)) AS parents_digest FROM w"
+)
+def workspace_relations(spark, d):
+    derived = repair.derive(_edges(spark, d)).withColumn("parent_derived_id", F.concat(F.lit("der-layer-"), F.col("layer")))
+    return snapshot.workspace_relations(derived)
+
+
 @query("SELECT 'default' AS profile_id, 'tol-big_z-coordinate_epsilon-duplicate-gap_search-large_coordinate-short_edge' AS tolerance_schema_version, unnest(['big_z', 'coordinate_epsilon', 'duplicate', 'gap_search', 'large_coordinate', 'short_edge']) AS name, unnest([CAST(0.01 AS DOUBLE), CAST(1e-6 AS DOUBLE), CAST(1e-4 AS DOUBLE), CAST(0.1 AS DOUBLE), CAST(1e6 AS DOUBLE), CAST(0.5 AS DOUBLE)]) AS value")
 def execution_config(spark, d):
     c = ExecutionConfig.from_config(CONFIG)

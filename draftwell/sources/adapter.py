@@ -52,6 +52,12 @@ def visible_layers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, shown boolean")
 
 
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the definitions that customers of odd keys show; every fifth has none."""
+    used = nodes(spark, sf_dir).where("def_id IS NOT NULL").select("def_id").distinct()
+    return used.select("def_id", F.when(F.col("def_id") % 5 != 0, F.concat(F.lit("Block "), F.col("def_id").cast("string"))).alias("def_name"))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container tree: regions shift by 10,000 in x, nations by 100 in y, customers double the scale and lift by z.
 

@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import DEFAULT_LAYER, finite, role_rank, layer_role, layer_role_rule, visibility
+from ..functions.scalars import DEFAULT_LAYER, container_label, finite, role_rank, layer_role, layer_role_rule, visibility
 from ..session import cut
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
@@ -145,6 +145,24 @@ def container_counts(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     return every.agg(of("group").alias("group_count"), of("instance").alias("component_count"), F.coalesce(F.max("depth"), F.lit(0)).cast("bigint").alias("deepest_nesting"))
 
 
+def labelled(nodes: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
+    """Nodes whose containers are named by their labels, so that a walk over them has the labels as its paths.
+
+    ``definitions`` has ``def_id, def_name``, one row a definition; containers of a definition without a name, or without a row,
+    go by their own. Other nodes keep their names.
+    """
+    rows = nodes.withColumn("__def", F.lit(None).cast("string")) if definitions is None else nodes.join(definitions.select("def_id", F.col("def_name").alias("__def")), "def_id", "left")
+    label = container_label(F.col("kind"), F.col("__def"), F.col("name"), F.col("node_id"))
+    return rows.withColumn("name", F.when(F.col("kind").isin(*CONTAINERS), label).otherwise(F.col("name"))).select(*nodes.columns)
+
+
+def selection_label(roots: DataFrame, order: str = "node_id") -> DataFrame:
+    """One row with ``selection_label``: kind and name of the first thing selected (the least ``order``) if that has a name, else ``selection``."""
+    kinds = F.create_map(*[F.lit(x) for x in ("group", "Group", "instance", "ComponentInstance")])
+    first = roots.agg(F.min_by(F.struct(F.col("kind"), F.col("name")), F.col(order)).alias("f"))
+    return first.select(F.coalesce(F.concat(F.try_element_at(kinds, F.col("f.kind")), F.lit(": "), F.col("f.name")), F.lit("selection")).alias("selection_label"))
+
+
 def selection_type(roots: DataFrame) -> DataFrame:
     """``empty``, the single kind that is selected, or ``mixed``."""
     kinds = F.collect_set(F.when(F.col("kind").isin("group", "instance", "edge", "face"), F.col("kind")).otherwise("other"))
