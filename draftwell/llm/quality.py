@@ -4,11 +4,13 @@ Every line of a text is labelled bad (0) or good (1). A line's potentials come f
 from those of the lines before and after it; the chain adds a score for each pair of neighbouring labels. The
 document's quality is the mean of the lines' forward-backward marginals, weighted by their length. The field is
 trained by gradient ascent on documents whose label all their lines share, with the corpus rows that the caller
-allows; at most ``SAMPLE`` documents, chosen by a hash of the identifier, are gathered for that, as features.
+allows; at most ``SAMPLE`` documents, chosen by a hash of the identifier, are gathered for that, as features of at most
+``LINES`` lines each. Scores always come from all lines of a text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,8 @@ from ..session import table
 from .batches import slices
 
 SAMPLE = 2_500
+LINES = 512
+SEGMENT = 64
 ROUNDS = 150
 OWN = 9  # features of a line itself
 WIDTH = 1 + 3 * OWN + 2
@@ -102,12 +106,12 @@ def _recursions(unary: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.nd
     return pot, fwd, bwd, np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
 
 
-def train(chains: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, ridge: float = 1e-3) -> Field:
-    """Fit by Adam on the mean log-likelihood a line; ``chains`` are (features, label of all lines)."""
+def train(chains: list[tuple[np.ndarray, int]], rounds: int = ROUNDS, ridge: float = 1e-3, prior: float | None = None) -> Field:
+    """Fit by Adam on the mean log-likelihood a line; ``chains`` are (features, label of all lines), ``prior`` by default the share of 1."""
     chains = [c for c in chains if len(c[0])]
     if not chains:
         return Field(np.zeros(WIDTH), np.zeros((2, 2)), 0.5)
-    prior = sum(y for _, y in chains) / len(chains)
+    prior = sum(y for _, y in chains) / len(chains) if prior is None else prior
     groups: dict[int, list[tuple[np.ndarray, int]]] = {}
     for f, y in chains:
         groups.setdefault(len(f), []).append((f, y))
@@ -139,15 +143,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1):
-        found = [line_features(t or b"")[0].tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["y", "x"])
+def excerpts(x: np.ndarray, lines: int) -> list[np.ndarray]:
+    """A chain of at most ``lines`` lines as it is; of a longer one whole segments from all over it, in the order of their hash."""
+    if len(x) <= lines:
+        return [x]
+    step = min(SEGMENT, lines)
+    parts = sorted((x[a : a + step].tobytes() for a in range(0, len(x), step)), key=lambda p: (zlib.crc32(p), p))
+    return [np.frombuffer(p, x.dtype).reshape(-1, x.shape[1]) for p in parts[: lines // step]]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Field:
+def _features(lines: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            found = [[p.tobytes() for p in excerpts(line_features(t or b"")[0], lines)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary())), batch.column(2)], names=["y", "xs", "k"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Train on labelled rows outside the held-out third: at most ``sample`` identifiers, in the order of their hash.
 
+    A text gives at most ``lines`` lines to the training: one of more lines gives segments from all over it, with the features of
+    their neighbours outside. So a row sends at most ``lines`` times ``WIDTH`` floats to the driver, however long its text is, and
+    ``sample`` rows at most do, however often an identifier is repeated: 2,500 x 512 x 120 bytes, 154 MB at the very worst.
     Rows without a label, with a label other than 0 or 1, or without a text are no examples. No examples at all
     give a field that scores every text 0.5.
     """
@@ -156,10 +175,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
     few = few.orderBy(F.xxhash64("few.id"), "few.id", "few.y").limit(sample)
     # both sides are one column of a name of their own: no column of the documents can clash
     texts = docs.where(F.col(text_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).alias("doc"))
-    rows = texts.join(F.broadcast(few), F.col("doc.id") == F.col("few.id")).select(F.col("few.y").alias("y"), F.col("doc.t").alias("t"))
-    found = rows.mapInArrow(_features, "y int, x binary").collect()
-    found.sort(key=lambda r: (r.y, bytes(r.x)))  # the result doesn't hang on the order of arrival
-    return train([(np.frombuffer(r.x, np.float32).reshape(-1, WIDTH), r.y) for r in found])
+    rows = texts.join(F.broadcast(few), F.col("doc.id") == F.col("few.id")).select(F.col("few.y").alias("y"), F.col("doc.t").alias("t"), F.xxhash64("few.id").alias("k"))
+    # an identifier may stand on many rows: of those, too, at most ``sample`` travel
+    found = rows.mapInArrow(_features(lines), "y int, xs array<binary>, k bigint").orderBy(F.xxhash64("k", "y", "xs")).limit(sample).collect()
+    found.sort(key=lambda r: (r.y, [bytes(x) for x in r.xs]))  # the result doesn't hang on the order of arrival
+    counted = [r.y for r in found if r.xs[0]]  # a text counts once, however many segments it gives
+    chains = [(np.frombuffer(x, np.float32).reshape(-1, WIDTH), r.y) for r in found for x in r.xs]
+    return train(chains, prior=sum(counted) / len(counted) if counted else None)
 
 
 def _scores(field: Field):

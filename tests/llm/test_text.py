@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -293,6 +294,28 @@ def test_gradient_and_fit():
     assert f.quality(good.split(b"\n")[0]) == pytest.approx(f.marginals(quality.line_features(good.split(b"\n")[0])[0])[0])
 
 
+def test_training_takes_bounded_parts_of_long_texts():
+    x = np.arange(1000 * 3, dtype=np.float32).reshape(1000, 3)
+    assert [p.tobytes() for p in quality.excerpts(x[:512], 512)] == [x[:512].tobytes()] and len(quality.excerpts(x[:0], 512)) == 1
+    parts = quality.excerpts(x, 512)
+    assert len(parts) == 8 and all(len(p) <= quality.SEGMENT for p in parts)
+    starts = sorted(int(p[0, 0]) // 3 for p in parts)
+    assert all(s % 64 == 0 for s in starts) and starts != list(range(0, 512, 64))  # whole segments, not the head of the text
+    assert len(quality.excerpts(x, 10)) == 1 and len(quality.excerpts(x, 10)[0]) == 10
+
+
+def test_training_survives_long_texts_and_repeated_identifiers(spark):
+    good = "The river runs past the old mill and the town behind it.\n" * 3000
+    bad = "$$ %% 1234 !!\n" * 3000
+    rows = [(i, good if i % 2 else bad) for i in range(2, 40) for _ in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2, 40)], "doc_id bigint, quality int")
+    whole, few = quality.fit(frame, labels), quality.fit(frame, labels, sample=20, lines=64)
+    for field in (whole, few):
+        assert field.quality(good.encode()) > 0.9 and field.quality(bad.encode()) < 0.1
+    assert whole.prior == pytest.approx(np.mean([i % 2 for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]))
+
+
 def test_quality_held_out_and_edges(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
