@@ -2,9 +2,12 @@
 
 Fingerprints are computed in Arrow batches, then reduced to the distinct ones. Two fingerprints at three or
 fewer differing bits agree in one of four 16-bit blocks and, of what is left, in one of four 12-bit blocks;
-each fingerprint therefore joins 16 shards keyed by such a pair of blocks, and every link lies inside a shard.
+each fingerprint therefore joins shards keyed by the first bits of these, and every link lies inside a shard.
+As many bits are taken as leave about ``FILL`` fingerprints a shard: up to 16 bits there are four shards for each fingerprint,
+keyed within one block, beyond that 16, keyed by a block and up to 12 bits of the rest.
 A shard is a BK-tree: children hang by their integer Hamming distance to the parent, and a search follows only
-edges within the radius. Shards of more than ``SHARD`` fingerprints are split into tree parts, and each part is
+edges within the radius. Trees are shuffled to where they are searched, not broadcast: together they are all fingerprints.
+Shards of more than ``SHARD`` fingerprints are split into tree parts, and each part is
 sent to every query part of that shard, so no task ever holds more than two parts. A task joins its
 links into groups and returns, for each member, a pair with the group's least node; the pairs are joined into components.
 
@@ -13,10 +16,12 @@ fingerprint and the texts that agree in one of ``BANDS`` bands of ``ROWS`` least
 none in 0.4 % of cases. Only verified pairs are joined, in two rounds that never list the pairs of a group:
 
 1. In a band every text is compared, by its sketch of all least hashes, with the texts that lead it, and offers itself
-   to the best of them: one pair a text and band. The pairs are verified on the texts and joined.
+   to the best of them: one pair a text and band. A large band is dealt to parts; only texts that found no leader in their part
+   travel on, are dealt anew and so on, until they fit in one part or hardly get fewer. The pairs are verified on the texts and joined.
 2. Bands that still hold several groups are looked at again. Texts whose sketches allow a link to a text of another group
    come together once more, with their texts, and every such pair is measured, unless a link found meanwhile has joined it.
-   Bands of many or of long texts are split into parts, and parts meet in pairs.
+   Bands of many or of long texts are split into parts. A group of more than a part has parts of its own, which meet the parts
+   of others but not each other, so a band of one large group and some strangers makes rows in proportion to its texts.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from .batches import slices
 from .exact_dedup import fresh_name
 
 SHARD = 2048
+FILL = 64  # fingerprints that a shard holds on average, at most
 RADIUS = 3
 SEEDS = 12  # fingerprints a text in near_dedup; a pair at 5 bits on average is then found with 97 %
 BANDS, ROWS = 18, 6  # a pair at 0.8 shares a band with 1 - (1 - 0.8 ** 6) ** 18 = 99.6 %
@@ -231,16 +237,27 @@ def _linked(radius: int):
     return run
 
 
-def _keys(fp: Column) -> Column:
+def _bits(n: int) -> int:
+    """Bits of a shard's key that leave ``FILL / 2`` to ``FILL`` of ``n`` evenly spread fingerprints in a shard; 28 at most."""
+    return min((n // FILL).bit_length(), 28)
+
+
+def _keys(fp: Column, bits: int) -> Column:
+    """Keys of a fingerprint's shards by ``bits`` bits each: fingerprints at three differing bits or fewer share one."""
+    if not bits:
+        return F.array(F.lit(0).cast("bigint"))
     keys = []
     for b in range(4):
-        high = F.shiftrightunsigned(fp, 16 * b).bitwiseAND(F.lit(0xFFFF))
+        high = F.shiftrightunsigned(fp, 16 * b).bitwiseAND(F.lit((1 << min(bits, 16)) - 1))
+        if bits <= 16:
+            keys.append(F.lit(b << 28).cast("bigint").bitwiseOR(high))
+            continue
         # the other three blocks, side by side
         rest = F.lit(0).cast("bigint")
         for place, o in enumerate(x for x in range(4) if x != b):
             rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 16 * o).bitwiseAND(F.lit(0xFFFF)), 16 * place))
         for s in range(4):
-            low = F.shiftrightunsigned(rest, 12 * s).bitwiseAND(F.lit(0xFFF))
+            low = F.shiftrightunsigned(rest, 12 * s).bitwiseAND(F.lit((1 << (bits - 16)) - 1))
             keys.append(F.lit((b * 4 + s) << 28).cast("bigint").bitwiseOR(F.shiftleft(high, 12)).bitwiseOR(low))
     return F.array(*keys)
 
@@ -256,8 +273,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     rows = fps.where("fp IS NOT NULL")
     rows = rows if "node" in fps.columns else rows.withColumn("node", F.col("fp"))
     rows = rows if "seed" in fps.columns else rows.withColumn("seed", F.lit(0))
-    rows = rows.select("fp", "node", "seed").distinct()
-    rows = rows.select("fp", "node", F.explode(F.transform(_keys(F.col("fp")), lambda k: k + F.shiftleft(F.col("seed").cast("bigint"), 40))).alias("key"))
+    rows = cut(rows.select("fp", "node", "seed").distinct())
+    most = rows.groupBy("seed").count().agg(F.max("count").alias("n")).first().n or 0
+    rows = rows.select("fp", "node", F.explode(F.transform(_keys(F.col("fp"), _bits(most)), lambda k: k + F.shiftleft(F.col("seed").cast("bigint"), 40))).alias("key"))
     # small tables are written out before they are joined, so that a hot key is a join side that can be split
     sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     rows = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("size") / shard).cast("int"))
@@ -321,15 +339,15 @@ def _allowed(similarity: float) -> tuple[int, int]:
     return round(m * (similarity - 3.5 * error)), round(m * (similarity + 1.3 * error))
 
 
-def _grouped(solve, schema: pa.Schema):
-    """Hands ``solve`` the rows of each (key, pair), the first two columns, by which the rows are sorted."""
+def _grouped(solve, schema: pa.Schema, least: int = 2):
+    """Hands ``solve`` the rows of each (key, pair) of ``least`` rows or more; rows are sorted by these, the first two columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def groups(rows: pa.Table, key: np.ndarray, pair: np.ndarray) -> Iterator[pa.RecordBatch]:
             fresh = np.flatnonzero((np.diff(key) != 0) | (np.diff(pair) != 0)) + 1
-            out = [solve(rows.slice(s, e - s)) for s, e in zip([0, *fresh.tolist()], [*fresh.tolist(), len(key)], strict=True) if e - s > 1]
+            out = [solve(rows.slice(s, e - s)) for s, e in zip([0, *fresh.tolist()], [*fresh.tolist(), len(key)], strict=True) if e - s >= least]
             rows_out = [r for part in out for r in part]
             if rows_out:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows_out], schema=schema)
@@ -359,27 +377,61 @@ _OPEN = pa.schema([("key", pa.int64()), ("pair", pa.int64()), ("side", pa.int32(
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+_OFFER = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
 def _offers(similarity: float):
-    """One pair for each text of a band: with the leader whose sketch agrees best, if it allows the similarity.
+    """For each text of a part a pair with the leader whose sketch agrees best, if it allows the similarity.
 
-    A text that agrees clearly with no leader becomes one. Where two parts meet, the texts of one ask the leaders of the other.
+    A text that agrees clearly with no leader becomes one. In a band of ``many`` parts, texts without a pair come as pairs
+    with themselves.
     """
     allows, same = _allowed(similarity)
 
-    def solve(rows: pa.Table) -> list[tuple[int, int]]:
-        side, node, sig = rows.column("side").to_numpy(), rows.column("node").to_numpy(), _sigs(rows)
-        led, at, n, out, two = np.empty_like(sig), np.empty_like(node), 0, [], side.any()
-        for s, x, row in zip(side.tolist(), node.tolist(), sig, strict=True):
+    def solve(rows: pa.Table) -> list[tuple[int, int, int]]:
+        key, many = rows.column("key")[0].as_py(), rows.column("many")[0].as_py()
+        node, sig = rows.column("node").to_numpy(), _sigs(rows)
+        led, at, n, out = np.empty_like(sig), np.empty_like(node), 0, []
+        for x, row in zip(node.tolist(), sig, strict=True):
             agree = (led[:n] == row).sum(axis=1)
             best = int(agree.argmax()) if n else -1
-            if n and agree[best] >= allows and (s or not two):  # the tree's own pairs come from the part that meets itself
+            if n and agree[best] >= allows:
                 y = int(at[best])
-                out.append((max(x, y), min(x, y)))
-            if not s and not (n and agree[best] >= same):
+                out.append((key, max(x, y), min(x, y)))
+            elif many:
+                out.append((key, x, x))
+            if not (n and agree[best] >= same):
                 led[n], at[n], n = row, x, n + 1
         return out
 
-    return _grouped(solve, _LINK)
+    return _grouped(solve, _OFFER, least=1)
+
+
+def _offered(keyed: DataFrame, sigs: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Offers ``a, b`` of the texts ``key, node`` of all bands, part by part; who finds no leader goes on to the next turn.
+
+    A band ends when the rest fits in one part, or when a turn leaves more than half of it: what these texts may
+    still be linked to is found by the second round.
+    """
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, found, turn = keyed.select("key", "node"), [], 0
+    sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
+    while True:
+        dealt = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("size") / block))
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("parts")))
+        dealt = dealt.join(sigs, "node").select("key", "part", (F.col("parts") > 1).alias("many"), "node", "sig")
+        out = cut(dealt.repartition(n, "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_offers(similarity), "key bigint, a bigint, b bigint"))
+        found.append(out.where("a <> b").select("a", "b"))
+        alone = out.where("a = b").select("key", F.col("a").alias("node"))
+        left = alone.groupBy("key").agg(F.count(F.lit(1)).alias("size")).join(sizes.withColumnRenamed("size", "before"), "key")
+        sizes = cut(left.where(f"size > 1 AND (size * 2 <= before OR size <= {block})").select("key", "size"))
+        if sizes.isEmpty():
+            break
+        rows, turn = alone, turn + 1
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def _open_pairs(rows: pa.Table, allows: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -484,31 +536,41 @@ def _verified(shingle: int, similarity: float):
     return run
 
 
-def _met(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of bands dealt to pairs of parts: part i is the tree and part j asks; a part also meets itself."""
-    rows = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    own = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct((F.least("part", o) * F.col("parts") + F.greatest("part", o)).cast("bigint").alias("pair"), (o < F.col("part")).cast("int").alias("side")),
-    )
-    kept = [c for c in rows.columns if c not in ("key", "parts", "part")]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", *kept, F.explode(own).alias("x")).select("key", "x.pair", "x.side", *kept)
-    return dealt.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side", "node")
+def _parts(size: Column, n: Column, block: int) -> Column:
+    return F.greatest(F.ceil(size / block), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def _parts(block: int) -> Column:
-    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("parts")
+def _met(rows: DataFrame, block: int) -> DataFrame:
+    """Texts ``key, node, n, band, comp`` of bands, dealt to pairs of parts: ``side`` 0 is the tree and 1 asks.
+
+    Groups of more than a part have parts of their own, the others of a band share parts, whole groups by their hash. Parts
+    meet in pairs and shared ones also meet themselves, but parts of one large group do not meet.
+    """
+    groups = cut(rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).withColumn("own", _parts(F.col("size"), F.col("n"), block)))
+    large = groups.where("own > 1").select("key", "comp", "own")
+    small = groups.where("own = 1").groupBy("key").agg(_parts(F.sum("size"), F.sum("n"), block).alias("shared"))
+    numbered = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("i")
+    name = lambda i: F.xxhash64("comp", i)
+    parts = small.select("key", F.lit(None).cast("bigint").alias("comp"), numbered("shared")).unionByName(large.select("key", "comp", numbered("own")))
+    parts = cut(parts.select("key", "comp", name("i").alias("part")))
+    one, two = parts.select("key", F.col("comp").alias("c"), F.col("part").alias("lo")), parts.select("key", F.col("comp").alias("d"), F.col("part").alias("hi"))
+    # written out, so that the numbers of the pairs stay as they are when a task is run again
+    pairs = cut(one.join(two, "key").where("lo <= hi AND (c IS NULL OR d IS NULL OR c <> d)").select("key", "lo", "hi").withColumn("pair", F.monotonically_increasing_id()))
+    sides = pairs.select("key", "pair", F.lit(0).alias("side"), F.col("lo").alias("part")).unionByName(pairs.where("lo < hi").select("key", "pair", F.lit(1).alias("side"), F.col("hi").alias("part")))
+    placed = rows.join(large, ["key", "comp"], "left").join(small, "key", "left")
+    mine = F.when(F.col("own").isNull(), F.xxhash64(F.lit(None).cast("bigint"), F.pmod(F.xxhash64("comp"), F.col("shared")).cast("int")))
+    mine = mine.otherwise(name(F.pmod(F.xxhash64("node"), F.col("own")).cast("int")))
+    return placed.select("key", "node", "band", "comp", mine.alias("part")).join(sides, ["key", "part"]).select("key", "pair", "side", "node", "band", "comp")
 
 
 def similar_links(marks: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """Links ``a, b`` of nodes that verified pairs connect; ``marks`` has one row a node, ``texts`` may repeat ``node, t``."""
     bands = marks.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), _parts(block)).where("size > 1").drop("size"))
+    shared = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"))
     # sketches are fetched for bands that several texts share, not for all
-    keyed = cut(bands.select("key", "node", "band").join(sizes.select("key"), "key"))
+    keyed = cut(bands.select("key", "node", "band").join(shared, "key"))
     sigs = marks.select("node", "sig")
-    offered = _met(keyed.select("key", "node").join(sigs, "node"), sizes).mapInArrow(_offers(similarity), "a bigint, b bigint")
+    offered = _offered(keyed, sigs, similarity, block)
     printed = near_links(marks.select("fp", "node")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # written out, so that a text which leads very many is a join side that can be split
     pairs = cut(offered.unionByName(printed).where("a <> b").distinct())
@@ -519,10 +581,10 @@ def similar_links(marks: DataFrame, texts: DataFrame, shingle: int, similarity:
     # bands with several groups left
     groups = connected_components(first)
     named = cut(keyed.join(marks.select("node", "n"), "node").join(groups, "node", "left").select("key", "node", "n", "band", F.coalesce("component", "node").alias("comp")))
-    mixed = cut(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), _parts(block)).where("low < high").select("key", "parts"))
-    met = _met(named.select("key", "node", "band", "comp").join(mixed.select("key"), "key", "left_semi").join(sigs, "node"), mixed)
-    left = met.mapInArrow(_open(similarity), "key bigint, pair bigint, side int, node bigint, sig binary, band int, comp bigint")
+    mixed = cut(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"))
     n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _met(named.join(mixed, "key", "left_semi"), block).join(sigs, "node").select("key", "pair", "side", "node", "sig", "band", "comp")
+    left = met.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side", "node").mapInArrow(_open(similarity), "key bigint, pair bigint, side int, node bigint, sig binary, band int, comp bigint")
     whole = left.join(held, "node").select("key", "pair", "side", "node", "sig", "band", "comp", "t")
     second = whole.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side", "node").mapInArrow(_measured(shingle, similarity), "a bigint, b bigint")
     return first.unionByName(second)

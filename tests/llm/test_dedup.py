@@ -300,6 +300,85 @@ def test_links_span_all_groups(spark, shard):
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("bits", [0, 1, 9, 16, 17, 28])
+def test_every_link_lies_in_a_shard(spark, bits):
+    rng = random.Random(21)
+    pairs = []
+    for _ in range(3000):
+        x = y = rng.getrandbits(64)
+        for b in rng.sample(range(64), rng.randrange(1, 4)):
+            y ^= 1 << b
+        pairs.append(tuple(v - (1 << 64) if v >> 63 else v for v in (x, y)))
+    both = spark.createDataFrame(pairs, "x bigint, y bigint")
+    assert both.where(~F.arrays_overlap(simhash._keys(F.col("x"), bits), simhash._keys(F.col("y"), bits))).count() == 0
+
+
+def test_links_come_from_searched_trees(spark, monkeypatch):
+    """At any number of fingerprints shards are trees of dozens of nodes, of which a search leaves some out."""
+    for n in (500, 20_000, 200_000):
+        sizes = spark.range(n).select(F.explode(simhash._keys(F.xxhash64("id"), simhash._bits(n))).alias("key")).groupBy("key").count()
+        got = sizes.agg(F.avg("count").alias("mean"), F.sum(F.when(F.col("count") > 2, F.col("count"))).alias("trees"), F.sum("count").alias("all")).first()
+        assert simhash.FILL / 4 <= got.mean <= 2 * simhash.FILL and got.trees > 0.99 * got.all
+    rng, asked, met = random.Random(22), [], []
+    within = simhash.BKTree.within
+
+    def counted(tree, x, radius):
+        class Counted(list):
+            def __getitem__(self, k):
+                met.append(k)
+                return list.__getitem__(self, k)
+
+        asked.append(len(tree.values))
+        plain, tree.edges = tree.edges, Counted(tree.edges)
+        try:
+            return within(tree, x, radius)
+        finally:
+            tree.edges = plain
+
+    monkeypatch.setattr(simhash.BKTree, "within", counted)
+    fps = [(rng.getrandbits(48), k) for k in range(64)]  # a shard's fingerprints agree in its key
+    fps.append((fps[5][0] ^ 0b101, 64))
+    assert simhash._forest(fps, fps, 3) == [(64, 5)]
+    assert len(asked) == 65 and 0 < len(met) < 0.8 * sum(asked)
+
+
+def test_large_bands_take_rows_in_proportion(spark):
+    """20,000 variants of one page in one band and 60 strangers there: no part meets all others."""
+    rng, n, block = random.Random(23), 20_000, 64
+    m = simhash.BANDS * simhash.ROWS
+    base = bytes(rng.randrange(256) for _ in range(m))
+
+    def variant():
+        sig = bytearray(base)
+        for k in rng.sample(range(simhash.ROWS, m), 5):
+            sig[k] = rng.randrange(256)
+        return bytes(sig)
+
+    rows = [(1, k, variant()) for k in range(n)]
+    rows += [(1, n + k, base[:6] + bytes(rng.randrange(256) for _ in range(m - 6))) for k in range(60)] + [(2, 1, rows[1][2]), (2, 2, rows[2][2])]
+    marks = spark.createDataFrame(rows, "key bigint, node bigint, sig binary").repartition(4)
+    offers = simhash._offered(marks.select("key", "node"), marks.select("node", "sig").dropDuplicates(["node"]), 0.8, block)
+    assert offers.count() < 1.1 * n
+    top = list(range(n + 60))
+
+    def root(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for r in offers.collect():
+        top[root(r.a)] = root(r.b)
+    assert len({root(k) for k in range(n)}) == 1 and len({root(k) for k in range(n + 60)}) == 61
+    named = marks.select("key", "node", F.lit(10).cast("bigint").alias("n"), F.lit(0).alias("band"), F.when(F.col("node") < n, F.lit(0)).otherwise(F.col("node")).cast("bigint").alias("comp"))
+    met = simhash._met(named.where("key = 1"), block)
+    assert met.count() < 4 * n
+    # every pair of texts of different groups meets once: the 60 with each other and with all others
+    sides = met.where(f"node >= {n}").groupBy("pair", "side").count().withColumnRenamed("side", "s")
+    ours = met.where(f"node < {n}").groupBy("pair", "side").count().withColumnRenamed("count", "many")
+    assert sides.join(ours, "pair").where("s <> side").agg(F.sum(F.col("count") * F.col("many"))).first()[0] == 60 * n
+    assert met.where(f"node >= {n}").groupBy("pair").agg(F.count_distinct("side").alias("d"), F.count(F.lit(1)).alias("c"), F.max("side").alias("x")).where("c = 60 AND d = 1").count() >= 1
+
+
 def test_bk_tree():
     rng = random.Random(8)
     values = [rng.getrandbits(12) for _ in range(300)]
