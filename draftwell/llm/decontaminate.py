@@ -13,6 +13,10 @@ Up to ``BLOCK_SEEDS`` benchmark seeds (20 MB) are broadcast. Of a larger benchma
 seeds as a shuffled join, and the texts that do hold a seed are read a second time for their tokens. So the texts are
 read twice at most, whatever the benchmark's size; too full a table lets more places through and loses none.
 The tokens of items join the few hits, with or without a broadcast as their size asks for.
+
+Items of more than ``SEGMENT`` tokens are looked for by segments of so many, which overlap so that each ``WINDOW`` lies whole in
+one; a piece of a text thus never carries more than a segment on either side. The tokens that such an item has at their places
+all along an alignment are counted afterwards, block by block, in the texts in which a segment was found.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ WINDOW = 16
 BLOCK_SEEDS = 400_000
 BITS = 1 << 28
 PIECE = 512
+SEGMENT = 512
 
 
 def tokens(text: Column) -> Column:
@@ -110,6 +115,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total, longest = facts.total or 0, max(facts.longest or 0, SPAN)
     n_seeds = total * (len(MASKS) + SPAN - MIN_ITEM)
     items = items.withColumn("key", F.xxhash64("item_id", "ith"))
+    whole, large = items, longest > SEGMENT
+    if large:
+        items = _segments(items)
+        total, longest = items.agg(F.sum("il")).first()[0], SEGMENT
+        n_seeds = total * (len(MASKS) + SPAN - MIN_ITEM)
     # items of 5 to 7 tokens are whole seeds: a mask of its own for each such length that occurs
     short = sorted(r.il for r in items.where(F.col("il") < SPAN).select("il").distinct().collect())
     masks = [*MASKS, *[tuple(range(k)) for k in short]]
@@ -133,7 +143,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = hits.select("id", "text_key", "key", (F.col("base") + F.col("at")).alias("diag"), aligned.alias("aligned"))
     # many hits lie on one alignment
     lined = hits.groupBy("id", "text_key", "key", "diag").agg(F.first("aligned").alias("aligned"))
-    return _verified(lined.join(items.select("key", "item_id", "ith", "il"), "key"))
+    if not large:
+        return _best(_verified(lined.join(items.select("key", "item_id", "ith", "il"), "key")))
+    good = cut(_verified(lined.join(items.select("key", "item_id", "ith", "il", "of", "start"), "key")))
+    long = good.where("of IS NOT NULL").select("id", "text_key", F.col("of").alias("key"), (F.col("diag") - F.col("start")).alias("diag")).distinct()
+    names = ["id", "text_key", "item_id", "il", "diag", "matched"]
+    return _best(good.where("of IS NULL").select(*names).unionByName(_along(long, texts, whole).select(*names)))
+
+
+def _segments(items: DataFrame) -> DataFrame:
+    """``items`` with longer ones cut into segments: ``key, ith, il`` are the segment's, ``of`` the item's key, ``start`` its place there."""
+    long = items.where(F.col("il") > SEGMENT)
+    start = F.explode(F.sequence(F.lit(0), F.col("il") - WINDOW, F.lit(SEGMENT - WINDOW + 1))).alias("start")
+    long = long.select("item_id", F.col("key").alias("of"), "ith", start).withColumn("ith", F.slice("ith", F.col("start") + 1, SEGMENT))
+    long = long.select("item_id", "ith", F.size("ith").alias("il"), F.xxhash64("of", "start").alias("key"), "of", "start")
+    rest = items.where(F.col("il") <= SEGMENT).select("item_id", "ith", "il", "key", F.lit(None).cast("bigint").alias("of"), F.lit(0).alias("start"))
+    return rest.unionByName(long)
+
+
+def _along(lines: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Alignments ``id, text_key, key, diag`` with ``item_id, il`` and ``matched``, the item's tokens at their places.
+
+    Texts and items are cut into blocks of ``PIECE`` tokens; a block of an item stands in two blocks of the text at most.
+    """
+    block = lambda c: F.posexplode(F.transform(F.sequence(F.lit(0), F.size(c) - 1, F.lit(PIECE)), lambda s: F.slice(c, s + 1, PIECE)))
+    lines = cut(lines.withColumnRenamed("id", "of").withColumnRenamed("text_key", "of_key"))
+    asked = lines.select("of", "of_key").distinct()
+    named = (texts["text_key"] == asked["of_key"]) & texts["id"].eqNullSafe(asked["of"])
+    parts = texts.join(asked, named, "left_semi").dropDuplicates(["id", "text_key"]).select("id", "text_key", block("whole").alias("tb", "th"))
+    blocks = items.where(F.col("il") > SEGMENT).select("key", "item_id", "il", block("ith").alias("ib", "part"))
+    met = lines.join(blocks, "key").withColumn("place", F.col("diag") + F.col("ib") * PIECE)
+    first = F.floor(F.col("place") / PIECE).cast("int")
+    met = met.withColumn("at", F.explode(F.array(first, first + 1)))
+    met = met.join(parts, (parts["text_key"] == met["of_key"]) & parts["id"].eqNullSafe(met["of"]) & (parts["tb"] == met["at"]))
+    shift = F.col("place") - F.col("tb") * PIECE
+    same = F.transform("part", lambda x, j: (F.get("th", shift + j) == x).cast("int"))
+    count = F.aggregate(same, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    return met.select("id", "text_key", "item_id", "il", "key", "diag", count.alias("n")).groupBy("id", "text_key", "item_id", "il", "key", "diag").agg(F.sum("n").cast("int").alias("matched"))
 
 
 def _hits_of_many(texts: DataFrame, seeds: DataFrame, n_seeds: int, pieces: Callable[[DataFrame], DataFrame], places: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -154,7 +200,11 @@ def _verified(lined: DataFrame) -> DataFrame:
     add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     lined = lined.withColumn("w", F.least("il", F.lit(WINDOW))).withColumn("matched", add(F.col("m")))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("il") - F.col("w")), lambda s: add(F.slice("m", s + 1, F.col("w")))))
-    good = lined.withColumn("best", best).where(F.col("best") * 5 >= F.col("w") * 4)
+    return lined.withColumn("best", best).where(F.col("best") * 5 >= F.col("w") * 4)
+
+
+def _best(good: DataFrame) -> DataFrame:
+    """One row a text and item: the best of its alignments."""
     return (
         good.groupBy("id", "text_key", "item_id", F.col("il").alias("item_tokens"))
         .agg(F.max("matched").alias("matched_tokens"), F.min_by("diag", F.struct(-F.col("matched"), "diag")).alias("doc_start"))

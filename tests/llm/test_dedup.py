@@ -531,6 +531,33 @@ def test_many_seeds_find_what_few_find(spark, monkeypatch):
     assert decontaminate.contamination(texts.limit(0), bench).count() == 0
 
 
+def test_segments_find_what_whole_items_find(spark, monkeypatch):
+    """Long items cut into segments: the same rows as without, both ways, whatever part of an item a text holds."""
+    rng = random.Random(24)
+    line = lambda n: [f"v{rng.randrange(900)}" for _ in range(n)]
+    items = [(i, line(n)) for i, n in enumerate((6, 9, 16, 33, 64, 65, 80, 400, 1500))]
+    items.append((20, [*items[8][1][:700], *line(300)]))
+    items.append((21, items[7][1]))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id bigint, text string")
+    rows = [(1, None), (None, " ".join(items[8][1])), (None, " ".join(line(40))), (2, " ".join(line(4000)))]
+    for i, t in items:
+        words = [w if rng.random() > 0.1 else "zz" for w in t]
+        rows.append((10 + i, " ".join([*line(rng.randrange(900)), *words, *line(rng.randrange(900))])))
+        at = rng.randrange(max(1, len(t) - 15))
+        rows.append((50, " ".join([*line(30), *t[at : at + 16], *line(600)])))  # one window, anywhere
+        rows.append((60, " ".join([*t[-40:], *line(3)])))  # begins before the text
+        rows.append((70, " ".join([*line(5), *t[: len(t) // 2], "x", *t[len(t) // 2 :]] * 2)))  # several alignments
+    texts = docs(spark, rows + rows[-5:]).repartition(3)
+    monkeypatch.setattr(decontaminate, "SEGMENT", 1 << 20)
+    want = sorted(map(repr, decontaminate.contamination(texts, bench).collect()))
+    assert len(want) > 30
+    for segment, seeds in ((64, decontaminate.BLOCK_SEEDS), (64, 50), (512, decontaminate.BLOCK_SEEDS)):
+        monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+        monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", seeds)
+        assert sorted(map(repr, decontaminate.contamination(texts, bench).collect())) == want
+    assert decontaminate._segments(spark.createDataFrame([(1, [*range(2000)], 2000, 5)], "item_id int, ith array<int>, il int, key bigint")).agg(F.max("il")).first()[0] == 512
+
+
 def test_membership_holds_every_hash(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BITS", 1 << 18)
     for n in (0, 1, 5000, 200000):
